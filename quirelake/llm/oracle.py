@@ -21,6 +21,21 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+#: Payload digests, and the revisits of equal payloads.
+OP7 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), d AS (
+  SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p
+), w AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS latest FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND latest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND latest <> page_id THEN latest END AS refers_to
+FROM w
+"""
+
 
 def oracle_sql() -> dict:
-    return {"op5_exact_top_k": OP5}
+    return {"op5_exact_top_k": OP5, "op7_warc": OP7}

@@ -6,10 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import knn, simhash, token_count
+from . import knn, simhash, tiling, token_count, toxicity, warc
 from ._shared import table, text_of
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = tiling.matches(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("leaks") > 0).alias("contaminated"),
+        F.size("leaks").alias("n_items"),
+        F.coalesce(F.get("leaks.coverage", F.lit(0)), F.lit(0.0)).alias("max_coverage"),
+        F.array_sort("leaks.item_id").alias("item_ids"),
+    )
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_count.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -25,14 +37,39 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.with_score(docs, model).select(
+        "doc_id",
+        F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = F.col("metadata.fields")
+    return warc.captured(table(spark, sf_dir, "pages")).select(
+        fields["page-id"].cast("long").alias("page_id"),
+        F.coalesce("capture.payload_bytes", fields["payload-length"].cast("long")).alias("payload_bytes"),
+        F.coalesce("capture.payload_sha1", "capture.payload_digest").alias("payload_digest"),
+        F.col("capture.type").alias("record_type"),
+        fields["refers-to-page-id"].cast("long").alias("refers_to"),
+    )
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
     return {
+        "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op4_token_counts": op4_token_counts,
         "op5_exact_top_k": op5_exact_top_k,
+        "op6_toxicity": op6_toxicity,
+        "op7_warc": op7_warc,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
 
