@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import knn, simhash, tiling, token_count, toxicity, warc
+from . import knn, paragraphs, simhash, tiling, token_count, toxicity, warc
 from ._shared import table, text_of
 
 
@@ -59,6 +59,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ def queries() -> dict:
         "op5_exact_top_k": op5_exact_top_k,
         "op6_toxicity": op6_toxicity,
         "op7_warc": op7_warc,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
 
