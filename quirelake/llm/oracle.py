@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import license_scan
+
 #: Exact top-k by a plain join of all pairs.
 OP5 = """
 WITH v AS (
@@ -37,5 +39,44 @@ FROM w
 """
 
 
+def _op3() -> str:
+    """License phrases and template containment by brute force: every window against every template."""
+    phrase = ", ".join(f"({p.split()!r}, '{label}')" for p, label in license_scan.PHRASES.items())
+    template = ", ".join(f"({n}, '{label}', {words!r})" for n, label, words in license_scan._templates(license_scan.TEMPLATES))
+    half, share = license_scan.HALF, license_scan.CONTAINED
+    return f"""
+WITH p(ws, label) AS (VALUES {phrase}),
+m(n, label, ws) AS (VALUES {template}),
+d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+), places AS (
+  SELECT d.doc_id, p.label, i - 1 AS pos
+  FROM d, p, unnest(range(1, len(d.w) + 1)) AS r(i)
+  WHERE list_slice(d.w, i, i + len(p.ws) - 1) = p.ws
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word,
+         list_sort(list_distinct(list(label))) AS labels
+  FROM places GROUP BY doc_id
+), windows AS (
+  SELECT doc_id, list_slice(w, b * {half} + 1, b * {half} + {2 * half}) AS w
+  FROM d, unnest(range(0, greatest(1, CAST(ceil(len(w) / {half}.0) AS BIGINT) - 1))) AS r(b)
+), held AS (
+  SELECT windows.doc_id, m.label, len(list_intersect(m.ws, windows.w)) AS k, len(m.ws) AS n FROM windows, m
+), found AS (
+  SELECT doc_id, list_distinct(list(label)) AS labels, max(k / CAST(n AS DOUBLE)) AS share
+  FROM held WHERE k >= {share} * n - 1e-9 GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op5_exact_top_k": OP5, "op7_warc": OP7}
+    return {"op3_license_scan": _op3(), "op5_exact_top_k": OP5, "op7_warc": OP7}

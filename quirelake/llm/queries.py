@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import knn, paragraphs, simhash, tiling, token_count, toxicity, warc
+from . import knn, license_scan, paragraphs, resample, simhash, tiling, token_count, toxicity, warc
 from ._shared import table, text_of
 
 
+def op1_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = tiling.matches(docs, table(spark, sf_dir, "benchmark"))
@@ -22,6 +26,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_count.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -69,7 +77,9 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_quality_resampling": op1_quality_resampling,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
+        "op3_license_scan": op3_license_scan,
         "op4_token_counts": op4_token_counts,
         "op5_exact_top_k": op5_exact_top_k,
         "op6_toxicity": op6_toxicity,
