@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import knn, license_scan, paragraphs, resample, simhash, tiling, token_count, toxicity, warc
+from . import bytepair, knn, license_scan, paragraphs, resample, simhash, tiling, token_count, toxicity, warc
 from ._shared import table, text_of
 
 
@@ -75,6 +75,24 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def with_tokens(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids and digests of the ids and of what they decode to."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    done = bytepair.encoded(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    ids = F.col("ids")
+    return done.select(
+        "doc_id",
+        F.when(ids == "", F.lit(0)).otherwise(F.length(ids) - F.length(F.replace(ids, F.lit(","), F.lit(""))) + 1).cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2(F.encode(ids, "UTF-8"), 256).alias("ids_sha256"),
+        F.sha2(bytepair.decoded(ids, path), 256).alias("decoded_sha256"),
+    )
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_tokens(table(spark, sf_dir, "documents")).drop("ids")
+
+
 def queries() -> dict:
     return {
         "op1_quality_resampling": op1_quality_resampling,
@@ -86,6 +104,7 @@ def queries() -> dict:
         "op7_warc": op7_warc,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op10_byte_bpe": op10_byte_bpe,
     }
 
 
