@@ -252,7 +252,7 @@ def media(nodes: DataFrame) -> DataFrame:
     around = refs.join(p_text, "doc_id").where("pre > p_pre and pre <= p_end").groupBy("doc_id", "pre").agg(F.max_by("ptxt", "p_pre").alias("ptxt"))
     refs = refs.join(around, ["doc_id", "pre"], "left")
     quoted = F.regexp_replace("num", "([^A-Za-z0-9])", "\\\\$1")
-    after = F.regexp_extract(F.col("ptxt"), F.concat(F.lit("(?iU)\\btable\\s*"), quoted, F.lit("\\s*[:.\\-]\\s*(.+)")), 1)
+    after = F.call_function("regexp_extract", F.col("ptxt"), F.concat(F.lit("(?iU)\\btable\\s*"), quoted, F.lit("\\s*[:.\\-]\\s*(.+)")), F.lit(1))
     less = stripped(F.regexp_replace("ptxt", F.concat(F.lit("(?iU)\\btable\\s*"), quoted, F.lit("\\b")), F.lit("")))
     refs = refs.select(
         "doc_id", F.lit("table").alias("kind"), F.lit(2).alias("stage"), "pre", F.concat(F.lit("Table "), "num").alias("label"),

@@ -209,7 +209,8 @@ def label_normalize(spark, sf_dir):
 
 
 def _nodes(spark, sf_dir):
-    return xml.nodes(xml.parse_tei(tei(spark, sf_dir)))
+    # parsed once: every axis reads the node table again
+    return xml.nodes(xml.parse_tei(tei(spark, sf_dir))).persist()
 
 
 @registered(f"WITH {_LINES} SELECT doc_id, nullif({_COLLAPSE('left(text, 40)')}, '') AS title, '10.1/' || doc_id AS doi, source AS journal FROM d")
