@@ -19,7 +19,7 @@ from ._shared import text_of, written
 PAIRS, WORDS = 1 << 16, 1 << 15
 #: Frequent words that are encoded once and looked up, and the texts (bytes, about) in which they are counted.
 #: The table only saves time: any word not in it is folded, with the same result.
-FREQUENT, COUNTED_BYTES = 60_000, 32 << 20
+FREQUENT, COUNTED_BYTES = 120_000, 48 << 20
 #: Words of a text that share one table of folded words.
 STRETCH = 2000
 #: Texts with longer runs are encoded by a heap of merges: the fold takes quadratic time in a word's length.
@@ -76,14 +76,14 @@ class Encoder:
             by_id[rank] = token
         self.pieces = F.from_json(F.lit(json.dumps([base64.b64encode(t).decode() for t in by_id])), "array<binary>")
 
-    def rank(self, a: Column, b: Column) -> Column:
+    def rank(self, pairs: Column, a: Column, b: Column) -> Column:
         """Rank of the merge of two tokens; null if they don't merge."""
-        bucket = F.element_at(self.pairs, ((a * 31 + b * 7919) % PAIRS + 1).cast("int"))
+        bucket = F.element_at(pairs, ((a * 31 + b * 7919) % PAIRS + 1).cast("int"))
         place = F.array_position(bucket, (a + 1) * (1 << 17) + b)
         return _let(place, lambda at: F.when(at > 0, F.element_at(bucket, (at + 1).cast("int"))))
 
-    def fold(self, word: Column) -> Column:
-        """Token ids of one word: the leftmost pair of the lowest rank merges, step by step.
+    def fold(self, pairs: Column, word: Column) -> Column:
+        """Token ids of one word, given ``self.pairs`` (bound once by the caller): the leftmost pair of the lowest rank merges, step by step.
 
         The state holds the tokens between two edges that merge with nothing,
         and the rank of each adjacent pair.  A word has fewer merges than bytes.
@@ -93,13 +93,13 @@ class Encoder:
         tokens = F.concat(edge, F.transform(raw, lambda c: F.element_at(self.bytes, F.ascii(c) + 1)), edge)
 
         def begun(t):
-            ranks = F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), self.rank)
+            ranks = F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda a, b: self.rank(pairs, a, b))
             return F.struct(t.alias("t"), ranks.alias("r"))
 
         def merged(state, at):
             t, r = state["t"], state["r"]
             both = F.element_at(r, at)  # a token's id is the rank of the merge that makes it
-            left, right = self.rank(F.element_at(t, at - 1), both), self.rank(both, F.element_at(t, at + 2))
+            left, right = self.rank(pairs, F.element_at(t, at - 1), both), self.rank(pairs, both, F.element_at(t, at + 2))
             return F.struct(
                 F.concat(F.slice(t, F.lit(1), at - 1), F.array(both), F.slice(t, at + 2, F.size(t))).alias("t"),
                 F.concat(F.slice(r, F.lit(1), at - 2), F.array(left, right), F.slice(r, at + 2, F.size(r))).alias("r"),
@@ -167,7 +167,7 @@ def _frequent(texts: DataFrame, encoder: Encoder, pattern: str) -> Column:
         .limit(FREQUENT)
     )
     chosen = written(counted, "frequent").repartition(texts.sparkSession.sparkContext.defaultParallelism)
-    rows = chosen.select("w", encoder.text(encoder.fold(F.col("w"))).alias("ids")).collect()
+    rows = chosen.select("w", _let(encoder.pairs, lambda pairs: encoder.text(encoder.fold(pairs, F.col("w")))).alias("ids")).collect()
     table: list[dict[str, str]] = [{} for _ in range(WORDS)]
     for r in rows:
         table[_bucket(r["w"].encode(), WORDS)][r["w"]] = r["ids"]
@@ -200,32 +200,29 @@ def encoded(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", in
     t = text_of(text)
     has_run = t.rlike(f"\\S{{{LONG_RUN},}}|(?U)\\s{{{LONG_RUN},}}")
 
-    def look(word: Column) -> Column:
-        return F.element_at(F.element_at(known, (F.pmod(F.xxhash64(word), F.lit(WORDS)) + 1).cast("int")), word)
+    def look(table: Column, word: Column) -> Column:
+        return F.element_at(F.element_at(table, (F.pmod(F.xxhash64(word), F.lit(WORDS)) + 1).cast("int")), word)
 
-    def all_ids(words: Column) -> Column:
-        fresh = F.filter(F.array_distinct(words), lambda w: look(w).isNull())
-        # a word of the row's own table is found by its bucket as well
-        return _let(
-            _own_table(F.transform(fresh, lambda w: F.struct(w.alias("w"), encoder.text(encoder.fold(w)).alias("i")))),
-            lambda own: F.array_join(F.transform(words, lambda w: F.coalesce(look(w), F.element_at(own, w))), ","),
-        )
+    def stretch(table: Column, pairs: Column, words: Column) -> Column:
+        fresh = F.filter(F.array_distinct(words), lambda w: look(table, w).isNull())
+        own = F.map_from_entries(F.transform(fresh, lambda w: F.struct(w.alias("w"), encoder.text(encoder.fold(pairs, w)).alias("i"))))
+        return _let(own, lambda o: F.array_join(F.transform(words, lambda w: F.coalesce(look(table, w), F.element_at(o, w))), ","))
 
-    def whole(words: Column) -> Column:
+    def whole(table: Column, pairs: Column, words: Column) -> Column:
         # a stretch of words at a time, so that the row's own table stays small in texts of any length
         last = F.greatest(F.lit(0), F.ceil(F.size(words) / F.lit(STRETCH)) - 1).cast("int")
-        parts = F.transform(F.sequence(F.lit(0), last), lambda n: _let(F.slice(words, n * STRETCH + 1, STRETCH), all_ids))
+        parts = F.transform(F.sequence(F.lit(0), last), lambda n: _let(F.slice(words, n * STRETCH + 1, STRETCH), lambda part: stretch(table, pairs, part)))
         return F.array_join(parts, ",")
 
+    # each literal stands in the plan once: everything below refers to a variable that holds it
+    folding = _let(
+        known, lambda table: _let(encoder.pairs, lambda pairs: _let(words_of(text_of(text), pattern), lambda words: whole(table, pairs, words)))
+    )
     marked = df.withColumn("_run", has_run)
-    folded = F.when(F.col("_run"), F.lit(None)).otherwise(_let(words_of(text_of(text), pattern), whole))
+    folded = F.when(F.col("_run"), F.lit(None)).otherwise(folding)
     return marked.withColumn(into, F.coalesce(by_heap(F.when(F.col("_run"), text_of(text))), folded)).drop("_run")
 
 
-def _own_table(pairs: Column) -> Column:
-    return F.map_from_entries(pairs)
-
-
 def decoded(ids: Column, ranks_path: str) -> Column:
     """The bytes of ids written as by ``encoded``: each id's piece, concatenated."""
     pieces = Encoder(ranks_path).pieces
