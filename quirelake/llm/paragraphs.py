@@ -13,9 +13,10 @@ from ._shared import same, text_of, written
 from .components import bucket_links, components
 
 #: Words of a shingle, of the shortest line and of the shortest piece that are compared.
-SHINGLE, LEAST_WORDS, LEAST_PIECE = 5, 20, 13
-#: Longer lines are also cut into pieces of about 20 words, at places that the words choose.
-LONG, EVERY = 40, 8
+SHINGLE, LEAST_WORDS, LEAST_PIECE = 5, 20, 8
+#: Longer lines are also cut into pieces of about 15 words: a cut is where the hash of two words is the least of
+#: REACH places on either side.  It depends on no other cut, thus 99 % of shared passages of 51 words share a piece.
+LONG, REACH = 40, 7
 #: 6 bands of 3 rows find a pair of Jaccard similarity 0.8 with probability 0.986, of 0.9 with 0.9996.
 BANDS, ROWS = 6, 3
 SIMILAR = 0.8
@@ -123,17 +124,21 @@ class Units:
         self.bands = _signatures(_rolled(h), a, b)
         mixed = (h[:-1] * _MIX) ^ (h[1:] >> np.uint64(7))
         mixed = (mixed ^ (mixed >> np.uint64(33))) * _MIX
-        chosen = np.flatnonzero((mixed >> np.uint64(40)) % np.uint64(EVERY) == 0) + 2
+        chosen = none
+        if len(mixed) > 2 * REACH:
+            around = np.lib.stride_tricks.sliding_window_view(mixed, 2 * REACH + 1)
+            chosen = np.flatnonzero(around[:, REACH] == around.min(1)) + REACH + 2
         pa_, pb = [], []
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
             if y - x <= LONG:
                 continue
             at = x
-            for c in chosen[np.searchsorted(chosen, x + 2) : np.searchsorted(chosen, y)].tolist():
+            # only cuts whose surroundings lie in the line
+            for c in chosen[np.searchsorted(chosen, x + REACH + 2) : np.searchsorted(chosen, y - REACH, "right")].tolist():
                 if c - at >= LEAST_PIECE:
                     pa_.append(at)
                     pb.append(c)
-                    at = c
+                at = c
             if y - at >= LEAST_PIECE:
                 pa_.append(at)
                 pb.append(y)
