@@ -64,25 +64,34 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def bucket_links(buckets: DataFrame, verified, may_link=None) -> DataFrame:
-    """(a, b), a < b: verified links that join up all that meets in a bucket.
+def bucket_links(buckets: DataFrame, alike, data=None) -> DataFrame:
+    """(a, b), a < b: links that join up all that meets in a bucket.
 
-    ``buckets`` has (key, node) rows.  ``verified`` takes (a, b) pairs and
-    returns those that are links; ``may_link(a, b)``, if given, is a condition
-    on two columns that is evaluated inside the join.
+    ``buckets`` has (key, node) rows.  ``alike`` is a condition on the data of
+    two nodes; ``data`` takes the table of nodes that share a bucket and returns
+    (node, data) rows.  Without it a node is its own data.
 
     Emitting all pairs of a bucket would be quadratic in groups of copies.
     Instead each member first meets the smallest of its bucket; that settles
-    the groups whose members are all alike.  Only pairs that are still in
-    different components meet afterwards, so that the components are exactly
-    those of all linked pairs of all buckets.
+    the groups whose members are all alike.  Only members that are still in
+    different components are compared afterwards, inside the join, which gives
+    out links alone: the components are exactly those of all linked pairs of
+    all buckets.
     """
     hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     crowded = written(buckets.join(hubs, "key"), "crowded")
+    known = None if data is None else written(data(crowded.select("node").distinct()), "data")
+
+    def with_data(df: DataFrame, node: str, into: str) -> DataFrame:
+        if known is None:
+            return df.withColumn(into, F.col(node))
+        return df.join(known.select(F.col("node").alias(node), F.col("data").alias(into)), node)
+
     pairs = crowded.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    if may_link is not None:
-        pairs = pairs.where(may_link(F.col("a"), F.col("b")))
-    first = written(verified(pairs.distinct()), "links")
+    if known is not None:
+        pairs = written(pairs.distinct(), "pairs")
+    first = with_data(with_data(pairs, "a", "_da"), "b", "_db").where(alike(F.col("_da"), F.col("_db"))).select("a", "b")
+    first = written(first.distinct(), "links")
     named = components(first)
     member = (
         crowded.where("n > 2")
@@ -90,12 +99,9 @@ def bucket_links(buckets: DataFrame, verified, may_link=None) -> DataFrame:
         .select("key", "node", "hub", F.coalesce("component", "node").alias("c"))
     )
     split = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    member = written(member.join(split, "key", "left_semi"), "open")
-    x, y = member.alias("x"), member.select("key", "node", "c").alias("y")
-    meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
     # pairs with the hub were checked already
-    meets = meets & (F.col("x.node") != F.col("x.hub"))
-    if may_link is not None:
-        meets = meets & may_link(F.col("x.node"), F.col("y.node"))
-    rest = x.join(y, meets).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return first.unionByName(verified(rest))
+    open_ = written(with_data(member.where("node <> hub").join(split, "key", "left_semi"), "node", "d").select("key", "node", "c", "d"), "open")
+    x, y = open_.alias("x"), open_.alias("y")
+    meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
+    rest = x.join(y, meets & alike(F.col("x.d"), F.col("y.d"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    return first.unionByName(rest)

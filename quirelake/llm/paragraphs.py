@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ._shared import same, text_of, written
 from .components import bucket_links, components
@@ -193,9 +193,23 @@ def _cut_up(batches):
             yield batch_of(held)
 
 
-@F.arrow_udf(BooleanType())
-def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array([jaccard(x.as_py(), y.as_py()) >= SIMILAR for x, y in zip(a, b, strict=True)], pa.bool_())
+@F.arrow_udf(ArrayType(LongType()))
+def _shingles(lines: pa.Array) -> pa.Array:
+    """The set of 64-bit hashes of the five-word shingles of each line."""
+    out = []
+    for line in lines:
+        words = line.as_py().encode("utf-8", "surrogatepass").split()
+        h = np.array([_hashes.get(w) or _hash(w) for w in words], np.uint64)
+        out.append(np.unique(_rolled(h)).view(np.int64))
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def _alike(a, b):
+    """Jaccard similarity of two sets of at least SIMILAR, in whole numbers."""
+    both, total = F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)
+    bar = round(SIMILAR * 100)
+    # sizes alone rule out most
+    return (F.least(F.size(a), F.size(b)) * 100 >= F.greatest(F.size(a), F.size(b)) * bar) & (both * (100 + bar) >= total * bar)
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -214,17 +228,12 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     lines, pieces = found.where("not piece"), found.where("piece").select("doc", "key", "line", "start", "end", "content")
     collided = lines.select(F.explode("bands").alias("key"), F.col("content").alias("node")).distinct()
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
+    def sets(nodes: DataFrame) -> DataFrame:
         # one text for each content: equal contents have equal words
-        texts = lines.select("content", "words").join(wanted, "content", "left_semi").groupBy("content").agg(F.min("words").alias("words"))
-        texts = written(texts, "texts")
-        left = texts.select(F.col("content").alias("a"), F.col("words").alias("wa"))
-        right = texts.select(F.col("content").alias("b"), F.col("words").alias("wb"))
-        return pairs.join(left, "a").join(right, "b").where(_alike("wa", "wb")).select("a", "b")
+        texts = lines.select(F.col("content").alias("node"), "words").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("words").alias("words"))
+        return texts.select("node", _shingles("words").alias("data"))
 
-    named = components(bucket_links(collided, verified)).withColumnRenamed("node", "content")
+    named = components(bucket_links(collided, _alike, sets)).withColumnRenamed("node", "content")
     lost = written(_later(lines, named), "lines")
     staying = pieces.join(lost.select("doc", "key", "line").distinct(), same(pieces, lost, "doc", "key", "line"), "left_anti")
     return lost.drop("line").unionByName(_later(staying).drop("line"))

@@ -99,7 +99,7 @@ def fingerprint_links(prints: DataFrame, fp: str = "fp") -> DataFrame:
         F.col(fp).alias("node"),
     )
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= 2
-    return bucket_links(cells, lambda pairs: pairs, near)
+    return bucket_links(cells, near)
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
