@@ -19,9 +19,9 @@ from ._shared import text_of, written
 PAIRS, WORDS = 1 << 16, 1 << 15
 #: Frequent words that are encoded once and looked up, and the texts (bytes, about) in which they are counted.
 #: The table only saves time: any word not in it is folded, with the same result.
-FREQUENT, COUNTED_BYTES = 120_000, 48 << 20
+FREQUENT, COUNTED_BYTES = 100_000, 48 << 20
 #: Words of a text that share one table of folded words.
-STRETCH = 2000
+STRETCH = 1000
 #: Texts with longer runs are encoded by a heap of merges: the fold takes quadratic time in a word's length.
 LONG_RUN = 256
 
@@ -41,19 +41,26 @@ def _spark_pattern(pattern: str) -> str:
     return "(?U)" + pattern
 
 
+def _key(a, b):
+    """One number for a pair of ids; larger than any rank."""
+    return (a + 1) * (1 << 17) + b
+
+
 @lru_cache(maxsize=2)
 def _pairs_json(path: str) -> str:
-    """Key and rank of every pair of tokens whose bytes together are a token, by bucket of the pair.
+    """Key and rank of every pair of tokens whose bytes together are a token, by bucket of the key.
 
-    Keys are larger than any rank, so a bucket can be one flat list.
+    A bucket is one flat list that begins with null: the place after a key holds
+    its rank, the place after none (0) holds null.
     """
     ranks = read_ranks(path)
-    out: list[list[int]] = [[] for _ in range(PAIRS)]
+    out: list[list[int | None]] = [[None] for _ in range(PAIRS)]
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
             if a is not None and b is not None:
-                out[(a * 31 + b * 7919) % PAIRS] += [(a + 1) << 17 | b, rank]
+                k = _key(a, b)
+                out[(k * 31 >> 12 ^ k) & (PAIRS - 1)] += [k, rank]
     return json.dumps(out, separators=(",", ":"))
 
 
@@ -71,16 +78,21 @@ class Encoder:
         # foldable, so the optimizer turns each into a literal once
         self.pairs = F.from_json(F.lit(_pairs_json(path)), "array<array<bigint>>")
         self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
+        first = [ranks.get(bytes([a, b])) for a in range(256) for b in range(256)]
+        self.byte_pairs = F.from_json(F.lit(json.dumps(first)), "array<bigint>")
         by_id = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             by_id[rank] = token
-        self.pieces = F.from_json(F.lit(json.dumps([base64.b64encode(t).decode() for t in by_id])), "array<binary>")
+        self.pieces = F.from_json(F.lit(json.dumps([base64.b64encode(t).decode() for t in by_id])), "array<binary>").cast("array<string>")
 
     def rank(self, pairs: Column, a: Column, b: Column) -> Column:
         """Rank of the merge of two tokens; null if they don't merge."""
-        bucket = F.element_at(pairs, ((a * 31 + b * 7919) % PAIRS + 1).cast("int"))
-        place = F.array_position(bucket, (a + 1) * (1 << 17) + b)
-        return _let(place, lambda at: F.when(at > 0, F.element_at(bucket, (at + 1).cast("int"))))
+
+        def looked_up(key):
+            bucket = F.get(pairs, F.shiftright(key * 31, 12).bitwiseXOR(key).bitwiseAND(F.lit(PAIRS - 1)).cast("int"))
+            return _let(bucket, lambda found: F.get(found, F.array_position(found, key).cast("int")))
+
+        return _let(_key(a, b), looked_up)
 
     def fold(self, pairs: Column, word: Column) -> Column:
         """Token ids of one word, given ``self.pairs`` (bound once by the caller): the leftmost pair of the lowest rank merges, step by step.
@@ -89,12 +101,14 @@ class Encoder:
         and the rank of each adjacent pair.  A word has fewer merges than bytes.
         """
         edge = F.array(F.lit(self.edge).cast("long"))
-        raw = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        tokens = F.concat(edge, F.transform(raw, lambda c: F.element_at(self.bytes, F.ascii(c) + 1)), edge)
+        none = F.array(F.lit(None).cast("long"))
+        codes = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), F.ascii)
 
-        def begun(t):
-            ranks = F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), lambda a, b: self.rank(pairs, a, b))
-            return F.struct(t.alias("t"), ranks.alias("r"))
+        def begun(c):
+            tokens = F.concat(edge, F.transform(c, lambda x: F.get(self.bytes, x)), edge)
+            after = F.slice(c, F.lit(2), F.size(c) - 1)
+            ranks = F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), after, lambda a, b: F.get(self.byte_pairs, a * 256 + b))
+            return F.struct(tokens.alias("t"), F.concat(none, ranks, none).alias("r"))
 
         def merged(state, at):
             t, r = state["t"], state["r"]
@@ -110,7 +124,7 @@ class Encoder:
             return _let(place, lambda at: F.when(at.isNull(), state).otherwise(merged(state, at)))
 
         steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(word) - 1))
-        done = F.aggregate(steps, _let(tokens, begun), step, lambda s: s["t"])
+        done = F.aggregate(steps, _let(codes, begun), step, lambda s: s["t"])
         return _let(done, lambda t: F.slice(t, F.lit(2), F.size(t) - 2))
 
     def text(self, ids: Column) -> Column:
@@ -198,15 +212,18 @@ def encoded(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", in
         return pa.array([None if (v := t.as_py()) is None else heap_encode(v, words, ranks) for t in texts], pa.string())
 
     t = text_of(text)
-    has_run = t.rlike(f"\\S{{{LONG_RUN},}}|(?U)\\s{{{LONG_RUN},}}")
+    has_run = t.rlike(f"(?U)(?<!\\S)\\S{{{LONG_RUN}}}|(?<!\\s)\\s{{{LONG_RUN}}}")
 
     def look(table: Column, word: Column) -> Column:
         return F.element_at(F.element_at(table, (F.pmod(F.xxhash64(word), F.lit(WORDS)) + 1).cast("int")), word)
 
     def stretch(table: Column, pairs: Column, words: Column) -> Column:
-        fresh = F.filter(F.array_distinct(words), lambda w: look(table, w).isNull())
-        own = F.map_from_entries(F.transform(fresh, lambda w: F.struct(w.alias("w"), encoder.text(encoder.fold(pairs, w)).alias("i"))))
-        return _let(own, lambda o: F.array_join(F.transform(words, lambda w: F.coalesce(look(table, w), F.element_at(o, w))), ","))
+        def filled(found: Column) -> Column:
+            fresh = F.array_distinct(F.filter(words, lambda _, i: F.get(found, i).isNull()))
+            own = F.map_from_entries(F.transform(fresh, lambda w: F.struct(w.alias("w"), encoder.text(encoder.fold(pairs, w)).alias("i"))))
+            return _let(own, lambda o: F.array_join(F.transform(found, lambda f, i: F.coalesce(f, F.element_at(o, F.get(words, i)))), ","))
+
+        return _let(F.transform(words, lambda w: look(table, w)), filled)
 
     def whole(table: Column, pairs: Column, words: Column) -> Column:
         # a stretch of words at a time, so that the row's own table stays small in texts of any length
@@ -226,5 +243,5 @@ def encoded(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", in
 def decoded(ids: Column, ranks_path: str) -> Column:
     """The bytes of ids written as by ``encoded``: each id's piece, concatenated."""
     pieces = Encoder(ranks_path).pieces
-    each = F.transform(F.filter(F.split(ids, ","), lambda s: s != ""), lambda s: F.element_at(pieces, s.cast("int") + 1).cast("string"))
-    return F.array_join(each, "").cast("binary")
+    each = F.transform(F.split(ids, ","), lambda i: F.get(pieces, i.cast("int")))
+    return F.when(ids == "", F.lit(b"")).otherwise(F.array_join(each, "").cast("binary"))

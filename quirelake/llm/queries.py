@@ -82,9 +82,9 @@ def with_tokens(docs: DataFrame) -> DataFrame:
     ids = F.col("ids")
     return done.select(
         "doc_id",
-        F.when(ids == "", F.lit(0)).otherwise(F.length(ids) - F.length(F.replace(ids, F.lit(","), F.lit(""))) + 1).cast("long").alias("n_tokens"),
+        F.when(ids == "", F.lit(0)).otherwise(F.octet_length(ids) - F.octet_length(F.replace(ids, F.lit(","), F.lit(""))) + 1).cast("long").alias("n_tokens"),
         "ids",
-        F.sha2(F.encode(ids, "UTF-8"), 256).alias("ids_sha256"),
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
         F.sha2(bytepair.decoded(ids, path), 256).alias("decoded_sha256"),
     )
 
