@@ -1,4 +1,4 @@
-"""Substring dedup by paragraph MinHash banding."""
+"""Substring dedup: exact repeats of long passages, then paragraph MinHash banding."""
 
 from __future__ import annotations
 
@@ -6,17 +6,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ._shared import same, text_of, written
 from .components import bucket_links, components
 
-#: Words of a shingle, of the shortest line and of the shortest piece that are compared.
-SHINGLE, LEAST_WORDS, LEAST_PIECE = 5, 20, 8
-#: Longer lines are also cut into pieces of about 15 words: a cut is where the hash of two words is the least of
-#: REACH places on either side.  It depends on no other cut, thus 99 % of shared passages of 51 words share a piece.
-LONG, REACH = 40, 7
+#: Words of a shingle and of the shortest line that is compared.
+SHINGLE, LEAST_WORDS = 5, 20
+#: Words of the shortest passage that is a repeat wherever it stands, and of its marks.  A mark is the run of MARK words
+#: with the least hash among LEAST_RUN - MARK + 1 neighbours, thus every passage of LEAST_RUN words holds one that
+#: depends on nothing else (winnowing).
+LEAST_RUN, MARK = 51, 26
 #: 6 bands of 3 rows find a pair of Jaccard similarity 0.8 with probability 0.986, of 0.9 with 0.9996.
 BANDS, ROWS = 6, 3
 SIMILAR = 0.8
@@ -25,6 +27,7 @@ _rng = np.random.default_rng(20)
 _MULTIPLIER = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _OFFSET = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD6E8FEB86659FD93
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _REMEMBERED = 400_000
@@ -88,64 +91,78 @@ def _signatures(rolled: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return out
 
 
+def _runs(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, as integers modulo 2^64 of a rolling polynomial."""
+    n = len(h) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    # the base is odd, so its powers have inverses
+    one = np.ones(1, np.uint64)
+    up = np.multiply.accumulate(np.concatenate((one, np.full(len(h) - 1, _BASE, np.uint64))))
+    down = np.multiply.accumulate(np.concatenate((one, np.full(n - 1, pow(_BASE, -1, 2**64), np.uint64))))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)))
+    value = (total[size:] - total[:n]) * down
+    value = (value ^ (value >> np.uint64(32))) * _MIX
+    return (value ^ (value >> np.uint64(29))) * _MIX
+
+
+def _marks(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the marks of a row of word hashes, at least one in each LEAST_RUN words."""
+    if len(h) < LEAST_RUN:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    value = _runs(h, MARK)
+    near = LEAST_RUN - MARK + 1
+    # equal hashes (words that repeat) are told apart by place, so that few of them become marks
+    order = (value & ~np.uint64(31)) | (np.arange(len(value)) % near).astype(np.uint64)
+    least = np.lib.stride_tricks.sliding_window_view(order, near).argmin(1)
+    at = np.unique(least + np.arange(len(least)))
+    # a run that overlaps itself may have one mark for both places: the nearest equal hash before it is a mark too
+    before = at[:, None] - np.arange(1, near)
+    equal = (value[np.maximum(before, 0)] == value[at][:, None]) & (before >= 0)
+    own = np.flatnonzero(equal.any(1))
+    if len(own):
+        at = np.union1d(at, before[own, equal[own].argmax(1)])
+    return at, value[at].view(np.int64)
+
+
+def _split(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last byte, hash and line of each word."""
+    raw = np.frombuffer(data, np.uint8)
+    blank = _BLANK[raw]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
+    first, last = edge[::2], edge[1::2]
+    words = data.split()
+    h = list(map(_hashes.get, words))
+    for i, v in enumerate(h):
+        if v is None:
+            h[i] = _hash(words[i])
+    return first, last, np.array(h, np.uint64), np.searchsorted(np.flatnonzero(raw == 10), first)
+
+
 class Units:
-    """The lines of a text that are long enough to compare, and the pieces of the longer ones.
+    """The lines of a text that are long enough to compare, and the marks of its word sequence.
 
-    ``line_*`` and ``piece_*`` are arrays with an entry for each: number of the
-    line, first and last byte, content hash; ``bands`` has the keys of lines.
-    Pieces of a line begin where a hash of two words says so, thus a passage
-    that was pasted into another line is cut at the same places there.
+    ``line_*`` are arrays with an entry for each line: its number, first and
+    last byte, content hash; ``bands`` has the keys of lines.  ``marks`` are
+    places (in words) and hashes; lines end nothing there.  ``extent`` is the
+    first and last byte of all words.
     """
 
     def __init__(self, data: bytes):
-        raw = np.frombuffer(data, np.uint8)
-        blank = _BLANK[raw]
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
-        first, last = edge[::2], edge[1::2]
-        words = data.split()
-        h = list(map(_hashes.get, words))
-        for i, v in enumerate(h):
-            if v is None:
-                h[i] = _hash(words[i])
-        h = np.array(h, np.uint64)
-        line = np.searchsorted(np.flatnonzero(raw == 10), first)
+        first, last, h, line = _split(data)
+        self.marks = _marks(h)
+        self.extent = (first[:1], last[-1:])
         begin = np.flatnonzero(np.diff(line, prepend=-1))
         stop = np.append(begin[1:], len(first))[: len(begin)]
         keep = stop - begin >= LEAST_WORDS
         a, b = begin[keep], stop[keep]
         self.bands = np.zeros((0, BANDS), np.int64)
-        none = np.zeros(0, np.int64)
-        self.line_no = self.line_start = self.line_end = self.line_content = none
-        self.piece_no = self.piece_start = self.piece_end = self.piece_content = none
+        self.line_no = self.line_start = self.line_end = self.line_content = np.zeros(0, np.int64)
         if not len(a):
             return
         self.line_no, self.line_start, self.line_end = line[a], first[a], last[b - 1]
         self.line_content = _contents(h, a, b)
         self.bands = _signatures(_rolled(h), a, b)
-        mixed = (h[:-1] * _MIX) ^ (h[1:] >> np.uint64(7))
-        mixed = (mixed ^ (mixed >> np.uint64(33))) * _MIX
-        chosen = none
-        if len(mixed) > 2 * REACH:
-            around = np.lib.stride_tricks.sliding_window_view(mixed, 2 * REACH + 1)
-            chosen = np.flatnonzero(around[:, REACH] == around.min(1)) + REACH + 2
-        pa_, pb = [], []
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            if y - x <= LONG:
-                continue
-            at = x
-            # only cuts whose surroundings lie in the line
-            for c in chosen[np.searchsorted(chosen, x + REACH + 2) : np.searchsorted(chosen, y - REACH, "right")].tolist():
-                if c - at >= LEAST_PIECE:
-                    pa_.append(at)
-                    pb.append(c)
-                at = c
-            if y - at >= LEAST_PIECE:
-                pa_.append(at)
-                pb.append(y)
-        if pa_:
-            x, y = np.array(pa_), np.array(pb)
-            self.piece_no, self.piece_start, self.piece_end = line[x], first[x], last[y - 1]
-            self.piece_content = _contents(h, x, y)
 
 
 def jaccard(a: str, b: str) -> float:
@@ -159,13 +176,21 @@ def jaccard(a: str, b: str) -> float:
     return both / (len(p) + len(q) - both)
 
 
-_UNITS = "doc long, key long, line int, piece boolean, start int, end int, content long, bands array<long>, words string"
+_UNITS = "doc long, key long, line int, start int, end int, content long, bands array<long>, words string, at array<int>"
+
+
+def _characters(text: str, data: bytes):
+    """From places in bytes to places in characters, also where characters take several bytes."""
+    if text.isascii():
+        return lambda x: x
+    place = np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)))
+    return lambda x: place[x]
 
 
 def _cut_up(batches):
     kind = pa.schema(
-        [("doc", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("piece", pa.bool_()), ("start", pa.int32()), ("end", pa.int32())]
-        + [("content", pa.int64()), ("bands", pa.list_(pa.int64())), ("words", pa.string())]
+        [("doc", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]
+        + [("content", pa.int64()), ("bands", pa.list_(pa.int64())), ("words", pa.string()), ("at", pa.list_(pa.int32()))]
     )
 
     def batch_of(held):
@@ -176,16 +201,18 @@ def _cut_up(batches):
         size = 0
         for doc, key, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             data = text.encode("utf-8", "surrogatepass")
-            # places in characters, also where characters take several bytes
-            place = None if text.isascii() else np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)))
-            chars = lambda x: x if place is None else place[x]
+            chars = _characters(text, data)
             u = Units(data)
             rows = zip(u.line_no.tolist(), chars(u.line_start).tolist(), chars(u.line_end).tolist(), u.line_content.tolist(), u.bands.tolist(), strict=True)
             for n, a, b, content, bands in rows:
-                held.append((doc, key, n, False, a, b, content, bands, text[a:b]))
+                held.append((doc, key, n, a, b, content, bands, text[a:b], None))
                 size += b - a
-            for n, a, b, content in zip(u.piece_no.tolist(), chars(u.piece_start).tolist(), chars(u.piece_end).tolist(), u.piece_content.tolist(), strict=True):
-                held.append((doc, key, n, True, a, b, content, None, None))
+            at, hashes = u.marks
+            if len(at):
+                # one row with all marks of a text
+                a, b = chars(u.extent[0]).item(), chars(u.extent[1]).item()
+                held.append((doc, key, None, a, b, None, hashes, None, at.astype(np.int32)))
+                size += 12 * len(at)
             if size > 8 << 20 or len(held) > 50_000:
                 yield batch_of(held)
                 held, size = [], 0
@@ -212,20 +239,103 @@ def _alike(a, b):
     return (F.least(F.size(a), F.size(b)) * 100 >= F.greatest(F.size(a), F.size(b)) * bar) & (both * (100 + bar) >= total * bar)
 
 
+_SPAN = StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("kept_doc", LongType())])
+
+
+@F.arrow_udf(ArrayType(_SPAN))
+def _merged(lists: pa.Array) -> pa.Array:
+    """Spans in order, none of which overlap; where they do the one that begins first stays whole."""
+    kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kept_doc", pa.int64())])
+    out = []
+    for spans in lists:
+        # field by field: a long run has a span for each of its words
+        flat = spans.values
+        starts, ends, kept = (flat.field(n).to_pylist() for n in ("start", "end", "kept_doc"))
+        done: list[dict] = []
+        for a, b, k in sorted(zip(starts, ends, kept, strict=True), key=lambda x: (x[0], -x[1], x[2] is None, x[2] or 0)):
+            at = done[-1]["end"] if done else -1
+            if b <= at:
+                continue
+            if a <= at and done[-1]["kept_doc"] == k:
+                done[-1]["end"] = b
+            else:
+                done.append({"start": max(a, at), "end": b, "kept_doc": k})
+        out.append(done)
+    return pa.array(out, pa.list_(kind))
+
+
+_RUNS = "hash long, doc long, key long, at int, start int, last int, end int"
+
+
+def _long_runs(batches):
+    """All runs of LEAST_RUN words that hold one of the given marks of their text."""
+    names = ["hash", "doc", "key", "at", "start", "last", "end"]
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 4
+    for batch in batches:
+        for doc, key, text, hot in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            data = text.encode("utf-8", "surrogatepass")
+            first, last, h, _ = _split(data)
+            value = _runs(h, LEAST_RUN).view(np.int64)
+            change = np.zeros(len(h) + 1, np.int64)
+            hot = np.array(hot, np.int64)
+            np.add.at(change, np.maximum(hot - (LEAST_RUN - MARK), 0), 1)
+            np.add.at(change, hot + 1, -1)
+            at = np.flatnonzero(np.cumsum(change)[: len(value)] > 0)
+            chars = _characters(text, data)
+            end = at + LEAST_RUN - 1
+            for low in range(0, len(at), 1 << 16):
+                part = slice(low, low + (1 << 16))
+                n = len(at[part])
+                columns = [value[at[part]], [doc] * n, np.full(n, key), at[part], chars(first[at[part]]), chars(first[end[part]]), chars(last[end[part]])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def passages(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc, key, spans): each word of a run of LEAST_RUN words that stands at an earlier (id, position) too.
+
+    ``texts`` has the marks of ``rows``.  A run of LEAST_RUN words that occurs
+    twice holds the same mark both times, so only runs around marks that occur
+    twice are looked at; of those every one is, thus a repeat goes from its
+    first to its last word, also across lines.  A run that overlaps its own
+    first place loses its last word only.  Copies of a whole text are settled
+    by its hash.
+    """
+    copied = texts.groupBy("key").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first_doc", F.lit(True).alias("copied"))
+    texts = texts.join(copied, "key", "left").withColumn("copy", F.coalesce("copied", F.lit(False)) & ~F.col("doc").eqNullSafe(F.col("first_doc")))
+    marks = texts.where("not copy").select("doc", "key", F.explode(F.arrays_zip("at", "bands"))).select("doc", "key", "col.at", F.col("col.bands").alias("hash"))
+    marks = written(marks, "marks")
+    place = F.xxhash64("doc", "key", "at")
+    twice = marks.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("hash")
+    hot = written(marks.join(twice, "hash", "left_semi").groupBy("doc", "key").agg(F.collect_set("at").alias("hot")), "hot")
+    chosen = rows.join(hot.withColumnsRenamed({"doc": "d", "key": "k"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
+    runs = chosen.select("doc", "key", "text", "hot").mapInArrow(_long_runs, _RUNS)
+    order = W.partitionBy("hash").orderBy(F.col("doc").isNull(), "doc", "key", "at")
+    first = F.first(F.struct("doc", "key", "at")).over(order).alias("first")
+    seen = runs.select("doc", "key", "at", "start", "last", "end", first)
+    within = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("key") == F.col("first.key"))
+    overlaps = within & (F.col("at") < F.col("first.at") + LEAST_RUN)
+    later = seen.where(~(within & (F.col("at") == F.col("first.at")))).select(
+        "doc", "key", F.struct(F.when(overlaps, F.col("last")).otherwise(F.col("start")).alias("start"), "end", F.col("first.doc").alias("kept_doc")).alias("span")
+    )
+    whole = texts.where("copy").select("doc", "key", F.struct("start", "end", F.col("first_doc").alias("kept_doc")).alias("span"))
+    return written(later.unionByName(whole).groupBy("doc", "key").agg(_merged(F.collect_list("span")).alias("spans")), "passages")
+
+
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, key, start, end, kept_doc): what to remove, and the document that keeps it.
 
-    Lines of LEAST_WORDS words or more are alike at a Jaccard similarity of at
-    least 0.8 of their five-word shingles; groups are the components of that
-    relation, found among lines that collide in a band.  Then, among the lines
-    that stay, equal pieces of LEAST_PIECE words or more form groups (passages
-    pasted into other lines).  Of each group the occurrence with the smallest
-    (id, position) stays.  ``key`` is a hash of the text that tells rows of one
-    id apart.
+    First, passages of LEAST_RUN words or more that stand somewhere before
+    (see ``passages``).  Then lines of LEAST_WORDS words or more are alike at a
+    Jaccard similarity of at least 0.8 of their five-word shingles; groups are
+    the components of that relation, found among lines that collide in a band.
+    Of each group the occurrence with the smallest (id, position) stays, first
+    among the lines that lose no passage.  ``key`` is a hash of the text that
+    tells rows of one id apart.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text_of(text)).alias("key"), text_of(text).alias("text"))
     found = written(rows.mapInArrow(_cut_up, _UNITS), "units")
-    lines, pieces = found.where("not piece"), found.where("piece").select("doc", "key", "line", "start", "end", "content")
+    lines, texts = found.where("at is null"), found.where("at is not null").select("doc", "key", "start", "end", "at", "bands")
+    cut = passages(rows, texts)
     collided = lines.select(F.explode("bands").alias("key"), F.col("content").alias("node")).distinct()
 
     def sets(nodes: DataFrame) -> DataFrame:
@@ -234,42 +344,46 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         return texts.select("node", _shingles("words").alias("data"))
 
     named = components(bucket_links(collided, _alike, sets)).withColumnRenamed("node", "content")
-    lost = written(_later(lines, named), "lines")
-    staying = pieces.join(lost.select("doc", "key", "line").distinct(), same(pieces, lost, "doc", "key", "line"), "left_anti")
-    return lost.drop("line").unionByName(_later(staying).drop("line"))
+    c = cut.withColumnsRenamed({"doc": "d", "key": "k"})
+    left = lines.select("doc", "key", "start", "end", "content").join(c, F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left").drop("d", "k")
+    spans = F.coalesce("spans", F.array().cast(ArrayType(_SPAN)))
+    gone = F.exists(spans, lambda s: (s["start"] <= F.col("start")) & (s["end"] >= F.col("end")))
+    touched = F.exists(spans, lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
+    left = written(left.where(~gone).select("doc", "key", "start", "end", "content", touched.alias("touched")), "left")
+    passed = cut.select("doc", "key", F.explode("spans").alias("s")).select("doc", "key", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.kept_doc").alias("kept_doc"))
+    return _later(left, named).unionByName(passed)
 
 
-def _later(found: DataFrame, named: DataFrame | None = None) -> DataFrame:
+def _later(found: DataFrame, named: DataFrame) -> DataFrame:
     """All occurrences of a group but the first; ``named`` joins contents into groups."""
-    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "key", "start").alias("place")
+    place = F.struct("touched", F.col("doc").isNull().alias("none"), "doc", "key", "start").alias("place")
     first = found.groupBy("content").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("times"))
-    if named is None:
-        keepers = first.where("times > 1").select("content", F.col("place").alias("keeper"))
-    else:
-        first = written(
-            first.join(named, "content", "left")
-            .where("times > 1 or component is not null")
-            .select("content", "place", F.coalesce("component", "content").alias("group")),
-            "contents",
-        )
-        least = first.groupBy("group").agg(F.min("place").alias("keeper"))
-        keepers = first.join(least, "group").select("content", "keeper")
-    keepers = written(keepers, "keepers")
+    first = written(
+        first.join(named, "content", "left")
+        .where("times > 1 or component is not null")
+        .select("content", "place", F.coalesce("component", "content").alias("group")),
+        "contents",
+    )
+    least = first.groupBy("group").agg(F.min("place").alias("keeper"))
+    keepers = written(first.join(least, "group").select("content", "keeper"), "keepers")
     own = F.col("doc").eqNullSafe(F.col("keeper.doc")) & (F.col("key") == F.col("keeper.key")) & (F.col("start") == F.col("keeper.start"))
-    gone = found.select("doc", "key", "line", "start", "end", "content").join(keepers, "content")
-    return gone.where(~own).select("doc", "key", "line", "start", "end", F.col("keeper.doc").alias("kept_doc"))
+    gone = found.select("doc", "key", "start", "end", "content").join(keepers, "content")
+    return gone.where(~own).select("doc", "key", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("keeper.doc").alias("kept_doc"))
 
 
-_SPAN = StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("kept_doc", LongType())])
 
 
 def _without(text: str, spans) -> str:
     """``text`` less the spans; a span that is a whole line takes its line end with it."""
-    out, at = [], 0
+    joined: list[list[int]] = []
     for s in sorted(spans, key=lambda s: s["start"]):
-        a, b = max(at, s["start"]), s["end"]
-        if b <= at:
-            continue
+        if joined and s["start"] <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], s["end"])
+        else:
+            joined.append([s["start"], s["end"]])
+    out, at = [], 0
+    for a, b in joined:
+        a = max(a, at)
         if (a == 0 or text[a - 1] == "\n") and b < len(text) and text[b] == "\n":
             b += 1
         elif b == len(text) and a and text[a - 1] == "\n" and a - 1 >= at:
@@ -291,15 +405,15 @@ def per_document(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         repeats(docs, doc_id, text)
         .distinct()
         .groupBy("doc", "key")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kept_doc"))).alias("spans"))
+        .agg(_merged(F.collect_list(F.struct("start", "end", "kept_doc"))).alias("spans"))
     )
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", into: str = "removed") -> DataFrame:
-    """``docs`` with each repeated paragraph removed from ``text`` but for its first place; adds ``into``, the spans.
+    """``docs`` with each repeated passage and paragraph removed from ``text`` but for its first place; adds ``into``, the spans.
 
     Every row stays, even if nothing of its text does.  Lines of fewer than
-    LEAST_WORDS words are left alone.  Null texts stay null and lose nothing;
+    LEAST_WORDS words go only as part of a passage of LEAST_RUN words.  Null texts stay null and lose nothing;
     rows that repeat id and text count as one document and get the same
     result; null ids come last in the choice of the place that stays; texts of
     any length are cut whole; an existing column ``into`` is replaced, other
@@ -313,7 +427,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", in
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: how many characters and paragraphs it loses, and to which documents.
+    """One row per document: how many characters and passages it loses, and to which documents.
 
     The texts themselves are not shuffled.
     """

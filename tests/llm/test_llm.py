@@ -159,6 +159,29 @@ def test_paragraphs_that_repeat_go(spark):
     assert {r["doc_id"]: r["n_removed"] for r in paragraphs.digest(df).collect()}[1] == 0
 
 
+def left_by_brute_force(texts, run=51):
+    """Words that stay where each word of a run that stands earlier goes; a run that overlaps its first place loses its last word."""
+    first, out = {}, []
+    for d, text in enumerate(texts):
+        w = text.split()
+        gone = set()
+        for i in range(len(w) - run + 1):
+            at = first.setdefault(tuple(w[i : i + run]), (d, i))
+            if at != (d, i):
+                gone |= {i + run - 1} if at[0] == d and i < at[1] + run else set(range(i, i + run))
+        out.append([x for i, x in enumerate(w) if i not in gone])
+    return out
+
+
+def test_a_pasted_passage_goes_from_end_to_end(spark):
+    p = prose(51, 200)
+    texts = [f"{prose(60, 201)} {p} {prose(60, 202)}", f"{prose(45, 203)} {p} {prose(70, 204)}", f"{prose(41, 205)} {' '.join(p.split(' ')[:50])} {prose(41, 206)}"]
+    rows = paragraphs.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r["text"].split() for r in rows}
+    assert got == dict(enumerate(left_by_brute_force(texts)))
+    assert len(got[0]) == 171 and len(got[1]) == 115 and len(got[2]) == 132
+
+
 def test_minhash_bands_find_similar_pairs():
     hits = []
     for s in range(300):
