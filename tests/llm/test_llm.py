@@ -159,6 +159,11 @@ def test_paragraphs_that_repeat_go(spark):
     assert {r["doc_id"]: r["n_removed"] for r in paragraphs.digest(df).collect()}[1] == 0
 
 
+def wrapped(text, n):
+    w = text.split(" ")
+    return "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+
+
 def left_by_brute_force(texts, run=51):
     """Words that stay where each word of a run that stands earlier goes; a run that overlaps its first place loses its last word."""
     first, out = {}, []
@@ -182,6 +187,17 @@ def test_a_pasted_passage_goes_from_end_to_end(spark):
     assert len(got[0]) == 171 and len(got[1]) == 115 and len(got[2]) == 132
 
 
+def test_passages_over_short_lines_go(spark):
+    p, q = prose(90, 210), prose(140, 211)
+    head = lambda n, s: wrapped(prose(n, s), 9)
+    texts = [
+        f"{head(30, 212)}\n{wrapped(p, 12)}\n{head(31, 213)}\n{wrapped(q, 19)}", f"{head(33, 214)}\n{wrapped(p, 7)}\n{head(20, 215)}", wrapped(q, 15) + "\n" + wrapped(p, 11),
+        head(25, 216) + "\n" + wrapped(q, 19), wrapped(q[: len(q) // 2], 10) + "\n" + head(14, 217), f"{head(31, 218)}\n{wrapped(p, 5)}\né {wrapped(p, 6)} ü",
+    ]
+    rows = paragraphs.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"].split() for r in rows} == dict(enumerate(left_by_brute_force(texts)))
+
+
 def test_minhash_bands_find_similar_pairs():
     hits = []
     for s in range(300):
