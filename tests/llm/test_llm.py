@@ -198,6 +198,16 @@ def test_passages_over_short_lines_go(spark):
     assert {r["doc_id"]: r["text"].split() for r in rows} == dict(enumerate(left_by_brute_force(texts)))
 
 
+def test_short_runs_stay_and_repetitive_ones_go(spark):
+    p, w = prose(36, 220), "lo"
+    texts = [f"{prose(50, 221)} {p} {prose(50, 222)}", f"{prose(50, 223)} {p} {prose(50, 224)}", " ".join([w] * 300), f"{prose(50, 225)} {' '.join([w] * 200)} {prose(50, 226)}"]
+    texts += [f"{prose(50 + n, 227 + n)} {' '.join(['ra', 'ru', x] * 20)} {prose(50, 228 + n)}" for n, x in enumerate(["ri", "ro"])]
+    rows = paragraphs.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r["text"].split() for r in rows}
+    assert got == dict(enumerate(left_by_brute_force(texts)))
+    assert [len(got[i]) for i in range(4)] == [136, 136, 51, 100]
+
+
 def test_minhash_bands_find_similar_pairs():
     hits = []
     for s in range(300):
