@@ -21,7 +21,7 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         "doc_id",
         (F.size("leaks") > 0).alias("contaminated"),
         F.size("leaks").alias("n_items"),
-        F.coalesce(F.get("leaks.coverage", F.lit(0)), F.lit(0.0)).alias("max_coverage"),
+        F.coalesce(F.array_max("leaks.coverage"), F.lit(0.0)).alias("max_coverage"),
         F.array_sort("leaks.item_id").alias("item_ids"),
     )
 

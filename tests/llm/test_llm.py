@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quirelake.llm import bytepair, components, knn, license_scan, paragraphs, resample, simhash, tiling, token_count, toxicity, warc
+from quirelake.llm import bytepair, components, knn, license_scan, paragraphs, queries, resample, simhash, tiling, token_count, toxicity, warc
 
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 WORDS = P.path("word_bpe_49k.json")
@@ -258,6 +258,16 @@ def test_tiling(spark):
     assert tiling.matches(df, bench.limit(0)).where(F.size("leaks") > 0).count() == 0
 
 
+def test_max_coverage_over_several_blocks(spark, tmp_path, monkeypatch):
+    items = [prose(40, 300 + n).split(" ") for n in range(12)]
+    texts = [" ".join(items[n][:34] + items[(n + 1) % 12] + items[(n + 2) % 12][:36]) for n in range(12)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(tiling, "BLOCK_BYTES", 600)
+    for r in queries.op2_benchmark_decontamination(spark, str(tmp_path)).collect():
+        assert (r["max_coverage"], r["n_items"]) == (1.0, 3)
+
+
 def test_licenses(spark):
     docs = [
         (1, "Released under the MIT License."), (2, "GNU General Public License gnu general public license mit license mit license"), (3, None), (4, ""),
