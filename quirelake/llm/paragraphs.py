@@ -303,10 +303,9 @@ def passages(rows: DataFrame, texts: DataFrame) -> DataFrame:
     copied = texts.groupBy("key").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first_doc", F.lit(True).alias("copied"))
     texts = texts.join(copied, "key", "left").withColumn("copy", F.coalesce("copied", F.lit(False)) & ~F.col("doc").eqNullSafe(F.col("first_doc")))
     marks = texts.where("not copy").select("doc", "key", F.explode(F.arrays_zip("at", "bands"))).select("doc", "key", "col.at", F.col("col.bands").alias("hash"))
-    marks = written(marks, "marks")
-    place = F.xxhash64("doc", "key", "at")
-    twice = marks.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("hash")
-    hot = written(marks.join(twice, "hash", "left_semi").groupBy("doc", "key").agg(F.collect_set("at").alias("hot")), "hot")
+    place, alike = F.xxhash64("doc", "key", "at"), W.partitionBy("hash")
+    twice = marks.select("doc", "key", "at", F.min(place).over(alike).alias("low"), F.max(place).over(alike).alias("high")).where("low <> high")
+    hot = written(twice.groupBy("doc", "key").agg(F.collect_set("at").alias("hot")), "hot")
     chosen = rows.join(hot.withColumnsRenamed({"doc": "d", "key": "k"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
     runs = chosen.select("doc", "key", "text", "hot").mapInArrow(_long_runs, _RUNS)
     order = W.partitionBy("hash").orderBy(F.col("doc").isNull(), "doc", "key", "at")
