@@ -37,6 +37,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with as many more underscores as it takes to clash with no column of ``df``."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(column: str | Column) -> Column:
     """A text column in which null is the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

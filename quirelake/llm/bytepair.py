@@ -4,26 +4,28 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
-from ._shared import text_of, written
+from ._shared import free_names, text_of, written
 
-#: Buckets of the literal maps: an array literal of small maps is looked up in constant time.
-PAIRS, WORDS = 1 << 16, 1 << 15
-#: Frequent words that are encoded once and looked up, and the texts (bytes, about) in which they are counted.
-#: The table only saves time: any word not in it is folded, with the same result.
-FREQUENT, COUNTED_BYTES = 100_000, 48 << 20
+#: Buckets of the table of words: a bucket holds a few entries, so a lookup takes constant time.
+WORDS = 1 << 17
+#: Frequent words that are folded once and looked up, their longest, and the texts (bytes, about) in which they are counted.
+#: The table only saves time: any word not in it is folded in its row, with the same result.
+FREQUENT, FREQUENT_BYTES, COUNTED_BYTES = 300_000, 32, 96 << 20
 #: Words of a text that share one table of folded words.
 STRETCH = 1000
-#: Texts with longer runs are encoded by a heap of merges: the fold takes quadratic time in a word's length.
-LONG_RUN = 256
+#: Longer words (bytes) are encoded by a heap of merges: the fold takes quadratic time in a word's length.
+LONG = 4096
+#: An id takes so many bits; a pair that doesn't merge has the rank NONE, above all others.
+BITS = 17
+NONE, MASK = 1 << 20, (1 << BITS) - 1
 
 
 @lru_cache(maxsize=2)
@@ -32,216 +34,284 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _bucket(data: bytes, n: int) -> int:
-    return xxhash.xxh64_intdigest(data, 42) % n  # n is a power of two: the sign makes no difference
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _spark_pattern(pattern: str) -> str:
-    """White space as Unicode defines it."""
-    return "(?U)" + pattern
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
 
 
-def _key(a, b):
-    """One number for a pair of ids; larger than any rank."""
-    return (a + 1) * (1 << 17) + b
+def _word_bucket(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(_long(WORDS - 1)).cast("int")
 
 
-@lru_cache(maxsize=2)
-def _pairs_json(path: str) -> str:
-    """Key and rank of every pair of tokens whose bytes together are a token, by bucket of the key.
+def _looked_up(table: Column, bucket: Column, key: Column) -> Column:
+    """The value after ``key`` in a bucket, a flat array that begins with null: the place after none (0) holds null."""
+    return _let(F.get(table, bucket), lambda found: F.get(found, F.array_position(found, key).cast("int")))
 
-    A bucket is one flat list that begins with null: the place after a key holds
-    its rank, the place after none (0) holds null.
-    """
-    ranks = read_ranks(path)
-    out: list[list[int | None]] = [[None] for _ in range(PAIRS)]
-    for token, rank in ranks.items():
-        for cut in range(1, len(token)):
-            a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
-            if a is not None and b is not None:
-                k = _key(a, b)
-                out[(k * 31 >> 12 ^ k) & (PAIRS - 1)] += [k, rank]
-    return json.dumps(out, separators=(",", ":"))
 
+def _as_table(entries: DataFrame, name: str) -> DataFrame:
+    """One row with one column: the (bucket, key, value) rows of words as an array of buckets."""
+    none = F.lit(None).cast("string")
+    places = entries.sparkSession.range(WORDS).select(F.col("id").cast("int").alias("bucket"), none.alias("key"), none.alias("value"))
+    pairs = F.collect_list(F.when(F.col("key").isNotNull(), F.array("key", "value")))
+    held = entries.unionByName(places).groupBy("bucket").agg(F.concat(F.array(none), F.flatten(pairs)).alias("held"))
+    ordered = F.array_sort(F.collect_list(F.struct("bucket", "held")))
+    return written(held.agg(F.transform(ordered, lambda b: b["held"]).alias("t")), name)
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+
+def displaced(rows: dict[int, dict[int, int]]) -> np.ndarray:
+    """A map of pairs of ids as one array: place a holds the start of a's row, place start + b the value, with a above it.
+
+    Rows are laid over each other where their places are free (row
+    displacement), the longest first; a place that another id's row fills
+    shows that id.
+    """
+    rng, ids = np.random.default_rng(10), 1 << BITS
+    places = 4 * (sum(map(len, rows.values())) + ids)
+    out = np.full(2 * ids + places, -1, np.int64)
+    out[:ids] = ids
+    for a, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
+        b, value = np.array([*row], np.int64), np.array([*row.values()], np.int64)
+        while (out[(start := ids + int(rng.integers(places))) + b] >= 0).any():
+            pass
+        out[a], out[start + b] = start, a << BITS | value
+    return out
 
 
 class Encoder:
-    """Column expressions over one rank file."""
-
-    def __init__(self, path: str):
-        ranks = read_ranks(path)
-        self.path, self.edge = path, len(ranks) + 1
-        # foldable, so the optimizer turns each into a literal once
-        self.pairs = F.from_json(F.lit(_pairs_json(path)), "array<array<bigint>>")
-        self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
-        first = [ranks.get(bytes([a, b])) for a in range(256) for b in range(256)]
-        self.byte_pairs = F.from_json(F.lit(json.dumps(first)), "array<bigint>")
-        by_id = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            by_id[rank] = token
-        self.pieces = F.from_json(F.lit(json.dumps([base64.b64encode(t).decode() for t in by_id])), "array<binary>").cast("array<string>")
+    """Expressions over one rank file.
 
-    def rank(self, pairs: Column, a: Column, b: Column) -> Column:
-        """Rank of the merge of two tokens; null if they don't merge."""
+    Rank map, pieces and frequent words are one value each, of bounded size: a
+    scalar subquery over a written table, which the executed plan holds as a
+    literal.  Functions over arrays can't hold subqueries, so ``applied`` passes
+    them as columns that are used once: the optimizer puts the literal in their
+    place and no row ever holds it.
+    """
 
-        def looked_up(key):
-            bucket = F.get(pairs, F.shiftright(key * 31, 12).bitwiseXOR(key).bitwiseAND(F.lit(PAIRS - 1)).cast("int"))
-            return _let(bucket, lambda found: F.get(found, F.array_position(found, key).cast("int")))
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.ranks = spark, path, read_ranks(path)
+        self.bytes = F.from_json(F.lit(str([self.ranks[bytes([b])] for b in range(256)])), "array<bigint>")
+
+    def _one_row(self, value, kind: pa.DataType, name: str) -> DataFrame:
+        return written(self.spark.createDataFrame(pa.table({"t": pa.array([value], kind)})), name)
+
+    @cached_property
+    def rank_map(self) -> DataFrame:
+        """The rank of every pair of tokens whose bytes together are a token."""
+        rows: dict[int, dict[int, int]] = {}
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
+                if a is not None and b is not None:
+                    rows.setdefault(a, {})[b] = rank
+        return self._one_row(displaced(rows), pa.list_(pa.int64()), "ranks")
+
+    @cached_property
+    def pieces(self) -> DataFrame:
+        """The bytes of every id, as an array by id."""
+        by_id = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            by_id[rank] = token
+        return self._one_row(by_id, pa.list_(pa.binary()), "pieces")
+
+    @cached_property
+    def whole(self) -> DataFrame:
+        """Tokens that are texts, each with its id: such a word is one token, whatever its merges give."""
+        texts = {}
+        for token, rank in self.ranks.items():
+            try:
+                texts[token.decode()] = str(rank)
+            except UnicodeDecodeError:
+                continue
+        return self.spark.createDataFrame(pa.table({"key": pa.array(texts.keys(), pa.string()), "value": pa.array(texts.values(), pa.string())}))
+
+    def frequent(self, texts: DataFrame, pattern: str) -> DataFrame:
+        """Tokens that are texts and frequent words of the column ``t``, each with its ids as text, by bucket of the word."""
+        drawn = texts.where(F.octet_length("t") < 1 << 20)
+        size = drawn.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+        if size > COUNTED_BYTES:
+            drawn = drawn.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(COUNTED_BYTES / size * (1 << 30)))
+        counted = (
+            drawn.select(F.explode(words_of(F.col("t"), pattern)).alias("key"))
+            .groupBy("key")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .where((F.col("n") > 1) & (F.octet_length("key") <= FREQUENT_BYTES))
+            .join(F.broadcast(self.whole.select("key")), "key", "left_anti")
+            .orderBy(F.desc("n"), "key")
+            .limit(FREQUENT)
+        )
+        chosen = written(counted.select("key"), "frequent").repartition(self.spark.sparkContext.defaultParallelism, "key")
+        folded = self.applied(chosen, "value", lambda ranks: as_text(self.fold(ranks, F.col("key"))), self.rank_map)
+        entries = folded.unionByName(self.whole).select(_word_bucket(F.col("key")).alias("bucket"), "key", "value")
+        return _as_table(entries, "words")
+
+    def applied(self, df: DataFrame, into: str, body, *tables: DataFrame) -> DataFrame:
+        """``df`` with the column ``into``, which ``body`` makes from the tables' values."""
+        names = free_names(df, *[f"_table{n}" for n in range(len(tables))])
+
+        def bound(held: tuple, left: list[str]) -> Column:
+            return _let(F.col(left[0]), lambda value: bound((*held, value), left[1:])) if left else body(*held)
+
+        held = df.select("*", *[t.scalar().alias(n) for t, n in zip(tables, names, strict=True)])
+        return held.withColumn(into, bound((), names)).drop(*names)
+
+    @staticmethod
+    def _packed(ranks: Column, a: Column, b: Column) -> Column:
+        """Token ``a`` with the rank of its merge with ``b`` above it."""
+        found = F.get(ranks, (F.get(ranks, a.cast("int")) + b).cast("int"))
+        rank = F.when(F.shiftright(found, BITS) == a, found.bitwiseAND(_long(MASK))).otherwise(_long(NONE))
+        return F.shiftleft(rank, BITS).bitwiseOR(a)
+
+    def fold(self, ranks: Column, word: Column) -> Column:
+        """Token ids of one word, given the rank map: the leftmost pair of the lowest rank merges, step by step.
+
+        The state holds for each token its id and, above it, the rank of its
+        merge with the next one; so the least entry is the next merge.  A
+        token's id is the rank of the merge that makes it.  A word has fewer
+        merges than bytes.
+        """
+        codes = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda c: F.get(self.bytes, F.ascii(c)))
+        # the last token has a neighbour that merges with nothing
+        alone, none, gone = _long(NONE << BITS), _long(MASK), _long(-1)
 
-        return _let(_key(a, b), looked_up)
+        def token(x):
+            return x.bitwiseAND(_long(MASK))
 
-    def fold(self, pairs: Column, word: Column) -> Column:
-        """Token ids of one word, given ``self.pairs`` (bound once by the caller): the leftmost pair of the lowest rank merges, step by step.
+        def begun(t):
+            return F.transform(t, lambda x, i: self._packed(ranks, x, F.coalesce(F.get(t, i + 1), none)))
 
-        The state holds the tokens between two edges that merge with nothing,
-        and the rank of each adjacent pair.  A word has fewer merges than bytes.
-        """
-        edge = F.array(F.lit(self.edge).cast("long"))
-        none = F.array(F.lit(None).cast("long"))
-        codes = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), F.ascii)
-
-        def begun(c):
-            tokens = F.concat(edge, F.transform(c, lambda x: F.get(self.bytes, x)), edge)
-            after = F.slice(c, F.lit(2), F.size(c) - 1)
-            ranks = F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), after, lambda a, b: F.get(self.byte_pairs, a * 256 + b))
-            return F.struct(tokens.alias("t"), F.concat(none, ranks, none).alias("r"))
-
-        def merged(state, at):
-            t, r = state["t"], state["r"]
-            both = F.element_at(r, at)  # a token's id is the rank of the merge that makes it
-            left, right = self.rank(pairs, F.element_at(t, at - 1), both), self.rank(pairs, both, F.element_at(t, at + 2))
-            return F.struct(
-                F.concat(F.slice(t, F.lit(1), at - 1), F.array(both), F.slice(t, at + 2, F.size(t))).alias("t"),
-                F.concat(F.slice(r, F.lit(1), at - 2), F.array(left, right), F.slice(r, at + 2, F.size(r))).alias("r"),
-            )
+        def merged(state, at, new):
+            left, right = token(F.get(state, at - 1)), F.coalesce(token(F.get(state, at + 2)), none)
+            # what stands at the places at - 1, at and at + 1
+            fresh = F.array(self._packed(ranks, left, new), self._packed(ranks, new, right), gone)
+            return _let(fresh, lambda f: F.array_remove(F.transform(state, lambda x, i: F.coalesce(F.get(f, i - at + 1), x)), gone))
 
         def step(state, _):
-            place = F.array_position(state["r"], F.array_min(state["r"])).cast("int")
-            return _let(place, lambda at: F.when(at.isNull(), state).otherwise(merged(state, at)))
+            def next_(least):
+                place = (F.array_position(state, least) - 1).cast("int")
+                return F.when(least >= alone, state).otherwise(_let(place, lambda at: merged(state, at, F.shiftright(least, BITS))))
 
-        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(word) - 1))
-        done = F.aggregate(steps, _let(codes, begun), step, lambda s: s["t"])
-        return _let(done, lambda t: F.slice(t, F.lit(2), F.size(t) - 2))
+            return _let(F.array_min(state), next_)
 
-    def text(self, ids: Column) -> Column:
-        """Ids as decimal numbers joined by commas."""
-        return F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
+        steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(word) - 1))
+        return F.aggregate(steps, _let(codes, begun), step, lambda state: F.transform(state, token))
 
 
-def words_of(text: Column, pattern: str) -> Column:
-    """The pieces of a text that are merged separately."""
-    return F.regexp_extract_all(text, F.lit(_spark_pattern(pattern)), F.lit(0))
+def as_text(ids: Column) -> Column:
+    """Ids as decimal numbers joined by commas."""
+    return F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
 
 
-def heap_encode(text: str, words, ranks: dict[bytes, int]) -> str:
-    """The ids of a text as text, by a heap and linked lists (for texts with very long runs)."""
-    out = []
-    for word in words(text):
-        data = word.encode("utf-8", "surrogatepass")
-        if (whole := ranks.get(data)) is not None:
-            out.append(whole)
+def words_of(text: Column, pattern: str) -> Column:
+    """The pieces of a text that are merged separately; white space is what Unicode calls so."""
+    return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
+
+
+def heap_encode(word: str, ranks: dict[bytes, int]) -> str:
+    """The ids of a word as text, by a heap and linked lists (for very long words)."""
+    data = word.encode("utf-8", "surrogatepass")
+    if (whole := ranks.get(data)) is not None:
+        return str(whole)
+    part: list[bytes | None] = [data[i : i + 1] for i in range(len(data))]
+    n = len(part)
+    left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(r, i) for i in range(n - 1) if (r := ranks.get(part[i] + part[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        r, i = heapq.heappop(heap)
+        if part[i] is None or (j := right[i]) >= n or ranks.get(part[i] + part[j]) != r:
             continue
-        part: list[bytes | None] = [data[i : i + 1] for i in range(len(data))]
-        n = len(part)
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i) for i in range(n - 1) if (r := ranks.get(part[i] + part[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if part[i] is None or (j := right[i]) >= n or ranks.get(part[i] + part[j]) != r:
-                continue
-            part[i], part[j] = part[i] + part[j], None
-            k = right[i] = right[j]
-            if k < n:
-                left[k] = i
-                if (r := ranks.get(part[i] + part[k])) is not None:
-                    heapq.heappush(heap, (r, i))
-            if (h := left[i]) >= 0 and (r := ranks.get(part[h] + part[i])) is not None:
-                heapq.heappush(heap, (r, h))
-        out += [ranks[p] for p in part if p is not None]
-    return ",".join(map(str, out))
-
-
-def _frequent(texts: DataFrame, encoder: Encoder, pattern: str) -> Column:
-    """A literal table of frequent words and their ids as text, by bucket of the word."""
-    drawn = texts.select(text_of("text").alias("t")).where(F.octet_length("t") < 1 << 20)
-    size = drawn.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    if size > COUNTED_BYTES:
-        drawn = drawn.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(COUNTED_BYTES / size * (1 << 30)))
-    counted = (
-        drawn.select(F.explode(words_of(F.col("t"), pattern)).alias("w"))
-        .groupBy("w")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where((F.col("n") > 1) & (F.octet_length("w") <= 32))
-        .orderBy(F.desc("n"), "w")
-        .limit(FREQUENT)
-    )
-    chosen = written(counted, "frequent").repartition(texts.sparkSession.sparkContext.defaultParallelism)
-    rows = chosen.select("w", _let(encoder.pairs, lambda pairs: encoder.text(encoder.fold(pairs, F.col("w")))).alias("ids")).collect()
-    table: list[dict[str, str]] = [{} for _ in range(WORDS)]
-    for r in rows:
-        table[_bucket(r["w"].encode(), WORDS)][r["w"]] = r["ids"]
-    return F.from_json(F.lit(json.dumps(table)), "array<map<string,string>>")
-
-
-def encoded(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """Adds ``into``: the token ids of each whole text as decimal numbers joined by commas.
-
-    Each distinct word of a row is folded once, unless the table of frequent
-    words has it; the ids then take the places of the words.  Rows never move.
-    The rank map and the table are literals of fixed size.  Texts with a run
-    of more than LONG_RUN characters without a break between words are encoded
-    by a heap of merges in Python, which gives the same ids in n log n time.
+        part[i], part[j] = part[i] + part[j], None
+        k = right[i] = right[j]
+        if k < n:
+            left[k] = i
+            if (r := ranks.get(part[i] + part[k])) is not None:
+                heapq.heappush(heap, (r, i))
+        if (h := left[i]) >= 0 and (r := ranks.get(part[h] + part[i])) is not None:
+            heapq.heappush(heap, (r, h))
+    return ",".join(str(ranks[p]) for p in part if p is not None)
+
+
+def encoded(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", into: str = "ids", back: str | None = None) -> DataFrame:
+    """Adds ``into``: the token ids of each whole text as decimal numbers joined by commas; and ``back``, the bytes they decode to.
+
+    Words that are tokens as a whole, and frequent words, are looked up in a
+    table of bounded size; each other distinct word of a stretch of a row is
+    folded once, and its ids then take its places.  Rows never move.  Words of
+    over LONG bytes are encoded by a heap of merges in Python, which gives the
+    same ids in n log n time; all other words of their texts are folded.
 
     Null and empty texts have no ids (empty text); repeated rows, other columns
-    and empty tables pass through; an existing column ``into`` is replaced.
+    and empty tables pass through; existing columns ``into`` and ``back`` are
+    replaced.
     """
-    encoder = Encoder(ranks_path)
-    known = _frequent(df.select(F.col(text).alias("text")), encoder, pattern)
-    sent = df.sparkSession.sparkContext.broadcast((read_ranks(ranks_path), pattern))
-
-    @F.arrow_udf(StringType())
-    def by_heap(texts: pa.Array) -> pa.Array:
-        import regex
-
-        ranks, words = sent.value[0], regex.compile(sent.value[1]).findall
-        return pa.array([None if (v := t.as_py()) is None else heap_encode(v, words, ranks) for t in texts], pa.string())
-
+    encoder = Encoder(df.sparkSession, ranks_path)
     t = text_of(text)
-    has_run = t.rlike(f"(?U)(?<!\\S)\\S{{{LONG_RUN}}}|(?<!\\s)\\s{{{LONG_RUN}}}")
+    known = encoder.frequent(df.select(t.alias("t")), pattern)
+    begun, late, done = free_names(df, "_begun", "_late", "_done")
 
-    def look(table: Column, word: Column) -> Column:
-        return F.element_at(F.element_at(table, (F.pmod(F.xxhash64(word), F.lit(WORDS)) + 1).cast("int")), word)
-
-    def stretch(table: Column, pairs: Column, words: Column) -> Column:
+    def stretch(words: Column, known: Column, ranks: Column) -> Column:
         def filled(found: Column) -> Column:
-            fresh = F.array_distinct(F.filter(words, lambda _, i: F.get(found, i).isNull()))
-            own = F.map_from_entries(F.transform(fresh, lambda w: F.struct(w.alias("w"), encoder.text(encoder.fold(pairs, w)).alias("i"))))
-            return _let(own, lambda o: F.array_join(F.transform(found, lambda f, i: F.coalesce(f, F.element_at(o, F.get(words, i)))), ","))
+            def put_back(fresh: Column) -> Column:
+                own = F.transform(fresh, lambda w: F.when(F.octet_length(w) <= LONG, as_text(encoder.fold(ranks, w))))
+                place = lambda i: (F.array_position(fresh, F.get(words, i)) - 1).cast("int")
+                return _let(own, lambda o: F.array_join(F.transform(found, lambda f, i: F.coalesce(f, F.get(o, place(i)))), ",", "-"))
+
+            return _let(F.array_distinct(F.filter(words, lambda _, i: F.get(found, i).isNull())), put_back)
 
-        return _let(F.transform(words, lambda w: look(table, w)), filled)
+        return _let(F.transform(words, lambda w: _looked_up(known, _word_bucket(w), w)), filled)
 
-    def whole(table: Column, pairs: Column, words: Column) -> Column:
+    def whole(words: Column, known: Column, ranks: Column) -> Column:
         # a stretch of words at a time, so that the row's own table stays small in texts of any length
         last = F.greatest(F.lit(0), F.ceil(F.size(words) / F.lit(STRETCH)) - 1).cast("int")
-        parts = F.transform(F.sequence(F.lit(0), last), lambda n: _let(F.slice(words, n * STRETCH + 1, STRETCH), lambda part: stretch(table, pairs, part)))
+        parts = F.transform(F.sequence(F.lit(0), last), lambda n: _let(F.slice(words, n * STRETCH + 1, STRETCH), lambda part: stretch(part, known, ranks)))
         return F.array_join(parts, ",")
 
-    # each literal stands in the plan once: everything below refers to a variable that holds it
-    folding = _let(
-        known, lambda table: _let(encoder.pairs, lambda pairs: _let(words_of(text_of(text), pattern), lambda words: whole(table, pairs, words)))
-    )
-    marked = df.withColumn("_run", has_run)
-    folded = F.when(F.col("_run"), F.lit(None)).otherwise(folding)
-    return marked.withColumn(into, F.coalesce(by_heap(F.when(F.col("_run"), text_of(text))), folded)).drop("_run")
+    def folded(known: Column, ranks: Column) -> Column:
+        # a word that is left out has "-" for its ids
+        left_out = lambda words: F.filter(words, lambda w: F.octet_length(w) > LONG)
+        held = lambda words: F.struct(whole(words, known, ranks).alias("ids"), F.when(F.octet_length(t) > LONG, left_out(words)).alias("long"))
+        return _let(words_of(t, pattern), held)
 
+    sent = df.sparkSession.sparkContext.broadcast(encoder.ranks)
 
-def decoded(ids: Column, ranks_path: str) -> Column:
-    """The bytes of ids written as by ``encoded``: each id's piece, concatenated."""
-    pieces = Encoder(ranks_path).pieces
-    each = F.transform(F.split(ids, ","), lambda i: F.get(pieces, i.cast("int")))
-    return F.when(ids == "", F.lit(b"")).otherwise(F.array_join(each, "").cast("binary"))
+    @F.arrow_udf(ArrayType(StringType()))
+    def by_heap(lists: pa.Array) -> pa.Array:
+        found = [None if (words := row.as_py()) is None else [heap_encode(w, sent.value) for w in words] for row in lists]
+        return pa.array(found, pa.list_(pa.string()))
+
+    def completed() -> Column:
+        parts = lambda part, n: F.when(n == 0, part).otherwise(F.concat(F.get(F.col(late), n - 1), part))
+        return F.when(F.col(late).isNull(), F.col(begun)["ids"]).otherwise(F.array_join(F.transform(F.split(F.col(begun)["ids"], "-"), parts), ""))
+
+    def both(pieces: Column) -> Column:
+        return _let(completed(), lambda i: F.struct(i.alias("ids"), joined(pieces, i).alias("back")))
+
+    first = encoder.applied(df, begun, folded, known, encoder.rank_map)
+    some = F.when(F.size(F.col(begun)["long"]) > 0, F.col(begun)["long"])
+    marked = first.withColumn(late, by_heap(some))
+    if back is None:
+        return marked.withColumn(into, completed()).drop(begun, late)
+    out = encoder.applied(marked, done, both, encoder.pieces)
+    return out.withColumns({into: F.col(done)["ids"], back: F.col(done)["back"]}).drop(begun, late, done)
+
+
+def joined(pieces: Column, ids: Column) -> Column:
+    """The bytes of ids written as by ``encoded``; null if one of them is unknown."""
+    each = F.transform(F.split(ids, ","), lambda i: F.get(pieces, i.cast("int")).cast("string"))
+    known = _let(each, lambda e: F.when(F.exists(e, lambda x: x.isNull()), F.lit(None)).otherwise(F.array_join(e, "").cast("binary")))
+    return F.when(ids == "", F.lit(b"")).otherwise(known)
+
+
+def decoded(df: DataFrame, ranks_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
+    """Adds ``into``: the bytes of ids written as by ``encoded``, each id's piece concatenated.
+
+    Null ids give null, no ids no bytes, and an id that the file lacks makes
+    the row's bytes null.  ``df`` should be a stored table: ids that are
+    still to be worked out are decoded by ``encoded`` itself (``back``).
+    """
+    encoder = Encoder(df.sparkSession, ranks_path)
+    return encoder.applied(df, into, lambda pieces: joined(pieces, F.col(ids)), encoder.pieces)

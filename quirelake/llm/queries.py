@@ -78,14 +78,14 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_tokens(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids and digests of the ids and of what they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    done = bytepair.encoded(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    done = bytepair.encoded(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN, back="decoded")
     ids = F.col("ids")
     return done.select(
         "doc_id",
         F.when(ids == "", F.lit(0)).otherwise(F.octet_length(ids) - F.octet_length(F.replace(ids, F.lit(","), F.lit(""))) + 1).cast("long").alias("n_tokens"),
         "ids",
         F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(bytepair.decoded(ids, path), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
