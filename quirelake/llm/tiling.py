@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from ._shared import text_of
+from ._shared import free_names, text_of, written
 
 #: Words of a seed, and of the shortest tile.
 SEED = 5
-#: Bytes of benchmark text that one pass over the documents holds; more text takes more passes.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text in a block, and blocks whose indexes a worker holds at once; more blocks take more passes over the documents.
+BLOCK_BYTES, HELD = 8 << 20, 4
 _WORDS = re.compile(r"[^\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_PRIME, _ROOT = (1 << 61) - 1, 0x1F0A5C2B3D49
 
 FOUND = ArrayType(
     StructType(
@@ -49,11 +50,11 @@ def tiles(pattern: list, text: list, least: int = SEED) -> list[tuple[int, int,
         found: list[tuple[int, int, int]] = []
         longest = size
         where: dict[int, list[int]] = {}
-        for i in _windows(p_free, size):
-            where.setdefault(hash(tuple(pattern[i : i + size])), []).append(i)
+        for i, h in _windows(pattern, p_free, size):
+            where.setdefault(h, []).append(i)
         if where:
-            for j in _windows(t_free, size):
-                for i in where.get(hash(tuple(text[j : j + size])), ()):
+            for j, h in _windows(text, t_free, size):
+                for i in where.get(h, ()):
                     k = 0
                     while i + k < len(pattern) and j + k < len(text) and p_free[i + k] and t_free[j + k] and pattern[i + k] == text[j + k]:
                         k += 1
@@ -85,12 +86,19 @@ def tiles(pattern: list, text: list, least: int = SEED) -> list[tuple[int, int,
         size = max(least, size // 2)
 
 
-def _windows(free: list[bool], size: int):
-    run = 0
+def _windows(words: list, free: list[bool], size: int):
+    """(start, hash) of all windows of free words; the hash rolls from a window to the next."""
+    run, value, top = 0, 0, pow(_ROOT, size, _PRIME)
     for end, ok in enumerate(free):
-        run = run + 1 if ok else 0
+        if not ok:
+            run = value = 0
+            continue
+        value = (value * _ROOT + words[end] + 1) % _PRIME
+        if run >= size:
+            value = (value - (words[end - size] + 1) * top) % _PRIME
+        run += 1
         if run >= size:
-            yield end - size + 1
+            yield end - size + 1, value
 
 
 class Index:
@@ -171,9 +179,10 @@ def matches(
 
     A tile is a run of at least five words (the whole item, if shorter) that text
     and item share; tiles don't overlap, their order is free, so reordered
-    passages count.  The benchmark is taken in blocks of at most BLOCK_BYTES of
-    text, each of which is sent to all executors; every block is one more pass
-    over the rows, which never shuffle.
+    passages count.  Items come in the order of falling coverage.  The benchmark
+    is taken in blocks of about BLOCK_BYTES of text, each of which is sent to
+    all executors; a pass over the rows searches HELD blocks, and what it found
+    is a written table for the next one.  Rows never shuffle.
 
     Items without words or without id match nothing; null and empty texts hold
     nothing; repeated items count once (the ids are compared); very long texts
@@ -190,28 +199,32 @@ def matches(
     )
     total, longest = items.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.max("b"), F.lit(0))).first()
     blocks = -(-total // max(1, BLOCK_BYTES - min(longest, BLOCK_BYTES // 2))) or 1
-    columns = []
-    for n in range(blocks):
+    if into.lower() != text.lower():
+        df = df.drop(into)
+    columns = free_names(df, *[f"_leaks_{n}" for n in range(blocks)])
+    for n, name in enumerate(columns):
         # rows spread evenly over the blocks, so that one block stays near BLOCK_BYTES
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == n).select("i", "t").toLocalIterator()
         sent = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in part])
-        name = f"_leaks_{n}"
+        if n and n % HELD == 0:
+            df = written(df, "leaks")
         df = df.withColumn(name, _searcher(sent, threshold)(text_of(text)))
-        columns.append(name)
-    return df.withColumn(into, F.flatten(F.array(*columns))).drop(*[c for c in columns if c != into])
+    falling = F.array_sort(F.transform(F.flatten(F.array(*columns)), lambda x: F.struct((-x["coverage"]).alias("o"), x["item_id"].alias("i"), x.alias("x"))))
+    return df.withColumn(into, F.transform(falling, lambda r: r["x"])).drop(*columns)
 
 
-_indexes: dict[int, Index] = {}
+_indexes: dict[int, tuple] = {}
 
 
 def _searcher(sent, threshold: float):
     @F.arrow_udf(FOUND)
     def search(texts: pa.Array) -> pa.Array:
-        key = sent.id if hasattr(sent, "id") else id(sent)
-        if _indexes.get(key, (None, None))[0] is not sent.value:
-            _indexes.clear()
-            _indexes[key] = (sent.value, Index(sent.value))
-        index = _indexes[key][1]
+        items = sent.value
+        if _indexes.get(id(items), (None,))[0] is not items:
+            while len(_indexes) >= HELD:
+                del _indexes[next(iter(_indexes))]
+            _indexes[id(items)] = (items, Index(items))
+        index = _indexes[id(items)][1]
         kind = pa.list_(
             pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
         )
@@ -221,6 +234,11 @@ def _searcher(sent, threshold: float):
 
 
 def clean(df: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of ``df`` whose text leaks no benchmark item."""
-    columns = df.columns
-    return matches(df, benchmark, into="_leaks", **how).where(F.size("_leaks") == 0).select(*columns)
+    """The rows of ``df`` whose text leaks no benchmark item, with its columns.
+
+    Null and empty texts leak nothing and stay, repeated rows stay or go
+    together, an empty benchmark removes nothing, an empty table gives an empty
+    result; see ``matches``.
+    """
+    (leaks,) = free_names(df, "_leaks")
+    return matches(df, benchmark, into=leaks, **how).where(F.size(leaks) == 0).select(*df.columns)
