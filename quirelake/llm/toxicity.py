@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ._shared import text_of, written
+from ._shared import free_names, text_of, written
 
 #: Labelled rows that are used at most; those with the smallest hash of the id.
 POSITIVES, NEGATIVES = 4000, 8000
@@ -219,8 +219,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     At most POSITIVES and NEGATIVES rows are used, those with the smallest hash
     of their id; weights restore the true shares.  The lexicon and the
     calibration are cross-fitted in three folds, so no row is scored by what
-    was learned from itself.  Of several labels of one id the largest counts;
-    null labels, ids and texts take no part.
+    was learned from itself.  Of several labels of one id the largest counts,
+    of several texts the smallest, so that repeated ids keep the bound; null
+    labels, ids and texts take no part; with too few labels of a kind, or
+    empty tables, a fixed rule over the features takes the model's place.
     """
     seen = (
         labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
@@ -236,6 +238,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
         .where("t is not null")
         .join(F.broadcast(drawn), "id")
+        .groupBy("id")
+        .agg(F.min("t").alias("t"), F.min("y").alias("y"), F.min("h").alias("h"))
         .select("t", (F.col("y") > 0).cast("int").alias("y"), F.pmod(F.shiftright("h", 8), F.lit(FOLDS)).cast("int").alias("fold")),
         "sample",
     )
@@ -320,6 +324,11 @@ def with_score(df: DataFrame, model: Model, text: str = "text", into: str = "sco
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that a model trained on ``labels`` doesn't call toxic."""
-    columns = docs.columns
-    return with_score(docs, train(docs, labels), into="_toxic").where(F.col("_toxic") < threshold).select(*columns)
+    """The rows of ``docs`` that a model trained on ``labels`` doesn't call toxic, with their columns.
+
+    Null and empty texts are scored like texts without words (and stay, unless
+    nearly all labels are toxic); repeated rows stay or go together; ties at
+    the threshold go; an empty table gives an empty result; see ``train``.
+    """
+    (score,) = free_names(docs, "_score")
+    return with_score(docs, train(docs, labels), into=score).where(F.col(score) < threshold).select(*docs.columns)
