@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -16,25 +19,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (a local session, as in tests) a temporary folder takes its place.
+    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset,
+    in a local session (as in tests), a temporary folder takes its place;
+    elsewhere that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="quirelake-")
-        spark.sparkContext.setCheckpointDir(named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="quirelake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
         named = spark.sparkContext.getCheckpointDir()
     return named
 
 
+def _removed(process: int, jvm, conf, path: str) -> None:
+    if os.getpid() != process:
+        return
+    try:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone: what is left is a folder of steps
+        return
+
+
+def own_folder(spark: SparkSession) -> str:
+    """A new name in the shared folder; what is put there goes when the driver's process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/quirelake-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    atexit.register(_removed, os.getpid(), sc._jvm, sc._jsc.hadoopConfiguration(), path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/quirelake-{uuid.uuid4().hex}/{name}"
+    path = f"{own_folder(df.sparkSession)}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
@@ -51,11 +75,3 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
 def text_of(column: str | Column) -> Column:
     """A text column in which null is the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
-
-
-def same(left: DataFrame, right: DataFrame, *keys: str) -> Column:
-    """Null-safe equality of the key columns of two frames (still an equi-join)."""
-    out = left[keys[0]].eqNullSafe(right[keys[0]])
-    for k in keys[1:]:
-        out = out & left[k].eqNullSafe(right[k])
-    return out

@@ -5,13 +5,12 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import shared_dir, text_of, written
+from ._shared import own_folder, text_of, written
 
 #: A record ends with two line ends; the text writer puts them after each row.
 END = "\r\n\r\n"
@@ -22,7 +21,7 @@ LEAST_BYTES = 1000
 
 RECORD = (
     "record_id string, type string, concurrent_to string, target_uri string, date string, payload_digest string, "
-    "refers_to_uri string, fields map<string,string>, first_line string, payload_bytes long, payload_sha1 string"
+    "refers_to string, refers_to_uri string, fields map<string,string>, first_line string, payload_bytes long, payload_sha1 string"
 )
 
 
@@ -43,15 +42,20 @@ def _urn(digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
-def winners(pages: DataFrame, page_id: str, payload: Column) -> DataFrame:
-    """(_digest, _winner): the largest id of each group of equal payloads that has revisits."""
-    small = pages.select(F.col(page_id).alias("p"), F.sha1(F.encode(payload, "UTF-8")).alias("_digest"), F.octet_length(payload).alias("b"))
+def _uri_of(page_id: str, url: str) -> Column:
+    named = F.coalesce(F.col(url), F.concat(F.lit("urn:page:"), F.coalesce(F.col(page_id).cast("string"), F.lit(""))))
+    return F.regexp_replace(named, "[\\x00-\\x20\\x7f]", "%20")
+
+
+def winners(pages: DataFrame, page_id: str, payload: Column, uri: Column) -> DataFrame:
+    """(_digest, _winner, _sole, _first_uri): the largest id of each group of equal payloads that has revisits, whether one row alone has it, and its address."""
+    small = pages.select(F.col(page_id).alias("p"), F.sha1(F.encode(payload, "UTF-8")).alias("_digest"), F.octet_length(payload).alias("b"), uri.alias("u"))
+    counted = small.where((F.col("b") >= LEAST_BYTES)).groupBy("_digest", "p").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("u"))
     return (
-        small.where(F.col("b") >= LEAST_BYTES)
-        .groupBy("_digest")
-        .agg(F.max("p").alias("_winner"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1 and _winner is not null")
-        .select("_digest", "_winner")
+        counted.groupBy("_digest")
+        .agg(F.max(F.when(F.col("p").isNotNull(), F.struct("p", "n", "u"))).alias("w"), F.sum("n").alias("n"))
+        .where("n > 1 and w is not null")
+        .select("_digest", F.col("w.p").alias("_winner"), (F.col("w.n") == 1).alias("_sole"), F.col("w.u").alias("_first_uri"))
     )
 
 
@@ -62,7 +66,9 @@ def write_warc(
 
     Of rows with equal payloads of at least LEAST_BYTES that with the largest
     id is the response, the others are revisits of it; a null id is never the
-    largest.  Records of one capture are linked by WARC-Concurrent-To.  Files are
+    largest.  A revisit names its response by WARC-Refers-To (unless several
+    equal rows are that response), target URI and date.  Records of one
+    capture are linked by WARC-Concurrent-To.  Files are
     plain text output (whole-file gzip by default) of CAPTURES captures, so
     that each can be read by one task, and go through Spark's writer to any
     store.  Null payloads are empty; null urls become ``urn:page:<id>``;
@@ -70,11 +76,11 @@ def write_warc(
     captures of their own; an empty table leaves an archive without records.
     """
     payload = text_of(html)
-    dup = written(winners(pages, page_id, payload), "winners")
+    dup = written(winners(pages, page_id, payload, _uri_of(page_id, url)), "winners")
     rows = pages.select(
         F.col(page_id).cast("string").alias("_id"),
         F.col(page_id).alias("_page"),
-        F.regexp_replace(F.coalesce(F.col(url), F.concat(F.lit("urn:page:"), F.coalesce(F.col(page_id).cast("string"), F.lit("")))), "[\\x00-\\x20\\x7f]", "%20").alias("_uri"),
+        _uri_of(page_id, url).alias("_uri"),
         payload.alias("_payload"),
         F.sha1(F.encode(payload, "UTF-8")).alias("_digest"),
         F.regexp_replace(F.expr("uuid()"), "-", "").alias("_key"),
@@ -83,7 +89,11 @@ def write_warc(
         "_old", F.col("_winner").isNotNull() & (F.octet_length("_payload") >= LEAST_BYTES) & ~F.col("_page").eqNullSafe(F.col("_winner"))
     )
     stamp = F.lit(date) if date else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    # the one response that revisits refer to has an id that follows from its payload and page
+    first = _urn(F.md5(F.concat(F.col("_digest"), F.lit(" "), F.col("_winner").cast("string"))))
+    is_first = F.coalesce(F.col("_sole") & ~F.col("_old"), F.lit(False))
     own = {k: _urn(F.md5(F.concat(F.col("_key"), F.lit(k)))) for k in ("response", "request", "metadata")}
+    own["response"] = F.when(is_first, first).otherwise(own["response"])
     status = F.when(F.col("_old"), "HTTP/1.1 304 Not Modified\r\n").otherwise("HTTP/1.1 200 OK\r\n")
     http = F.concat(
         status,
@@ -98,6 +108,9 @@ def write_warc(
         F.concat(
             F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To-Date: "),
             stamp,
+            F.lit("\r\nWARC-Refers-To-Target-URI: "),
+            F.col("_first_uri"),
+            F.when(F.col("_sole"), F.concat(F.lit("\r\nWARC-Refers-To: "), first)).otherwise(""),
         ),
     ).otherwise("")
     response = _header(
@@ -124,7 +137,7 @@ def write_warc(
 
 
 def parse(stream):
-    """(headers, block) of each record of an open archive; headers have lower-case names."""
+    """(headers, block) of each record of an open archive; headers have lower-case names, the values of a repeated one stand side by side."""
     while True:
         line = stream.readline()
         if not line:
@@ -134,7 +147,8 @@ def parse(stream):
         headers = {"": line.decode("utf-8", "replace").strip()}
         while (line := stream.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[name.strip().lower()] = value.strip()
+            name = name.strip().lower()
+            headers[name] = f"{headers[name]} {value.strip()}" if name in headers else value.strip()
         size = int(headers.get("content-length") or 0)
         block = stream.read(size)
         if len(block) < size:
@@ -144,7 +158,7 @@ def parse(stream):
 
 def _rows(batches):
     schema = pa.schema(
-        [(n, pa.string()) for n in ("record_id", "type", "concurrent_to", "target_uri", "date", "payload_digest", "refers_to_uri")]
+        [(n, pa.string()) for n in ("record_id", "type", "concurrent_to", "target_uri", "date", "payload_digest", "refers_to", "refers_to_uri")]
         + [("fields", pa.map_(pa.string(), pa.string())), ("first_line", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha1", pa.string())]
     )
     for batch in batches:
@@ -166,7 +180,7 @@ def _rows(batches):
                 digest = (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None
                 held.append(
                     (h.get("warc-record-id"), kind, h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-date"), digest,
-                     h.get("warc-refers-to-target-uri"), fields, first, size, sha1)
+                     h.get("warc-refers-to"), h.get("warc-refers-to-target-uri"), fields, first, size, sha1)
                 )
                 if len(held) == 3000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
@@ -176,8 +190,12 @@ def _rows(batches):
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per WARC record below ``path`` (plain or gzip), with what was computed from its payload."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    """One row per WARC record below ``path`` (plain or gzip), with what was computed from its payload.
+
+    All files are read but those whose names begin with a dot or an underscore.
+    A file is held by one task.
+    """
+    files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(_rows, RECORD)
 
 
@@ -185,17 +203,18 @@ def transactions(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture, request and metadata records joined by concurrent-to ids.
 
     A capture is a response or revisit record.  Missing requests or metadata
-    are null; of several, that with the smallest record id is taken; records
-    that belong to no capture are left out.
+    are null; of several, that with the smallest record id is taken; a record
+    may name several captures; records that belong to no capture are left out.
     """
     captures = records.where(F.col("type").isin("response", "revisit")).select(
         F.col("record_id").alias("id"),
-        F.struct("record_id", "type", "target_uri", "date", "first_line", "payload_digest", "payload_bytes", "payload_sha1").alias("capture"),
+        F.struct("record_id", "type", "target_uri", "date", "first_line", "payload_digest", "payload_bytes", "payload_sha1", "refers_to", "refers_to_uri").alias("capture"),
     )
 
     def beside(kind, *columns):
         rows = records.where((F.col("type") == kind) & F.col("concurrent_to").isNotNull())
-        return rows.groupBy(F.col("concurrent_to").alias("id")).agg(F.min_by(F.struct("record_id", *columns), "record_id").alias(kind))
+        rows = rows.withColumn("id", F.explode(F.split("concurrent_to", " ")))
+        return rows.groupBy("id").agg(F.min_by(F.struct("record_id", *columns), "record_id").alias(kind))
 
     return (
         captures.join(beside("request", "target_uri", "first_line"), "id", "left")
@@ -207,5 +226,5 @@ def transactions(records: DataFrame) -> DataFrame:
 def captured(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes ``pages`` as an archive in the shared folder and gives its transactions, read back."""
     spark = pages.sparkSession
-    path = write_warc(pages, f"{shared_dir(spark).rstrip('/')}/quirelake-{uuid.uuid4().hex}/warc", page_id, url, html)
+    path = write_warc(pages, f"{own_folder(spark)}/warc", page_id, url, html)
     return transactions(written(read_warc(spark, path), "records"))
