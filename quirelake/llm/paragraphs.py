@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from ._shared import same, text_of, written
+from ._shared import free_names, text_of, written
 from .components import bucket_links, components
 
 #: Words of a shingle and of the shortest line that is compared.
@@ -418,11 +418,13 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", in
     any length are cut whole; an existing column ``into`` is replaced, other
     columns pass through; an empty table gives an empty result.
     """
-    spans = written(per_document(docs, doc_id, text), "spans").withColumnsRenamed({"doc": "_doc", "key": "_key", "spans": "_spans"})
-    marked = docs.drop(into).withColumn("_text_key", F.xxhash64(text_of(text)))
-    joined = marked.join(spans, marked[doc_id].cast("long").eqNullSafe(spans["_doc"]) & (marked["_text_key"] == spans["_key"]), "left")
-    cleaned = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(_removed(F.col(text), F.col("_spans")))
-    return joined.withColumn(text, cleaned).withColumn(into, F.coalesce("_spans", F.array().cast(ArrayType(_SPAN)))).drop("_doc", "_key", "_spans", "_text_key")
+    docs = docs.drop(into) if into.lower() != text.lower() else docs
+    doc, key, found, own = free_names(docs, "_doc", "_key", "_spans", "_text_key")
+    spans = written(per_document(docs, doc_id, text), "spans").withColumnsRenamed({"doc": doc, "key": key, "spans": found})
+    marked = docs.withColumn(own, F.xxhash64(text_of(text)))
+    joined = marked.join(spans, marked[doc_id].cast("long").eqNullSafe(spans[doc]) & (marked[own] == spans[key]), "left")
+    cleaned = F.when(F.col(found).isNull(), F.col(text)).otherwise(_removed(F.col(text), F.col(found)))
+    return joined.withColumn(text, cleaned).withColumn(into, F.coalesce(found, F.array().cast(ArrayType(_SPAN)))).drop(doc, key, found, own)
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,10 +6,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ._shared import same, text_of, written
+from ._shared import free_names, text_of, written
 from .components import bucket_links, components
 
 SEED = 42
@@ -137,23 +138,22 @@ def groups(prints: DataFrame) -> DataFrame:
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of ``df``, one for each component: that with the smallest id.
+    """The rows of ``df``, one for each component of ``near_duplicates``: that with the smallest id.
 
     Among rows that share this id the smallest fingerprint stays, and one of
-    repeated rows.  Components without any id keep one row too.
+    repeated rows.  Null and empty texts are copies of each other; components
+    without any id keep one row too; other columns pass through; an empty table
+    gives an empty result.
     """
-    columns = df.columns
-    marked = with_fingerprint(df, text, "_fp", shingle)
-    prints = written(marked.select(F.col(doc_id).alias("doc_id"), F.col("_fp").alias("fp")), "fingerprints")
-    named = groups(prints)
+    key, fp, keep, number = free_names(df, "_key", "_fp", "_keep", "_number")
+    # a struct, so that a null id is a key like any other
+    marked = with_fingerprint(df, text, fp, shingle).withColumn(key, F.struct(F.col(doc_id).alias("id"), F.col(fp).alias("fp")))
+    prints = written(marked.select(F.col(key)["id"].alias("doc_id"), F.col(key)["fp"].alias("fp")), "fingerprints")
     kept = (
-        prints.join(named, "fp")
+        prints.join(groups(prints), "fp")
         .groupBy(F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("no id: "), "fp")).alias("group"))
         .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k"))
-        .select(F.col("k.doc_id").alias("_keep_id"), F.col("k.fp").alias("_keep_fp"))
+        .select(F.struct(F.col("k.doc_id").alias("id"), F.col("k.fp").alias("fp")).alias(keep))
     )
-    from pyspark.sql import Window as W
-
-    joined = marked.join(kept, marked[doc_id].eqNullSafe(kept["_keep_id"]) & (marked["_fp"] == kept["_keep_fp"]), "left_semi")
-    once = F.row_number().over(W.partitionBy(doc_id, "_fp").orderBy(doc_id, "_fp"))
-    return joined.withColumn("_n", once).where("_n = 1").select(*columns)
+    joined = marked.join(kept, marked[key] == kept[keep], "left_semi")
+    return joined.withColumn(number, F.row_number().over(W.partitionBy(key).orderBy(key))).where(F.col(number) == 1).select(*df.columns)
