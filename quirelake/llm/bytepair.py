@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -15,10 +16,10 @@ from pyspark.sql.types import ArrayType, StringType
 from ._shared import free_names, text_of, written
 
 #: Buckets of the table of words: a bucket holds a few entries, so a lookup takes constant time.
-WORDS = 1 << 17
+WORDS = 1 << 18
 #: Frequent words that are folded once and looked up, their longest, and the texts (bytes, about) in which they are counted.
 #: The table only saves time: any word not in it is folded in its row, with the same result.
-FREQUENT, FREQUENT_BYTES, COUNTED_BYTES = 300_000, 32, 96 << 20
+FREQUENT, FREQUENT_BYTES, COUNTED_BYTES = 600_000, 32, 192 << 20
 #: Words of a text that share one table of folded words.
 STRETCH = 1000
 #: Longer words (bytes) are encoded by a heap of merges: the fold takes quadratic time in a word's length.
@@ -43,21 +44,29 @@ def _long(value: int) -> Column:
     return F.lit(value).cast("long")
 
 
-def _word_bucket(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(_long(WORDS - 1)).cast("int")
+def _mark(byte: int) -> Column:
+    """A byte that no UTF-8 text holds, so no word either."""
+    return F.lit(bytes([byte])).cast("string")
+
 
+def _looked_up(table: Column, word: Column) -> Column:
+    """The value of a word in a table by buckets; empty if it has none."""
+    cut = lambda x, mark, n: F.call_function("substring_index", x, mark, F.lit(n))
+    after = cut(F.get(table, _word_bucket(word)), F.concat(_mark(0xFF), word, _mark(0xFE)), -1)
+    # a bucket without the word is left whole and begins with a mark
+    return cut(after, _mark(0xFF), 1)
 
-def _looked_up(table: Column, bucket: Column, key: Column) -> Column:
-    """The value after ``key`` in a bucket, a flat array that begins with null: the place after none (0) holds null."""
-    return _let(F.get(table, bucket), lambda found: F.get(found, F.array_position(found, key).cast("int")))
+
+def _word_bucket(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(WORDS - 1))
 
 
 def _as_table(entries: DataFrame, name: str) -> DataFrame:
-    """One row with one column: the (bucket, key, value) rows of words as an array of buckets."""
+    """One row with one column: the (bucket, key, value) rows of words as an array of buckets, each a string of marked keys and values."""
     none = F.lit(None).cast("string")
     places = entries.sparkSession.range(WORDS).select(F.col("id").cast("int").alias("bucket"), none.alias("key"), none.alias("value"))
-    pairs = F.collect_list(F.when(F.col("key").isNotNull(), F.array("key", "value")))
-    held = entries.unionByName(places).groupBy("bucket").agg(F.concat(F.array(none), F.flatten(pairs)).alias("held"))
+    pairs = F.collect_list(F.concat(_mark(0xFF), F.col("key"), _mark(0xFE), F.col("value")))
+    held = entries.unionByName(places).groupBy("bucket").agg(F.concat(F.array_join(pairs, ""), _mark(0xFF)).alias("held"))
     ordered = F.array_sort(F.collect_list(F.struct("bucket", "held")))
     return written(held.agg(F.transform(ordered, lambda b: b["held"]).alias("t")), name)
 
@@ -95,8 +104,9 @@ class Encoder:
         self.spark, self.path, self.ranks = spark, path, read_ranks(path)
         self.bytes = F.from_json(F.lit(str([self.ranks[bytes([b])] for b in range(256)])), "array<bigint>")
 
-    def _one_row(self, value, kind: pa.DataType, name: str) -> DataFrame:
-        return written(self.spark.createDataFrame(pa.table({"t": pa.array([value], kind)})), name)
+    def _one_row(self, value, kind: pa.DataType, name: str, cast: str | None = None) -> DataFrame:
+        row = self.spark.createDataFrame(pa.table({"t": pa.array([value], kind)}))
+        return written(row.select(F.col("t").cast(cast)) if cast else row, name)
 
     @cached_property
     def rank_map(self) -> DataFrame:
@@ -111,11 +121,11 @@ class Encoder:
 
     @cached_property
     def pieces(self) -> DataFrame:
-        """The bytes of every id, as an array by id."""
+        """The bytes of every id, as an array by id (of strings, that is bytes of any kind, so that they can be joined)."""
         by_id = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             by_id[rank] = token
-        return self._one_row(by_id, pa.list_(pa.binary()), "pieces")
+        return self._one_row(by_id, pa.list_(pa.binary()), "pieces", "array<string>")
 
     @cached_property
     def whole(self) -> DataFrame:
@@ -207,7 +217,14 @@ def as_text(ids: Column) -> Column:
 
 def words_of(text: Column, pattern: str) -> Column:
     """The pieces of a text that are merged separately; white space is what Unicode calls so."""
-    return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
+    return F.regexp_extract_all(text, F.lit("(?U)" + _possessive(pattern)), F.lit(0))
+
+
+def _possessive(pattern: str) -> str:
+    """The same pattern, where the repeat that ends an alternative gives nothing back: nothing follows that could want it."""
+    if "(" in pattern.replace("(?!", "").replace("(?=", ""):
+        return pattern
+    return re.sub(r"(\\p\{\w+\}|\\[a-zA-Z]|[^\\+*?}])\+(?=\||$)", r"\1++", pattern)
 
 
 def heap_encode(word: str, ranks: dict[bytes, int]) -> str:
@@ -258,11 +275,11 @@ def encoded(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", in
             def put_back(fresh: Column) -> Column:
                 own = F.transform(fresh, lambda w: F.when(F.octet_length(w) <= LONG, as_text(encoder.fold(ranks, w))))
                 place = lambda i: (F.array_position(fresh, F.get(words, i)) - 1).cast("int")
-                return _let(own, lambda o: F.array_join(F.transform(found, lambda f, i: F.coalesce(f, F.get(o, place(i)))), ",", "-"))
+                return _let(own, lambda o: F.array_join(F.transform(found, lambda f, i: F.when(f != "", f).otherwise(F.get(o, place(i)))), ",", "-"))
 
-            return _let(F.array_distinct(F.filter(words, lambda _, i: F.get(found, i).isNull())), put_back)
+            return _let(F.array_distinct(F.filter(words, lambda _, i: F.get(found, i) == "")), put_back)
 
-        return _let(F.transform(words, lambda w: _looked_up(known, _word_bucket(w), w)), filled)
+        return _let(F.transform(words, lambda w: _looked_up(known, w)), filled)
 
     def whole(words: Column, known: Column, ranks: Column) -> Column:
         # a stretch of words at a time, so that the row's own table stays small in texts of any length
@@ -300,10 +317,13 @@ def encoded(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", in
 
 
 def joined(pieces: Column, ids: Column) -> Column:
-    """The bytes of ids written as by ``encoded``; null if one of them is unknown."""
-    each = F.transform(F.split(ids, ","), lambda i: F.get(pieces, i.cast("int")).cast("string"))
-    known = _let(each, lambda e: F.when(F.exists(e, lambda x: x.isNull()), F.lit(None)).otherwise(F.array_join(e, "").cast("binary")))
-    return F.when(ids == "", F.lit(b"")).otherwise(known)
+    """The bytes of ids written as by ``encoded``; ids without a piece give none."""
+    each = F.transform(F.split(ids, ","), lambda i: F.get(pieces, i.cast("int")))
+    return F.when(ids == "", F.lit(b"")).otherwise(F.array_join(each, "").cast("binary"))
+
+
+def _all_known(pieces: Column, ids: Column) -> Column:
+    return (ids == "") | F.forall(F.split(ids, ","), lambda i: F.get(pieces, i.try_cast("int")).isNotNull())
 
 
 def decoded(df: DataFrame, ranks_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -314,4 +334,5 @@ def decoded(df: DataFrame, ranks_path: str, ids: str = "ids", into: str = "decod
     still to be worked out are decoded by ``encoded`` itself (``back``).
     """
     encoder = Encoder(df.sparkSession, ranks_path)
-    return encoder.applied(df, into, lambda pieces: joined(pieces, F.col(ids)), encoder.pieces)
+    checked = lambda pieces: F.when(_all_known(pieces, F.col(ids)), joined(pieces, F.col(ids)))
+    return encoder.applied(df, into, checked, encoder.pieces)

@@ -1,9 +1,24 @@
 """Stages of the pipeline on planted fixtures, against brute force."""
 
+import hashlib
 import random
 
 import corpus_pipeline
-from test_llm import brute_components, prose
+import public_tokenizers as P
+from test_llm import RANKS, brute_components, brute_tiles, left_by_brute_force, prose
+
+from quirelake.llm import bytepair
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(spark, texts, first=0):
+    return spark.createDataFrame([(first + i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)], COLUMNS)
+
+
+def toxic(n):
+    r = random.Random(n)
+    return " ".join(prose(20 + n % 50, n).split(" ") + ["you", "zorrk" + r.choice(["el", "an", "o"]), "zorrkish"])
 
 
 def shingle_set(text):
@@ -27,3 +42,70 @@ def test_near_copies_of_jaccard_0_8_go(spark):
     docs = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, texts[5])], "doc_id long, text string")
     got = corpus_pipeline.STAGES[1][1](spark, docs, "").collect()
     assert sorted(r["doc_id"] for r in got) == want
+
+
+def test_toxic_documents_go(spark, tmp_path):
+    texts = [toxic(n) if n % 5 == 0 else prose(20 + n % 50, n) for n in range(600)] + ["", None]
+    spark.createDataFrame([(n, int(n % 5 == 0)) for n in range(0, 500)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = documents(spark, texts)
+    out = corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    # rows without a label are rejected or kept by the same rule
+    assert sorted(r["doc_id"] for r in out.collect()) == [n for n in range(602) if n % 5 or n >= 600]
+
+
+def test_repeats_are_cut(spark):
+    p, q = prose(60, 1), prose(75, 2)
+    texts = [f"{prose(30, 3)} {p} {prose(31, 4)}", f"{prose(15, 5)} {p} {prose(19, 6)}", f"{q}", f"{prose(19, 7)} {q}", None, "", f"{p} {q}"]
+    out = corpus_pipeline.STAGES[2][1](spark, documents(spark, texts), "")
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert {i: (r["text"] or "").split() for i, r in rows.items()} == dict(enumerate(left_by_brute_force([t or "" for t in texts])))
+    assert out.columns == COLUMNS.replace("long", "").replace("string", "").replace(" ", "").split(",")
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows.values())
+
+
+def test_leaks_go(spark, tmp_path):
+    r, items = random.Random(6), [prose(n, 50 + n) for n in (3, 12, 30, 45)]
+    spark.createDataFrame([*enumerate(items), (9, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["", None]
+    for n in range(60):
+        w = r.choice(items).split(" ")
+        cut = r.randrange(len(w))
+        for at in r.sample(range(len(w)), r.randrange(len(w) // 3 + 1)):
+            w[at] = "other"
+        texts.append(" ".join([*prose(20, n).split(" "), *w[cut:], *prose(6, 99 + n).split(" "), *w[:cut]]))
+
+    def leaks(text, item):
+        p, t = item.split(" "), text.split(" ")
+        return brute_tiles(p, t, min(5, len(p))) >= 0.8 * len(p)
+
+    want = [i for i, t in enumerate(texts) if not any(leaks(t or "", item) for item in items)]
+    got = corpus_pipeline.STAGES[3][1](spark, documents(spark, texts), str(tmp_path))
+    assert 2 < len(want) < 60 and sorted(x["doc_id"] for x in got.collect()) == want
+
+
+def test_run(spark, tmp_path):
+    import tiktoken
+
+    item, p = prose(40, 900), prose(80, 901)
+    near = prose(100, 902).split(" ")
+    texts = [prose(60, n) for n in range(90)] + [toxic(n) for n in range(10)]
+    texts += [f"{prose(30, 903)} {item} {prose(30, 904)}", " ".join(near), " ".join(near[:50] + ["x"] + near[51:]), f"{prose(30, 905)} {p}", f"{p} {prose(33, 906)}", texts[4], None]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    marked = [(n, int(n >= 90)) for n in range(100)] + [(1000 + n, n % 2) for n in range(400)]
+    extra = documents(spark, [toxic(500 + n) if n % 2 else prose(40, 3000 + n) for n in range(400)], 1000)
+    extra.write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marked, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    # toxic ones, the second near copy and the copy, and the leak are gone; the repeat is cut
+    want = {n: texts[n] for n in [*range(90), 101, 103, 106]} | {104: prose(33, 906)}
+    want |= {1000 + n: prose(40, 3000 + n) for n in range(0, 400, 2)}
+    assert sorted(got) == sorted(want)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bytepair.read_ranks(RANKS), special_tokens={})
+    for n, text in want.items():
+        data = (text or "").strip()
+        ids = enc.encode_ordinary(data)
+        assert got[n]["ids"].strip() in (",".join(map(str, ids)), ",".join(map(str, enc.encode_ordinary(" " + data))))
+        if n != 104:
+            assert got[n]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest() and got[n]["n_tokens"] == len(ids)
