@@ -84,8 +84,14 @@ def suggestion(head: Column) -> Column:
     return reduce(lambda case, rule: case.when(clean.rlike(rule[1]), rule[0]), SUGGESTED[1:], F.when(clean.rlike(SUGGESTED[0][1]), SUGGESTED[0][0]))
 
 
+def suggestions(frequencies: DataFrame, min_count: int = 1) -> DataFrame:
+    """(head, key, n): the suggested key of each heading of a (head, n) table that occurs often enough."""
+    rows = frequencies.where((F.col("n") >= min_count) & (sanitized(F.col("head")) != ""))
+    return rows.select("head", suggestion(F.col("head")).alias("key"), "n").where("key is not null")
+
+
 def exact_sql() -> str:
     return ", ".join("('{}', '{}')".format(h.replace("'", "''"), k) for h, k in dictionary())
 
 
-__all__ = ["BOILERPLATE", "CANONICAL", "by_rules", "classify", "dictionary", "exact_sql", "is_boilerplate", "sanitized", "suggestion"]
+__all__ = ["BOILERPLATE", "CANONICAL", "by_rules", "classify", "dictionary", "exact_sql", "is_boilerplate", "sanitized", "suggestion", "suggestions"]

@@ -55,13 +55,18 @@ def contains_either_way(a: Column, b: Column) -> Column:
 
 def positional_similarity(a: Column, b: Column) -> Column:
     """Equal characters at equal places, over the longer length."""
-    x, y = collapsed(a), collapsed(b)
-    longest = F.greatest(F.length(x), F.length(y))
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(x), F.length(y))))
-    equal = F.aggregate(places, F.lit(0), lambda n, i: n + F.when(F.substr(x, i, F.lit(1)) == F.substr(y, i, F.lit(1)), 1).otherwise(0))
+
+    def compared(x: Column, y: Column) -> Column:
+        longest = F.greatest(F.length(x), F.length(y))
+        chars = lambda t: F.split(t, "")
+        equal = F.size(F.filter(F.zip_with(chars(x), chars(y), lambda p, q: p == q), lambda same: same))
+        return F.when(longest == 0, 1.0).otherwise(F.try_divide(equal, longest))
+
     empty = (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "")
     same = F.coalesce(a, F.lit("")) == F.coalesce(b, F.lit(""))
-    return F.when(empty, F.when(same, 1.0).otherwise(0.0)).when(longest == 0, 1.0).otherwise(F.try_divide(equal, longest))
+    # both texts are collapsed once
+    pair = F.transform(F.array(F.struct(collapsed(a).alias("x"), collapsed(b).alias("y"))), lambda p: compared(p["x"], p["y"]))
+    return F.when(empty, F.when(same, 1.0).otherwise(0.0)).otherwise(F.element_at(pair, 1))
 
 
 def safe_stem(path: Column) -> Column:
@@ -71,6 +76,11 @@ def safe_stem(path: Column) -> Column:
     return F.concat(stem, F.lit("_"), F.left(F.sha1(F.encode(path, "UTF-8")), F.lit(8)))
 
 
+def file_stem(path: Column) -> Column:
+    """File name of a path without its last extension; null without a path."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), "(?<=.)\\.[^.]*$", ""), F.lit(""))
+
+
 def match_key(x: Column) -> Column:
     """DOIs and titles as they are compared."""
     return F.nullif(F.lower(stripped(x)), F.lit(""))

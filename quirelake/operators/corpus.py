@@ -35,8 +35,7 @@ def duplicate_keys(papers: DataFrame) -> DataFrame:
 def summary(metrics: DataFrame, *by: str) -> DataFrame:
     """Counts and rates over documents, for the corpus or by columns.
 
-    Needs has_title, has_doi_or_journal, has_abstract (booleans), n_sections,
-    mapped_heads, unmapped_heads and noise.
+    Needs the columns of ``metrics.document_metrics``.
     """
     c = lambda cond, name: F.count_if(cond).alias(name)
     grouped = metrics.groupBy(*by) if by else metrics.groupBy()
@@ -44,7 +43,8 @@ def summary(metrics: DataFrame, *by: str) -> DataFrame:
         F.count(F.lit(1)).alias("docs"),
         c(F.col("has_title"), "with_title"), c(F.col("has_doi_or_journal"), "with_doi_or_journal"), c(F.col("has_abstract"), "with_abstract"),
         *[c(F.col("n_sections") >= k, f"with_{k}_sections") for k in (3, 4, 5)],
-        F.coalesce(F.sum("mapped_heads"), F.lit(0)).alias("mapped_heads"), F.coalesce(F.sum("unmapped_heads"), F.lit(0)).alias("unmapped_heads"),
+        c(F.col("figures_count") + F.col("tables_count") > 0, "with_media"), c(F.col("images_existing") > 0, "with_media_files"),
+        *[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("heads_total", "mapped_heads", "unmapped_heads", "noncontent_heads")],
         F.coalesce(F.avg("noise"), F.lit(0.0)).alias("mean_noise"),
     )
 
@@ -57,7 +57,7 @@ def with_gates(s: DataFrame, duplicates: Column | None = None) -> DataFrame:
         "doi_or_journal_rate": rate(F.col("with_doi_or_journal"), F.col("docs")),
         "abstract_rate": rate(F.col("with_abstract"), F.col("docs")),
         "sections3_rate": rate(F.col("with_3_sections"), F.col("docs")),
-        "mapping_rate": rate(F.col("mapped_heads"), F.col("mapped_heads") + F.col("unmapped_heads")),
+        "mapping_rate": rate(F.col("mapped_heads"), F.col("heads_total")),
         "mean_noise": F.col("mean_noise"),
         "duplicate_rate": rate(duplicates if duplicates is not None else F.lit(0), F.col("docs")),
     }

@@ -294,12 +294,16 @@ def references(nodes: DataFrame) -> DataFrame:
     return out.select("doc_id", "index", "text", "id", F.coalesce("t1", "t2").alias("title"), "doi", "year", F.when(F.size("authors") > 0, F.col("authors")).alias("authors"))
 
 
-def papers(nodes: DataFrame, source_path: DataFrame | None = None) -> DataFrame:
-    """One nested record per document, as the record schema has it; maps are built here, last of all."""
-    body = body_sections(nodes)
+def papers(nodes: DataFrame, source_path: DataFrame | None = None, keep=lambda part, name: part) -> DataFrame:
+    """One nested record per document, as the record schema has it; maps are built here, last of all.
+
+    ``keep`` may store each part (it takes a table and a name and returns the
+    table), so that no plan holds all of them.
+    """
+    body = keep(body_sections(nodes), "sections")
     abstract = abstracts(nodes, body).select("doc_id", F.lit(-1).alias("ord"), F.lit("abstract").alias("slot"), F.col("abstract").alias("text"), F.lit(True).alias("canonical"))
     rows = body.where("key <> 'abstract'").select("doc_id", "ord", F.when(F.col("canonical"), F.col("key")).otherwise(F.col("head")).alias("slot"), "text", "canonical")
-    rows = rows.unionByName(abstract)
+    rows = keep(rows.unionByName(abstract), "texts")
 
     def as_map(which):
         ordered = F.array_sort(F.collect_list(F.when(F.col("canonical") == which, F.struct("ord", "slot", "text"))))
@@ -308,13 +312,14 @@ def papers(nodes: DataFrame, source_path: DataFrame | None = None) -> DataFrame:
     sections = rows.groupBy("doc_id").agg(as_map(True).alias("sections"), as_map(False).alias("other_sections"))
     none = F.lit(None).cast("string")
     item = F.struct("stage", "pre", F.struct("label", "caption", none.alias("path"), "source", "coords").alias("m"))
-    lists = media(nodes).groupBy("doc_id").agg(
+    lists = keep(media(nodes), "media").groupBy("doc_id").agg(
         *[F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, item))), lambda x: x["m"]).alias(f"{k}s") for k in ("figure", "table")]
     )
-    refs = references(nodes).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "text", "id", "title", "doi", "year", "authors"))).alias("references"))
-    people = authors(nodes).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "name", "affiliation"))), lambda x: F.struct(x["name"].alias("name"), x["affiliation"].alias("affiliation"))).alias("authors"))
+    refs = keep(references(nodes), "references").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "text", "id", "title", "doi", "year", "authors"))).alias("references"))
+    people = keep(authors(nodes), "authors").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "name", "affiliation"))), lambda x: F.struct(x["name"].alias("name"), x["affiliation"].alias("affiliation"))).alias("authors"))
     out = nodes.select("doc_id").distinct()
-    for part in (titles(nodes), journals(nodes), dois(nodes), people, keywords(nodes), sections, lists, refs):
+    head = nodes.select("doc_id").distinct().join(titles(nodes), "doc_id", "left").join(journals(nodes), "doc_id", "left").join(dois(nodes), "doc_id", "left")
+    for part in (keep(head, "head"), people, keep(keywords(nodes), "keywords"), sections, lists, refs):
         out = out.join(part, "doc_id", "left")
     path = none.alias("source_path")
     if source_path is not None:

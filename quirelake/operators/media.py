@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 def merge_tables(items: DataFrame, doc: str = "doc_id", ord_: str = "ord") -> DataFrame:
     """One row per (doc, caption or label or path), first-seen order; entries with none stay alone.
 
-    Missing label, caption, coords and path are filled from the first later entry
-    that has them; sources become their sorted distinct list joined by ``+``.
+    Missing label, caption, coords, path and pdf_bbox (if the items have it) are
+    filled from the first later entry that has them; sources become their sorted distinct list joined by ``+``.
     ``path`` also replaces an empty one.
     """
     has = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
@@ -20,11 +20,12 @@ def merge_tables(items: DataFrame, doc: str = "doc_id", ord_: str = "ord") -> Da
         F.concat(F.lit("path:"), F.nullif("path", F.lit(""))), F.concat(F.lit("row:"), F.col(ord_).cast("string")),
     )
     first = lambda c: F.min_by(F.nullif(c, F.lit("")), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(ord_))).alias(c)
+    box = [F.min_by("pdf_bbox", F.when(F.col("pdf_bbox").isNotNull(), F.col(ord_))).alias("pdf_bbox")] if "pdf_bbox" in items.columns else []
     sources = F.array_join(F.array_sort(F.collect_set(F.nullif("source", F.lit("")))), "+")
     return (
         items.withColumn("_key", key)
         .groupBy(doc, "_key")
-        .agg(F.min(ord_).alias(ord_), *[first(c) for c in ("label", "caption", "path", "coords")], F.nullif(sources, F.lit("")).alias("source"))
+        .agg(F.min(ord_).alias(ord_), *[first(c) for c in ("label", "caption", "path", "coords")], *box, F.nullif(sources, F.lit("")).alias("source"))
         .drop("_key")
     )
 
@@ -47,6 +48,11 @@ def as_corners(g: Column, width: Column, height: Column) -> Column:
     return F.struct(a.alias("x0"), b.alias("y0"), F.when(fits, a + c).otherwise(c).alias("x1"), F.when(fits, b + d).otherwise(d).alias("y1"))
 
 
+def pixels(r: Column, dpi: int = 220) -> Column:
+    """Width and height in pixels of a rectangle in points."""
+    return F.struct(F.round((r["x1"] - r["x0"]) * dpi / 72).cast("int").alias("width"), F.round((r["y1"] - r["y0"]) * dpi / 72).cast("int").alias("height"))
+
+
 def padded(r: Column, width: Column, height: Column, share: float = 0.06) -> Column:
     """The rectangle grown by a share of its size and cut to the page."""
     px, py = (r["x1"] - r["x0"]) * share, (r["y1"] - r["y0"]) * share
@@ -64,13 +70,52 @@ def keyword_pages(pages: DataFrame, text: str, keywords: list[str], doc: str, pa
     return pages.where(hit).withColumn("n", n).where(F.col("n") <= most)
 
 
-def label_anchors(words: DataFrame, doc: str = "doc_id", pos: str = "pos", word: str = "word") -> DataFrame:
-    """(doc, pos, kind, number): a figure or table word with a number in one of the next three words."""
-    w = W.partitionBy(doc).orderBy(pos)
-    clean = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    number = F.coalesce(*[F.when(clean(F.lead(word, k).over(w)).rlike("^[0-9]+$"), clean(F.lead(word, k).over(w))) for k in (1, 2, 3)])
-    kind = F.when(clean(F.col(word)).isin("figure", "fig"), "figure").when(clean(F.col(word)).isin("table", "tab"), "table")
-    return words.select(doc, pos, kind.alias("kind"), number.alias("number")).where("kind is not null and number is not null")
+#: Words that announce a label.
+ANNOUNCED = {"figure": ("figure", "fig.", "fig"), "table": ("table", "tab.", "tab")}
+
+
+def label_anchors(words: DataFrame, by: tuple[str, ...] = ("doc_id",), pos: str = "pos", word: str = "word", labels: DataFrame | None = None) -> DataFrame:
+    """(by..., pos, kind, number): a figure or table word with a number in one of the next three words.
+
+    With ``labels``, a (first of ``by``, number) table, only numbers in it count.
+    """
+    w = W.partitionBy(*by).orderBy(pos)
+    plain = lambda c: F.lower(F.trim(c))
+    digits = lambda c: F.when(c.rlike("^[0-9]+$"), c)
+    numbers = [digits(plain(F.lead(word, k).over(w))) for k in (1, 2, 3)]
+    kind = F.lit(None).cast("string")
+    for name, announced in ANNOUNCED.items():
+        kind = F.when(plain(F.col(word)).isin(*announced), name).otherwise(kind)
+    found = words.select(*by, pos, kind.alias("kind"), F.array_compact(F.array(*numbers)).alias("numbers")).where("kind is not null and size(numbers) > 0")
+    if labels is None:
+        return found.select(*by, pos, "kind", F.get("numbers", F.lit(0)).alias("number"))
+    each = found.select(*by, pos, "kind", F.posexplode("numbers").alias("_k", "number"))
+    known = each.join(labels.select(by[0], "number").distinct(), [by[0], "number"], "left_semi")
+    return known.groupBy(*by, pos, "kind").agg(F.min_by("number", "_k").alias("number"))
+
+
+def label_crops(words: DataFrame, labels: DataFrame | None = None, doc: str = "doc_id", page: str = "page", margin: float = 24.0, above: float = 24.0, gap: float = 12.0, span: float = 0.6, most: int = 8) -> DataFrame:
+    """(doc, page, n, kind, number, x0, y0, x1, y1): the part of a page that belongs to each anchor, at most ``most`` a document.
+
+    ``words`` are (doc, page, pos, word, x0, y0, page_width, page_height).  A crop
+    begins ``above`` points over its anchor and ends ``gap`` points before the
+    next anchor of its page, or after a ``span`` of the page's height; crops of
+    at most 5 points either way are left out.
+    """
+    anchors = label_anchors(words, (doc, page), labels=labels).join(words.select(doc, page, "pos", F.col("x0").alias("_x"), F.col("y0").alias("_y"), "page_width", "page_height"), [doc, page, "pos"])
+    order = W.partitionBy(doc, page).orderBy("_y", "_x", "pos")
+    then, height = F.lead("_y").over(order), F.col("page_height")
+    top = F.greatest(F.lit(0.0), F.col("_y") - above)
+    crops = anchors.select(
+        doc, page, F.row_number().over(order).alias("n"), "kind", "number", F.lit(margin).alias("x0"), top.alias("y0"), (F.col("page_width") - margin).alias("x1"),
+        F.least(height, F.coalesce(then - gap, top + height * span)).alias("y1"),
+    ).where("y1 - y0 > 5 and x1 - x0 > 5")
+    return crops.withColumn("_k", F.row_number().over(W.partitionBy(doc).orderBy(page, "n"))).where(F.col("_k") <= most).drop("_k")
+
+
+def in_pages(pages: DataFrame, page: str, count: str) -> DataFrame:
+    """Rows whose page number is one of the document's pages, counted from 1."""
+    return pages.where(F.col(page).between(1, F.col(count)))
 
 
 def prefer_crops(items: DataFrame, page: Column, *by: str) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import headings, text
-from ..operators import corpus, enrich, extract, media, validate
+from ..operators import corpus, enrich, extract, media, metrics, process, validate
 from ..sources import records
 from ..sources import tei as xml
+from . import samples
 from .samples import CONTROL, HEADS, heads, lines, table, tei
 
 _QUERIES: dict = {}
@@ -35,6 +36,9 @@ _LINES = f"""d AS (
 )"""
 _CANONICAL = "(" + ", ".join(f"'{k}'" for k in headings.CANONICAL) + ")"
 _BOILERPLATE = "(" + ", ".join(f"'{k}'" for k in sorted(headings.BOILERPLATE)) + ")"
+_RECORD_TEXTS = f"""{_LINES}, sec AS (
+  SELECT doc_id, key, string_agg({_COLLAPSE('line')}, chr(10) || chr(10) ORDER BY ord) AS t FROM h WHERE key IN {_CANONICAL} AND key <> 'abstract' AND {_COLLAPSE('line')} <> '' GROUP BY doc_id, key
+)"""
 
 
 def registered(sql: str | None = None):
@@ -104,10 +108,10 @@ def safe_stem(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.safe_stem(F.col("url")).alias("stem"))
 
 
-@registered("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '10.1/' || doc_id || '[DOI]' WHEN left(text, 20) <> '' THEN '\"' || left(text, 20) || '\"[Title]' END AS term FROM documents")
+@registered("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '10.1/' || doc_id || '[DOI]' WHEN text <> '' THEN '\"' || text || '\"[Title]' END AS term FROM documents")
 def pubmed_terms(spark, sf_dir):
     doi = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("10.1/"), F.col("doc_id").cast("string")))
-    return _docs(spark, sf_dir).select("doc_id", text.pubmed_term(doi, F.left("text", F.lit(20))).alias("term"))
+    return _docs(spark, sf_dir).select("doc_id", text.pubmed_term(doi, F.col("text")).alias("term"))
 
 
 _SIM = """
@@ -149,17 +153,17 @@ def _rule_sql(clean: str, rules, fallback: str) -> str:
     return f"CASE {cases} ELSE {fallback} END"
 
 
-_RULES = f"""WITH w AS (
-  SELECT doc_id, {_SANITIZE("left(text, 40)")} AS c FROM documents
+_LINES_ONLY = _LINES[: _LINES.index(", names(")]
+_RULES = f"""WITH {_LINES_ONLY}, w AS (SELECT doc_id, ord, {_SANITIZE("line")} AS c FROM l
 ), exact(heading, key) AS (VALUES {headings.exact_sql()})
-SELECT doc_id, coalesce(key, CASE WHEN c = '' THEN '' WHEN contains(c, 'results') AND contains(c, 'discussion') THEN 'results_and_discussion'
+SELECT doc_id, ord, coalesce(key, CASE WHEN c = '' THEN '' WHEN contains(c, 'results') AND contains(c, 'discussion') THEN 'results_and_discussion'
   ELSE {_rule_sql("c", headings.FRAGMENTS, "replace(c, ' ', '_')")} END) AS key
 FROM w LEFT JOIN exact ON c = heading"""
 
 
 @registered(_RULES)
 def heading_rules_on_text(spark, sf_dir):
-    return headings.classify(_docs(spark, sf_dir).select("doc_id", F.left("text", F.lit(40)).alias("head")), "head").select("doc_id", "key")
+    return headings.classify(heads(spark, sf_dir).drop("head").withColumnRenamed("line", "head"), "head").select("doc_id", "ord", "key")
 
 
 _MAPPED = "key IN ('introduction', 'materials_and_methods', 'results', 'discussion', 'conclusions', 'results_and_discussion')"
@@ -184,16 +188,16 @@ def unmapped_heads(spark, sf_dir):
     return corpus.head_frequencies(rows).select("head", "n", "first_doc")
 
 
-@registered(f"WITH w AS (SELECT doc_id, {_SANITIZE('left(text, 60)')} AS c FROM documents), s AS (SELECT doc_id, {_rule_sql('c', headings.SUGGESTED, 'NULL')} AS key FROM w) "
-            "SELECT key, count(*) AS n FROM s WHERE key IS NOT NULL GROUP BY key")
+@registered(f"""WITH {_LINES_ONLY}, w AS (SELECT line, {_SANITIZE('line')} AS c FROM l), s AS (SELECT line, {_rule_sql('c', headings.SUGGESTED, 'NULL')} AS key FROM w WHERE c <> '')
+SELECT line AS head, key, count(*) AS n FROM s WHERE key IS NOT NULL GROUP BY line, key HAVING count(*) >= 2""")
 def mapping_suggestions(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select(headings.suggestion(F.left("text", F.lit(60))).alias("key"))
-    return rows.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rows = heads(spark, sf_dir).groupBy(F.col("line").alias("head")).agg(F.count(F.lit(1)).alias("n"))
+    return headings.suggestions(rows, min_count=2)
 
 
 _CAPTIONS = (("51", "Figure 1 ."), ("1", "Fig. 1"), ("", "Figure."), ("7", ""), ("x", ""), ("", "Caption"), ("", "Figures of it"), ("12", "see figure IV here"))
 _LABELS = f"""WITH names(n, raw, head) AS (VALUES {", ".join(f"({n}, '{a}', '{b}')" for n, (a, b) in enumerate(_CAPTIONS))}
-), c AS (SELECT doc_id, raw, {_STRIP("head")} AS head, {_STRIP("left(text, 40)")} AS cap FROM documents JOIN names ON n = doc_id % {len(_CAPTIONS)})
+), c AS (SELECT doc_id, raw, {_STRIP("head")} AS head, {_STRIP("text")} AS cap FROM documents JOIN names ON n = doc_id % {len(_CAPTIONS)})
 SELECT doc_id, coalesce('Figure ' || nullif(regexp_extract(head, '(?i)\\bfig(ure)?\\s*([A-Za-z0-9]+)', 2), ''),
   'Figure ' || nullif(regexp_extract(cap, '(?i)\\bfig(ure)?\\s*([A-Za-z0-9]+)', 2), ''),
   CASE WHEN regexp_full_match(raw, '[0-9]{{1,3}}') THEN 'Figure ' || raw END, CASE WHEN head <> '' THEN 'Figure' END) AS label FROM c"""
@@ -202,7 +206,7 @@ SELECT doc_id, coalesce('Figure ' || nullif(regexp_extract(head, '(?i)\\bfig(ure
 @registered(_LABELS)
 def label_normalize(spark, sf_dir):
     pick = lambda k: F.get(F.array(*[F.lit(c[k]) for c in _CAPTIONS]), (F.col("doc_id") % len(_CAPTIONS)).cast("int"))
-    return _docs(spark, sf_dir).select("doc_id", text.media_label("figure", pick(0), pick(1), F.left("text", F.lit(40))).alias("label"))
+    return _docs(spark, sf_dir).select("doc_id", text.media_label("figure", pick(0), pick(1), F.col("text")).alias("label"))
 
 
 # -- structured documents ---------------------------------------------------
@@ -233,7 +237,8 @@ def tei_sections(spark, sf_dir):
     return s.select("doc_id", F.when(F.col("canonical"), F.col("key")).otherwise(F.col("head")).alias("slot"), "canonical", "text")
 
 
-@registered(f"WITH {_LINES} SELECT doc_id, trim({_COLLAPSE('line')} || ' ' || lang || ', tail') || ' ' AS abstract FROM l WHERE ord = 0")
+@registered(f"""WITH {_LINES}, own AS (SELECT doc_id, string_agg({_COLLAPSE('line')}, chr(10) || chr(10) ORDER BY ord) AS t FROM h WHERE key = 'abstract' AND {_COLLAPSE('line')} <> '' GROUP BY doc_id)
+SELECT doc_id, trim(coalesce(own.t, {_COLLAPSE('line')}) || ' ' || lang || ', tail') || ' ' AS abstract FROM l LEFT JOIN own USING (doc_id) WHERE ord = 0""")
 def tei_abstract_keywords(spark, sf_dir):
     n = _nodes(spark, sf_dir)
     return extract.abstracts(n, extract.body_sections(n))
@@ -271,6 +276,35 @@ def tei_papers(spark, sf_dir):
     return extract.papers(_nodes(spark, sf_dir)).select("doc_id", F.size("references").alias("n_references"), F.size("figures").alias("n_figures"))
 
 
+@registered(f"""WITH {_LINES_ONLY}, f AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {_COLLAPSE('line')} AS t FROM l WHERE ord = 0), m AS (
+  SELECT doc_id, 'figure' AS kind, 'Figure 9' AS label, {_COLLAPSE("'zone ' || source")} AS caption, 'tei' AS source, '3,1.0,2.0,10.0,20.5' AS coords FROM f
+  UNION ALL SELECT doc_id, 'table', 'Table 7', {_COLLAPSE("'typed ' || lang")}, 'tei', NULL FROM f UNION ALL SELECT doc_id, 'table', 'Table 1', {_COLLAPSE("'Table 1. ' || lang")}, 'tei', NULL FROM f
+  UNION ALL SELECT doc_id, 'table', 'Table 3', 'As in 3 , ' || lang || ' text.', 'tei-ref', NULL FROM f UNION ALL SELECT doc_id, 'table', 'Table 2', t, 'tei-text', NULL FROM f WHERE t <> ''
+) SELECT * FROM m""")
+def tei_tables_and_zones(spark, sf_dir):
+    n = xml.nodes(xml.parse_tei(samples.fallback_tei(spark, sf_dir)))
+    return extract.media(n).select("doc_id", "kind", "label", "caption", "source", "coords")
+
+
+_PROCESSED = f"""WITH {_RECORD_TEXTS}
+SELECT doc_id, 'in/doc' || doc_id || '.xml' AS path, CASE WHEN lang <> 'fr' THEN nullif({_COLLAPSE('left(text, 40)')}, '') END AS title, CASE WHEN lang <> 'fr' THEN '10.1/' || doc_id END AS doi,
+  CASE WHEN lang <> 'fr' THEN coalesce((SELECT string_agg(key || '=' || t, chr(10) ORDER BY key) FROM sec WHERE sec.doc_id = d.doc_id), '') ELSE '' END AS sections,
+  CASE WHEN lang <> 'fr' THEN CAST(least(4, len(string_split(text, chr(10)))) AS INTEGER) ELSE 0 END AS figures,
+  CASE WHEN lang <> 'fr' THEN CAST(len(string_split(text, chr(10))) AS INTEGER) ELSE 0 END AS n_references FROM d"""
+
+
+@registered(_PROCESSED)
+def process_papers(spark, sf_dir):
+    whole = tei(spark, sf_dir).join(_docs(spark, sf_dir).select("doc_id", "lang"), "doc_id")
+    broken = F.when(F.col("lang") == "fr", F.left("xml", F.length("xml") - 5)).otherwise(F.col("xml"))
+    rows = whole.select("doc_id", F.concat(F.lit("in/doc"), F.col("doc_id").cast("string"), F.lit(".xml")).alias("path"), broken.alias("xml"))
+    parts = F.filter(F.map_entries("sections"), lambda e: e["key"] != "abstract")
+    shown = F.array_join(F.transform(F.array_sort(parts), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "\n")
+    return process.process(rows).select(
+        "doc_id", F.col("meta.source_path").alias("path"), F.col("meta.title").alias("title"), F.col("meta.doi").alias("doi"), shown.alias("sections"), F.size("figures").alias("figures"), F.size("references").alias("n_references")
+    )
+
+
 # -- geometry ---------------------------------------------------------------
 
 _NUM = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) || '.0' ELSE CAST({0} AS VARCHAR) END"
@@ -296,30 +330,65 @@ def crop_rectangles(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", *[F.round(f"p.{c}", 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
-@registered("""WITH p AS (SELECT page_id, page_id % 10 AS doc, row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS k FROM pages
-  WHERE contains(lower(coalesce(html, '')), 'track(') AND contains(lower(coalesce(html, '')), 'example.net')) SELECT doc, page_id, CAST(k AS INTEGER) AS n FROM p WHERE k <= 6""")
+@registered("""WITH p AS (SELECT page_id, regexp_extract(url, '://([^/]*)', 1) AS host FROM pages WHERE contains(lower(coalesce(html, '')), 'track(') OR contains(lower(coalesce(html, '')), 'example.net')
+), k AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS k FROM p) SELECT host, page_id, CAST(k AS INTEGER) AS n FROM k WHERE k <= 6""")
 def keyword_pages(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").where(F.contains(F.lower(F.coalesce("html", F.lit(""))), F.lit("track(")))
-    return media.keyword_pages(p.withColumn("doc", F.col("page_id") % 10), "html", ["example.net"], "doc", "page_id").select("doc", "page_id", "n")
+    p = table(spark, sf_dir, "pages").withColumn("host", F.regexp_extract("url", "://([^/]*)", 1))
+    return media.keyword_pages(p, "html", ["track(", "example.net"], "host", "page_id").select("host", "page_id", "n")
 
 
-@registered("""WITH w AS (SELECT doc_id, i - 1 AS pos, CASE WHEN (i - 1) % 7 = 3 THEN 'Fig.' WHEN (i - 1) % 11 = 5 THEN CAST(i - 1 AS VARCHAR) ELSE string_split(text, ' ')[i] END AS word
+_WORD_ROWS = """w AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, CASE WHEN (i - 1) % 7 = 3 THEN 'Fig.' WHEN (i - 1) % 11 = 5 THEN CAST(i - 1 AS VARCHAR) ELSE string_split(text, ' ')[i] END AS word
   FROM documents, unnest(range(1, len(string_split(text, ' ')) + 1)) AS r(i)
-), c AS (SELECT doc_id, pos, regexp_replace(lower(word), '[^a-z0-9]', '', 'g') AS w FROM w
-), n AS (SELECT *, lead(w, 1) OVER o AS a, lead(w, 2) OVER o AS b, lead(w, 3) OVER o AS c FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
-), k AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN w IN ('figure', 'fig') THEN 'figure' WHEN w IN ('table', 'tab') THEN 'table' END AS kind,
-  CASE WHEN regexp_full_match(a, '[0-9]+') THEN a WHEN regexp_full_match(b, '[0-9]+') THEN b WHEN regexp_full_match(c, '[0-9]+') THEN c END AS number FROM n)
-SELECT * FROM k WHERE kind IS NOT NULL AND number IS NOT NULL""")
-def label_anchors(spark, sf_dir):
+), c AS (SELECT doc_id, pos, pos // 300 AS page, lower(trim(word, ' ')) AS w FROM w)"""
+_KIND = "CASE WHEN w IN ('figure', 'fig', 'fig.') THEN 'figure' WHEN w IN ('table', 'tab', 'tab.') THEN 'table' END"
+_NUMBER = lambda x: f"CASE WHEN regexp_full_match({x}, '[0-9]+') THEN {x} END"
+
+
+def _word_rows(spark, sf_dir):
     w = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
     word = F.when(F.col("pos") % 7 == 3, "Fig.").when(F.col("pos") % 11 == 5, F.col("pos").cast("string")).otherwise(F.col("w"))
-    return media.label_anchors(w.select("doc_id", "pos", word.alias("word")))
+    return w.select("doc_id", "pos", word.alias("word"))
+
+
+@registered(f"""WITH {_WORD_ROWS}, n AS (SELECT *, lead(w, 1) OVER o AS a, lead(w, 2) OVER o AS b, lead(w, 3) OVER o AS d FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+), k AS (SELECT doc_id, pos, {_KIND} AS kind, coalesce({_NUMBER('a')}, {_NUMBER('b')}, {_NUMBER('d')}) AS number FROM n)
+SELECT * FROM k WHERE kind IS NOT NULL AND number IS NOT NULL""")
+def label_anchors(spark, sf_dir):
+    return media.label_anchors(_word_rows(spark, sf_dir))
+
+
+@registered(f"""WITH {_WORD_ROWS}, n AS (SELECT *, lead(w, 1) OVER o AS a, lead(w, 2) OVER o AS b, lead(w, 3) OVER o AS d FROM c WINDOW o AS (PARTITION BY doc_id, page ORDER BY pos)
+), known AS (SELECT doc_id, CAST(pos AS VARCHAR) AS v FROM c WHERE pos % 11 = 5 AND pos % 2 = 0
+), k AS (SELECT n.*, {_KIND} AS kind, CASE WHEN x.v IS NOT NULL THEN a WHEN y.v IS NOT NULL THEN b WHEN z.v IS NOT NULL THEN d END AS number
+  FROM n LEFT JOIN known x ON x.doc_id = n.doc_id AND x.v = a LEFT JOIN known y ON y.doc_id = n.doc_id AND y.v = b LEFT JOIN known z ON z.doc_id = n.doc_id AND z.v = d
+), f AS (SELECT doc_id, page, kind, number, pos, CAST((pos % 300) // 12 * 30 AS DOUBLE) AS y FROM k WHERE kind IS NOT NULL AND number IS NOT NULL
+), g AS (SELECT *, CAST(row_number() OVER o AS INTEGER) AS n, lead(y) OVER o AS below FROM f WINDOW o AS (PARTITION BY doc_id, page ORDER BY y, pos % 12, pos)
+), r AS (SELECT doc_id, page, n, kind, number, greatest(0, y - 24) AS y0, least(792, coalesce(below - 12, greatest(0, y - 24) + 792 * 0.6::DOUBLE)) AS y1 FROM g
+), t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, n) AS k FROM r WHERE y1 - y0 > 5)
+SELECT doc_id, CAST(page AS INTEGER) AS page, n, kind, number, round(y0, 6) AS y0, round(y1, 6) AS y1 FROM t WHERE k <= 8""")
+def label_crops(spark, sf_dir):
+    w, pos = _word_rows(spark, sf_dir), F.col("pos")
+    known = w.where("pos % 11 = 5 and pos % 2 = 0").select("doc_id", pos.cast("string").alias("number"))
+    placed = w.withColumns({"page": F.floor(pos / 300).cast("int"), "x0": (pos % 12).cast("double"), "y0": (F.floor((pos % 300) / 12) * 30).cast("double"), "page_width": F.lit(612.0), "page_height": F.lit(792.0)})
+    out = media.label_crops(placed, known)
+    return out.select("doc_id", "page", "n", "kind", "number", F.round("y0", 6).alias("y0"), F.round("y1", 6).alias("y1"))
+
+
+@registered("""SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_linenumber % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS groups, round(l_quantity + CASE WHEN l_linenumber % 2 = 0 THEN l_discount ELSE 0 END, 6) AS a_sum,
+  l_linenumber BETWEEN 1 AND 4 AS on_page FROM lineitem""")
+def coordinate_groups(spark, sf_dir):
+    li, s = table(spark, sf_dir, "lineitem"), lambda c: F.col(c).cast("string")
+    raw = F.concat_ws(",", s("l_linenumber"), s("l_quantity"), F.lit("3"), F.lit("4"), F.lit("5"), F.when(F.col("l_linenumber") % 2 == 0, F.concat_ws(";", F.lit("7"), s("l_discount"), F.lit("1 x 2"), F.lit("3"))), F.lit("9"))
+    g = media.coord_groups(raw)
+    return li.select(
+        "l_orderkey", "l_linenumber", F.size(g).alias("groups"), F.round(F.aggregate(g, F.lit(0.0), lambda t, x: t + x["a"]), 6).alias("a_sum"), F.col("l_linenumber").between(1, 4).alias("on_page")
+    )
 
 
 # -- media, corpus ----------------------------------------------------------
 
 
-@registered("""WITH i AS (SELECT source AS doc, doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE lower(left(text, 6)) END AS caption, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'Table ' || doc_id % 5 END AS label,
+@registered("""WITH i AS (SELECT source AS doc, doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE lower(string_split(text, chr(10))[1]) END AS caption, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'Table ' || doc_id % 5 END AS label,
   CASE WHEN doc_id % 5 = 0 THEN 'p' || doc_id END AS path, CASE WHEN doc_id % 2 = 0 THEN 'tei' ELSE 'detector-table' END AS src FROM documents
 ), k AS (SELECT *, coalesce('caption:' || nullif(trim(caption), ''), 'label:' || nullif(lower(label), ''), 'path:' || path, 'row:' || doc_id) AS key FROM i)
 SELECT doc, min(doc_id) AS ord, arg_min(nullif(label, ''), doc_id) FILTER (label IS NOT NULL) AS label, arg_min(path, doc_id) FILTER (path IS NOT NULL) AS path,
@@ -327,20 +396,20 @@ SELECT doc, min(doc_id) AS ord, arg_min(nullif(label, ''), doc_id) FILTER (label
 def merge_tables(spark, sf_dir):
     d = F.col("doc_id")
     items = _docs(spark, sf_dir).select(
-        F.col("source").alias("doc"), d.alias("ord"), F.when(d % 4 == 0, "").otherwise(F.lower(F.left("text", F.lit(6)))).alias("caption"),
+        F.col("source").alias("doc"), d.alias("ord"), F.when(d % 4 == 0, "").otherwise(F.lower(F.get(F.split("text", "\n"), F.lit(0)))).alias("caption"),
         F.when(d % 3 != 0, F.concat(F.lit("Table "), (d % 5).cast("string"))).alias("label"), F.when(d % 5 == 0, F.concat(F.lit("p"), d.cast("string"))).alias("path"),
         F.lit(None).cast("string").alias("coords"), F.when(d % 2 == 0, "tei").otherwise("detector-table").alias("source"),
     )
     return media.merge_tables(items, "doc").select("doc", "ord", "label", "path", "source")
 
 
-_PAPERS = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN sha1(left(text, 30)) ELSE '' END AS doi, left(text, 12) AS title, text, source, lang FROM documents"
+_PAPERS = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN sha1(text) ELSE '' END AS doi, string_split(text, chr(10))[1] AS title, text, source, lang FROM documents"
 
 
 def _papers(spark, sf_dir):
     d = F.col("doc_id") % 3
-    doi = F.when(d == 1, F.sha1(F.encode(F.left("text", F.lit(30)), "UTF-8"))).when(d == 2, "")
-    return _docs(spark, sf_dir).select("doc_id", doi.alias("doi"), F.left("text", F.lit(12)).alias("title"), "text", "source", "lang")
+    doi = F.when(d == 1, F.sha1(F.encode("text", "UTF-8"))).when(d == 2, "")
+    return _docs(spark, sf_dir).select("doc_id", doi.alias("doi"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"), "text", "source", "lang")
 
 
 @registered(f"""WITH p AS ({_PAPERS}), k AS (SELECT doc_id, nullif(lower({_STRIP('doi')}), '') AS d, nullif(lower({_STRIP('title')}), '') AS t FROM p
@@ -361,33 +430,55 @@ def source_totals(spark, sf_dir):
     return corpus.source_totals(_docs(spark, sf_dir), "source", "lang")
 
 
-def _metrics(spark, sf_dir):
-    p, five = _papers(spark, sf_dir), ["introduction", "materials_and_methods", "results", "discussion", "conclusions"]
-    h = headings.classify(heads(spark, sf_dir), "head").groupBy("doc_id").agg(
-        F.count_distinct(F.when(F.col("key").isin(five), F.col("key"))).alias("n_sections"),
-        F.count_if(F.col("key").isin([k for k in headings.CANONICAL if k != "abstract"])).alias("mapped_heads"),
-        F.count_if(~F.col("key").isin(list(headings.CANONICAL)) & ~headings.is_boilerplate(F.col("key"))).alias("unmapped_heads"),
-    )
-    has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    return p.select("doc_id", "source", has("title").alias("has_title"), (has("doi") | has("source")).alias("has_doi_or_journal"), (F.length("text") >= 30).alias("has_abstract"),
-                    text.noise_ratio(F.col("text")).alias("noise")).join(h, "doc_id")
-
-
-_METRICS = f"""{_LINES}, p AS ({_PAPERS}), hs AS (
-  SELECT doc_id, count(DISTINCT CASE WHEN {_MAPPED} AND key <> 'results_and_discussion' THEN key END) AS n_sections, count_if({_MAPPED}) AS mapped_heads,
-    count_if(NOT {_MAPPED} AND key NOT IN {_BOILERPLATE}) AS unmapped_heads FROM h GROUP BY doc_id
-), m AS (SELECT doc_id, source, coalesce(title, '') <> '' AS has_title, coalesce(doi, '') <> '' OR coalesce(source, '') <> '' AS has_doi_or_journal, length(text) >= 30 AS has_abstract,
-  {_NOISE} AS noise, n_sections, mapped_heads, unmapped_heads FROM p JOIN hs USING (doc_id))"""
+_RECORDS = f"""{_LINES}, sec AS (
+  SELECT doc_id, key, string_agg(line, chr(10) || chr(10) ORDER BY ord) AS t FROM h WHERE key IN {_CANONICAL} AND line <> '' GROUP BY doc_id, key
+), rec AS (
+  SELECT d.doc_id, 'in/doc' || d.doc_id || '.pdf' AS source_path, nullif({_COLLAPSE("string_split(d.text, chr(10))[1]")}, '') AS title, d.source AS journal,
+    CASE WHEN d.doc_id % 3 <> 0 THEN '10.1/' || d.doc_id END AS doi, d.lang, coalesce((SELECT t FROM sec WHERE sec.doc_id = d.doc_id AND key = 'abstract'), '') AS abstract,
+    coalesce((SELECT list(key) FROM sec WHERE sec.doc_id = d.doc_id), []) AS keys,
+    coalesce((SELECT CAST(count(*) AS INTEGER) FROM h WHERE h.doc_id = d.doc_id AND line <> '' AND ord % 4 = 1), 0) AS n_figures,
+    coalesce((SELECT CAST(count(*) AS INTEGER) FROM h WHERE h.doc_id = d.doc_id AND line <> '' AND ord % 4 = 2), 0) AS n_tables FROM d
+)"""
+_FIVE = "['introduction', 'materials_and_methods', 'results', 'discussion', 'conclusions']"
+_METRICS = f"""{_RECORDS}, hs AS (
+  SELECT doc_id, count(*) AS heads_total, count_if({_MAPPED}) AS mapped_heads, count_if(NOT {_MAPPED} AND key NOT IN {_BOILERPLATE}) AS unmapped_heads, count_if(key IN {_BOILERPLATE}) AS noncontent_heads,
+    array_to_string(list(head ORDER BY ord) FILTER (NOT {_MAPPED} AND key NOT IN {_BOILERPLATE})[1:8], '|') AS unmapped_samples FROM h WHERE coalesce(lang, '') <> 'fr' GROUP BY doc_id
+), im AS (
+  SELECT doc_id, count_if(ord % 3 = 0) AS images_with_paths, count_if(ord % 9 = 0) AS images_existing, count_if(ord % 3 = 1) AS u, count_if(ord % 3 <> 1) AS w FROM h WHERE line <> '' AND ord % 4 IN (1, 2) GROUP BY doc_id
+), oth AS (SELECT doc_id, count(DISTINCT head) AS n FROM h WHERE key NOT IN {_CANONICAL} AND key NOT IN {_BOILERPLATE} AND line <> '' GROUP BY doc_id
+), txt AS (SELECT doc_id, string_agg(t, chr(10) || chr(10)) AS text FROM sec GROUP BY doc_id
+), m AS (SELECT rec.doc_id, journal AS source, source_path AS file, coalesce(title, '') <> '' AS has_title, coalesce(doi, '') <> '' OR coalesce(journal, '') <> '' AS has_doi_or_journal,
+  CAST(length(abstract) AS INTEGER) AS abstract_len, length(abstract) >= 30 AS has_abstract, CAST(len(keys) AS INTEGER) AS sections_count, CAST(coalesce(oth.n, 0) AS INTEGER) AS other_sections_count,
+  CAST(len(list_filter({_FIVE}, lambda k: list_contains(keys, k))) AS INTEGER) AS n_sections, array_to_string(list_filter({_FIVE}, lambda k: list_contains(keys, k)), '|') AS covered,
+  n_figures AS figures_count, n_tables AS tables_count, coalesce({_NOISE}, 0) AS noise, coalesce(heads_total, 0) AS heads_total, coalesce(mapped_heads, 0) AS mapped_heads, coalesce(unmapped_heads, 0) AS unmapped_heads,
+  coalesce(noncontent_heads, 0) AS noncontent_heads, coalesce(unmapped_samples, '') AS unmapped_samples, coalesce(images_with_paths, 0) AS images_with_paths, coalesce(images_existing, 0) AS images_existing,
+  concat_ws(',', CASE WHEN w > 0 THEN 'tei=' || w END, CASE WHEN u > 0 THEN 'unknown=' || u END) AS sources
+  FROM rec LEFT JOIN hs USING (doc_id) LEFT JOIN im USING (doc_id) LEFT JOIN oth USING (doc_id) LEFT JOIN txt USING (doc_id))"""
 _SUMMARY = """count(*) AS docs, count_if(has_title) AS with_title, count_if(has_doi_or_journal) AS with_doi_or_journal, count_if(has_abstract) AS with_abstract,
-  count_if(n_sections >= 3) AS with_3_sections, count_if(n_sections >= 4) AS with_4_sections, count_if(n_sections >= 5) AS with_5_sections,
-  CAST(sum(mapped_heads) AS BIGINT) AS mapped_heads, CAST(sum(unmapped_heads) AS BIGINT) AS unmapped_heads, round(avg(noise), 6) AS mean_noise"""
+  count_if(n_sections >= 3) AS with_3_sections, count_if(n_sections >= 4) AS with_4_sections, count_if(n_sections >= 5) AS with_5_sections, count_if(figures_count + tables_count > 0) AS with_media,
+  count_if(images_existing > 0) AS with_media_files, CAST(sum(heads_total) AS BIGINT) AS heads_total, CAST(sum(mapped_heads) AS BIGINT) AS mapped_heads, CAST(sum(unmapped_heads) AS BIGINT) AS unmapped_heads,
+  CAST(sum(noncontent_heads) AS BIGINT) AS noncontent_heads, round(avg(noise), 6) AS mean_noise"""
 _GATED = """s.*, with_title >= 0.99 * docs AS gate_title, with_doi_or_journal >= 0.95 * docs AS gate_doi_or_journal, with_abstract >= docs AS gate_abstract,
-  with_3_sections >= 0.85 * docs AS gate_sections3, mapped_heads >= 0.5 * (mapped_heads + unmapped_heads) AS gate_mapping, mean_noise <= 0.02 AS gate_noise"""
+  with_3_sections >= 0.85 * docs AS gate_sections3, mapped_heads >= 0.5 * heads_total AS gate_mapping, mean_noise <= 0.02 AS gate_noise"""
 
 
-@registered(f"WITH {_METRICS} SELECT doc_id, has_title, has_doi_or_journal, has_abstract, n_sections, mapped_heads, unmapped_heads, round(noise, 6) AS noise FROM m")
+def _metrics(spark, sf_dir):
+    papers = samples.records(spark, sf_dir)
+    return metrics.document_metrics(papers, samples.stem_heads(spark, sf_dir), samples.media_files(spark, sf_dir)).withColumn("source", F.col("journal"))
+
+
+@registered(f"WITH {_METRICS} SELECT * EXCLUDE (source, noise), round(noise, 6) AS noise FROM m")
 def doc_metrics(spark, sf_dir):
-    return _metrics(spark, sf_dir).drop("source").withColumn("noise", F.round("noise", 6))
+    m = _metrics(spark, sf_dir)
+    covered = F.array_join(F.array_compact(F.array(*[F.when(F.col("coverage")[k], k) for k in metrics.COVERED])), "|")
+    sources = F.array_join(F.transform(F.map_entries("images_sources"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    made = {"covered": covered, "sources": sources, "noise": F.round("noise", 6), "unmapped_samples": F.array_join("unmapped_samples", "|")}
+    return m.withColumns(made).drop("coverage", "images_sources", "source", "title", "doi", "journal")
+
+
+@registered(f"WITH {_METRICS}, u AS (SELECT unnest(string_split(unmapped_samples, '|')) AS head FROM m WHERE unmapped_samples <> '') SELECT head, count(*) AS n FROM u GROUP BY head")
+def unmapped_samples(spark, sf_dir):
+    return metrics.sample_frequencies(_metrics(spark, sf_dir)).select("head", "n")
 
 
 @registered(f"WITH {_METRICS}, s AS (SELECT source, {_SUMMARY} FROM m GROUP BY source) SELECT {_GATED} FROM s")
@@ -396,80 +487,143 @@ def corpus_quality_by_source(spark, sf_dir):
     return s.drop("gate_duplicates", "gates_pass")
 
 
-@registered(f"""WITH {_METRICS}, s AS (SELECT {_SUMMARY} FROM m), g AS (SELECT {_GATED} FROM s
+@registered(f"""WITH {_METRICS}, p AS ({_PAPERS}), s AS (SELECT {_SUMMARY} FROM m), g AS (SELECT {_GATED} FROM s
 ), dup AS (SELECT count(*) AS n FROM (SELECT doi FROM p WHERE coalesce(doi, '') <> '' GROUP BY doi HAVING count(*) > 1))
 SELECT g.*, dup.n <= 0.01 * docs AS gate_duplicates,
   gate_title AND gate_doi_or_journal AND gate_abstract AND gate_sections3 AND gate_mapping AND gate_noise AND dup.n <= 0.01 * docs AS gates_pass FROM g, dup""")
 def quality_gates(spark, sf_dir):
-    n = corpus.duplicate_keys(_papers(spark, sf_dir)).where("kind = 'doi'").count()
-    return corpus.with_gates(corpus.summary(_metrics(spark, sf_dir)).withColumn("mean_noise", F.round("mean_noise", 6)), F.lit(n))
+    repeated = corpus.duplicate_keys(_papers(spark, sf_dir)).where("kind = 'doi'").agg(F.count(F.lit(1)))
+    return corpus.with_gates(corpus.summary(_metrics(spark, sf_dir)).withColumn("mean_noise", F.round("mean_noise", 6)), repeated.scalar())
 
 
 # -- enrichment -------------------------------------------------------------
 
 
-@registered("""SELECT doc_id, regexp_matches(lower(left(text, 200)), 'review|systematic|meta-analysis') OR contains(lower(source), 'periodontology 2000')
+@registered("""SELECT doc_id, regexp_matches(lower(text), 'review|systematic|meta-analysis') OR contains(lower(source), 'periodontology 2000')
   OR doc_id % 10 = 3 AS review FROM documents""")
 def review_detect(spark, sf_dir):
     others = F.when(F.col("doc_id") % 10 == 3, F.array(F.lit("Notes"), F.lit("Search Strategy"))).otherwise(F.array(F.lit("Notes")))
-    return _docs(spark, sf_dir).select("doc_id", enrich.is_review(F.left("text", F.lit(200)), F.col("source"), others).alias("review"))
+    return _docs(spark, sf_dir).select("doc_id", enrich.is_review(F.col("text"), F.col("source"), others).alias("review"))
 
 
-@registered("""SELECT doc_id, 'own' || chr(10) || chr(10) || left(text, 10) AS materials_and_methods,
+@registered("""SELECT doc_id, 'own' || chr(10) || chr(10) || text AS materials_and_methods,
   CASE WHEN length(text) < 300 THEN CASE WHEN text <> '' THEN text || chr(10) || chr(10) ELSE '' END || 'Notes' || chr(10) || lang ELSE text END AS discussion FROM documents""")
 def review_augment(spark, sf_dir):
-    others = F.array(F.struct(F.lit("Study selection").alias("head"), F.left("text", F.lit(10)).alias("text")), F.struct(F.lit("Notes").alias("head"), F.col("lang").alias("text")))
+    others = F.array(F.struct(F.lit("Study selection").alias("head"), F.col("text").alias("text")), F.struct(F.lit("Notes").alias("head"), F.col("lang").alias("text")))
     return _docs(spark, sf_dir).select("doc_id", enrich.augmented(others, F.lit("own"), F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
-@registered(f"""WITH b AS (SELECT item_id, {_COLLAPSE("regexp_replace(text, '<[^>]+>', ' ', 'g')")} AS a FROM benchmark
-), p AS (SELECT doc_id, left(text, CAST(doc_id % 60 AS INTEGER)) AS abstract, doc_id % 50 AS k FROM documents)
-SELECT doc_id, CASE WHEN length({_STRIP('abstract')}) >= 30 THEN abstract WHEN length(a) >= 30 THEN a ELSE nullif({_STRIP('abstract')}, '') END AS abstract,
-  'd' || k AS doi FROM p LEFT JOIN b ON item_id = k AND k % 2 = 0""")
+@registered(f"""WITH nb AS (SELECT count(*) AS n FROM benchmark), b AS (SELECT item_id, {_COLLAPSE("regexp_replace(text, '<[^>]+>', ' ', 'g')")} AS a, text FROM benchmark
+), p AS (SELECT doc_id, CASE WHEN length(text) < 200 THEN text ELSE string_split(text, ' ')[1] END AS abstract, doc_id % (2 * nb.n) AS k, (doc_id // 3) % (2 * nb.n) AS k2, doc_id % 3 AS kind FROM documents, nb
+), j AS (SELECT p.*, d.a AS by_doi, d.item_id IS NOT NULL AS has_doi, t.a AS by_title, t.item_id AS title_item, u.text AS pubmed FROM p
+  LEFT JOIN b d ON kind <> 1 AND d.item_id = k AND k % 2 = 0 LEFT JOIN b t ON t.item_id = k2 LEFT JOIN b u ON kind <> 1 AND u.item_id = k AND k % 2 = 1
+), e AS (SELECT *, CASE WHEN has_doi THEN by_doi ELSE by_title END AS found FROM j)
+SELECT doc_id, CASE WHEN length({_STRIP('abstract')}) >= 30 THEN abstract WHEN length(found) >= 30 THEN found WHEN length(pubmed) >= 30 THEN pubmed ELSE nullif({_STRIP('abstract')}, '') END AS abstract,
+  CASE WHEN kind <> 1 THEN 'd' || k WHEN length({_STRIP('abstract')}) < 30 AND length(found) >= 30 THEN 'found' || title_item END AS doi FROM e""")
 def ensure_abstract(spark, sf_dir):
-    d = F.col("doc_id")
-    papers = _docs(spark, sf_dir).select("doc_id", F.expr("left(text, cast(doc_id % 60 as int))").alias("abstract"), F.concat(F.lit("d"), (d % 50).cast("string")).alias("doi"),
-                                         F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("journal"))
-    none = F.lit(None).cast("string")
-    b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("d"), F.col("item_id").cast("string")).alias("doi"), F.col("text").alias("abstract"), none.alias("title"), none.alias("journal"), "item_id")
-    looked = b.where("item_id < 50 and item_id % 2 = 0")
-    return enrich.ensure_abstract(papers, looked, looked.limit(0), looked.limit(0)).select("doc_id", "abstract", "doi")
+    d, none = F.col("doc_id"), F.lit(None).cast("string")
+    b = table(spark, sf_dir, "benchmark")
+    name = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    n = b.agg(F.count(F.lit(1))).scalar() * 2
+    short = F.when(F.length("text") < 200, F.col("text")).otherwise(F.get(F.split("text", " "), F.lit(0)))
+    numbered = _docs(spark, sf_dir).withColumns({"k": d % n, "k2": F.floor(d / 3) % n})
+    papers = numbered.select("doc_id", short.alias("abstract"), F.when(d % 3 != 1, name("d", F.col("k"))).alias("doi"), name("t", F.col("k2")).alias("title"), none.alias("journal"))
+    entry = lambda doi, title: b.select("item_id", doi.alias("doi"), title.alias("title"), none.alias("journal"), F.col("text").alias("abstract"))
+    item = F.col("item_id")
+    by_doi = entry(name("d", item), none).where("item_id % 2 = 0")
+    by_title = entry(name("found", item), name("t", item))
+    pubmed = entry(name("d", item), none).where("item_id % 2 = 1")
+    return enrich.ensure_abstract(papers, by_doi, by_title, pubmed).select("doc_id", "abstract", "doi")
 
 
 # -- ground truth -----------------------------------------------------------
 
-_SCORED = f"""WITH p AS (SELECT doc_id, text, left(text, 50) AS a, CASE WHEN doc_id % 4 = 0 THEN left(text, 45) || 'xxxxx' ELSE left(text, 50) END AS b, {_WORDS('text')} AS w FROM documents WHERE doc_id % 9 <> 0
-), s AS (SELECT *, {_COLLAPSE('a')} AS ca, {_COLLAPSE('b')} AS cb FROM p), x AS (SELECT *, {_SIM} AS sim FROM s)"""
+_HOLDS = lambda a, b: f"(contains(lower({a}), lower({b})) OR contains(lower({b}), lower({a})))"
+
+
+def _sim(a: str, b: str) -> str:
+    """Share of equal characters at equal places, as SQL."""
+    ca, cb = _COLLAPSE(a), _COLLAPSE(b)
+    return (
+        f"(CASE WHEN coalesce({a}, '') = '' OR coalesce({b}, '') = '' THEN CASE WHEN coalesce({a}, '') = coalesce({b}, '') THEN 1.0 ELSE 0.0 END WHEN greatest(length({ca}), length({cb})) = 0 THEN 1.0 "
+        f"ELSE len(list_filter(range(1, least(length({ca}), length({cb})) + 1), lambda i: ({ca})[i] = ({cb})[i])) / greatest(length({ca}), length({cb}))::DOUBLE END)"
+    )
+
+
+_COUNT_POINTS = lambda n, e: f"CASE WHEN {e} > 0 THEN 10.0 * greatest(0, 1 - abs({n} - {e}) / ({e})::DOUBLE) ELSE 10.0 END"
+_SCORED = f"""WITH {_RECORDS}, t AS (
+  SELECT *, CASE WHEN doc_id % 3 = 0 THEN title WHEN doc_id % 3 = 1 THEN 'On ' || title ELSE 'Other title' END AS t_title, CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE doi END AS t_doi,
+    CASE WHEN doc_id % 5 <> 0 THEN upper(journal) END AS t_journal, doc_id % 6 <> 0 AS t_present, CASE WHEN doc_id % 4 = 0 THEN left(abstract, 45) || 'xxxxx' ELSE left(abstract, 50) END AS t_first,
+    right(abstract, 50) AS t_last, {_WORDS('abstract')} AS words, CAST(doc_id % 5 AS INTEGER) AS t_figures, CAST(doc_id % 3 AS INTEGER) AS t_tables,
+    CASE WHEN doc_id % 2 = 1 THEN ['conclusions', 'introduction', 'methods', 'results'] ELSE ['introduction', 'methods', 'results'] END AS t_keys,
+    CAST(len(list_filter({_FIVE}, lambda k: list_contains(keys, k))) AS INTEGER) AS n_sections FROM rec
+), c AS (
+  SELECT *, coalesce(title, '') <> '' AS c1, coalesce(title <> '' AND t_title <> '' AND {_HOLDS('title', 't_title')}, false) AS c2, coalesce(doi, '') <> '' AS c3, coalesce(doi = t_doi, false) AS c4,
+    coalesce(journal, '') <> '' AS c5, coalesce(journal <> '' AND t_journal <> '' AND {_HOLDS('journal', 't_journal')}, false) AS c6, list_filter(t_keys, lambda k: list_contains(keys, k)) AS matching,
+    words + doc_id % 7 AS t_words, abs(n_figures - t_figures) AS f_diff, abs(n_tables - t_tables) AS b_diff FROM t
+), p AS (
+  SELECT *, 5.0 * (CAST(c1 AS INT) + CAST(c2 AS INT) + CAST(c3 AS INT) + CAST(c4 AS INT) + CAST(c5 AS INT) + CAST(c6 AS INT)) AS p1,
+    CASE WHEN NOT t_present THEN 20.0 WHEN abstract = '' THEN 5.0 ELSE 5.0 * (1 + CASE WHEN t_first = '' THEN 0 ELSE {_sim('left(abstract, 50)', 't_first')} END
+      + CASE WHEN t_last = '' THEN 0 ELSE {_sim('right(abstract, 50)', 't_last')} END + 1 - least(coalesce(abs(words - t_words) / nullif(t_words, 0)::DOUBLE, 0), 1)) END AS p2,
+    30.0 * least(n_sections / len(t_keys)::DOUBLE, 1) AS p3, {_COUNT_POINTS('n_figures', 't_figures')} AS p4, {_COUNT_POINTS('n_tables', 't_tables')} AS p5,
+    list_filter([CASE WHEN coalesce(t_doi, '') <> '' THEN CAST(c4 AS INT)::DOUBLE END, CASE WHEN t_present THEN CAST(list_contains(keys, 'abstract') AS INT)::DOUBLE END,
+      least(n_sections / len(t_keys)::DOUBLE, 1), CASE WHEN t_figures > 0 THEN greatest(0, 1 - f_diff / t_figures::DOUBLE) END, CASE WHEN t_tables > 0 THEN greatest(0, 1 - b_diff / t_tables::DOUBLE) END],
+      lambda x: x IS NOT NULL) AS parts FROM c
+), s AS (SELECT *, p1 + p2 + p3 + p4 + p5 AS score FROM p)"""
 
 
 def _scored(spark, sf_dir):
-    d = F.col("doc_id")
-    docs = _docs(spark, sf_dir)
-    truth = docs.select("doc_id", F.when(d % 4 == 0, F.concat(F.left("text", F.lit(45)), F.lit("xxxxx"))).otherwise(F.left("text", F.lit(50))).alias("first_50"),
-                        (text.word_count(F.col("text")) + d % 7).alias("expected_words"), (d % 5).alias("expected_figures"))
-    found = docs.where(d % 9 != 0).select("doc_id", "text", text.word_count(F.col("text")).alias("words"), (d % 4).alias("figures"))
-    return validate.join_truth(found, truth, "doc_id")
+    return validate.scored(validate.join_truth(samples.records(spark, sf_dir), samples.truth(spark, sf_dir)))
 
 
-@registered(_SCORED + """ SELECT doc_id, 'success' AS status, round(20.0 * (1 + CASE WHEN b = '' THEN 0 ELSE sim END + 0 + 1 - least(coalesce(abs(w - (w + doc_id % 7)) / nullif(w + doc_id % 7, 0)::DOUBLE, 0), 1)) / 4, 6) AS abstract_points,
-  round(CASE WHEN doc_id % 5 > 0 THEN 10.0 * greatest(0, 1 - abs(doc_id % 4 - doc_id % 5) / (doc_id % 5)::DOUBLE) ELSE 10.0 END, 6) AS figure_points FROM x
-  UNION ALL SELECT doc_id, 'error', NULL, NULL FROM documents WHERE doc_id % 9 = 0""")
+@registered(_SCORED + """ SELECT 'doc' || doc_id || '.pdf' AS file_name, 'success' AS status, round(p1, 6) AS metadata_points, round(p2, 6) AS abstract_points, round(p3, 6) AS section_points, round(p4, 6) AS figure_points,
+  round(p5, 6) AS table_points, round(score, 6) AS score, CASE WHEN round(score, 9) >= 80 THEN 'good' WHEN round(score, 9) >= 60 THEN 'fair' ELSE 'poor' END AS band, round(100 * list_sum(parts) / len(parts), 6) AS quick_score FROM s
+  UNION ALL SELECT 'none' || item_id || '.pdf', 'error', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM benchmark""")
 def truth_join_score(spark, sf_dir):
-    r = _scored(spark, sf_dir)
-    ok = F.col("status") == "success"
-    points = validate.abstract_points(F.lit(True), F.col("text"), F.col("first_50"), F.lit(None).cast("string"), F.col("words"), F.col("expected_words"))
-    return r.select("doc_id", "status", F.when(ok, F.round(points, 6)).alias("abstract_points"),
-                    F.when(ok, F.round(validate.count_points(F.col("figures"), F.col("expected_figures")), 6)).alias("figure_points"))
+    names = ("metadata_points", "abstract_points", "section_points", "figure_points", "table_points", "score", "quick_score")
+    r = _scored(spark, sf_dir).withColumn("band", F.when(F.col("status") == "success", validate.band(F.round("score", 9))))
+    return r.select("file_name", "status", "band", *[F.round(n, 6).alias(n) for n in names])
+
+
+@registered(_SCORED + """ SELECT 'doc' || doc_id || '.pdf' AS file_name, c2 AS title_matches, c4 AS doi_matches, c6 AS journal_matches, array_to_string(matching, '|') AS matching_sections, CAST(len(t_keys) AS INTEGER) AS expected_sections,
+  n_sections AS extracted_sections, n_figures AS figures_with_captions, n_tables AS tables_with_captions,
+  CAST(CASE WHEN f1 THEN 1 ELSE 0 END + CASE WHEN f5 THEN 1 ELSE 0 END AS INTEGER) AS common_figure_labels, CAST(CASE WHEN b2 THEN 1 ELSE 0 END AS INTEGER) AS common_table_labels
+  FROM s JOIN (SELECT doc_id AS i, bool_or(ord = 1 AND line <> '') AS f1, bool_or(ord = 5 AND line <> '') AS f5, bool_or(ord = 2 AND line <> '') AS b2 FROM h GROUP BY doc_id) ON i = doc_id""")
+def truth_checks(spark, sf_dir):
+    kept = ("expected_sections", "extracted_sections", "figures_with_captions", "tables_with_captions", "common_figure_labels", "common_table_labels")
+    r = _scored(spark, sf_dir).where("status = 'success'")
+    return r.select("file_name", *[F.col("checks")[c].alias(c) for c in ("title_matches", "doi_matches", "journal_matches")], F.array_join("matching_sections", "|").alias("matching_sections"), *kept)
+
+
+@registered(_SCORED + """, n AS (SELECT count(*) AS n FROM benchmark) SELECT count(*) + any_value(n.n) AS total, count(*) AS successful, any_value(n.n) AS failed, round(count(*) / (count(*) + any_value(n.n))::DOUBLE, 6) AS rate, round(avg(score), 6) AS avg_score FROM s, n""")
+def success_rate(spark, sf_dir):
+    r = validate.success_rate(_scored(spark, sf_dir))
+    return r.withColumns({c: F.round(c, 6) for c in ("rate", "avg_score")})
 
 
-@registered("""WITH i AS (SELECT 'missing_sections' AS issue FROM documents WHERE doc_id % 3 = 1 UNION ALL SELECT 'figure_count_mismatch' FROM documents WHERE abs(doc_id % 4 - doc_id % 7) > 2
-  UNION ALL SELECT 'table_count_mismatch' FROM documents WHERE abs(doc_id % 2 - doc_id % 5) > 1 UNION ALL SELECT 'title_mismatch' FROM documents WHERE doc_id % 11 = 0)
-SELECT issue, count(*) AS n FROM i GROUP BY issue ORDER BY n DESC, issue LIMIT 5""")
+@registered(_SCORED + """, i AS (SELECT 'title_mismatch' AS issue FROM s WHERE c1 AND NOT c2 UNION ALL SELECT 'missing_sections' FROM s WHERE len(t_keys) > n_sections
+  UNION ALL SELECT 'figure_count_diff' FROM s WHERE f_diff > 2 UNION ALL SELECT 'table_count_diff' FROM s WHERE b_diff > 1) SELECT issue, count(*) AS n FROM i GROUP BY issue ORDER BY n DESC, issue LIMIT 5""")
 def issue_top5(spark, sf_dir):
-    d = F.col("doc_id")
-    rows = _docs(spark, sf_dir).select(F.lit(True).alias("has_title"), (d % 11 != 0).alias("title_ok"), (d % 3 == 1).cast("int").alias("missing_sections"),
-                                       F.abs(d % 4 - d % 7).alias("figure_diff"), F.abs(d % 2 - d % 5).alias("table_diff"))
-    return validate.top_issues(rows)
+    return validate.top_issues(_scored(spark, sf_dir))
+
+
+_SHORT = lambda x: f"CASE WHEN length(coalesce({x}, '')) > 60 THEN left({x}, 60) || '...' ELSE coalesce({x}, '') END"
+
+
+@registered(_SCORED + f""", r AS (
+  SELECT doc_id, 'metadata' AS part, 'title' AS item, {_SHORT('t_title')} AS expected, {_SHORT('title')} AS actual, {_HOLDS("coalesce(t_title, '')", "coalesce(title, '')")} AS ok FROM s
+  UNION ALL SELECT doc_id, 'metadata', 'doi', coalesce(t_doi, ''), coalesce(doi, ''), coalesce(t_doi, '') = coalesce(doi, '') FROM s
+  UNION ALL SELECT doc_id, 'metadata', 'journal', {_SHORT('t_journal')}, {_SHORT('journal')}, {_HOLDS("coalesce(t_journal, '')", "coalesce(journal, '')")} FROM s
+  UNION ALL SELECT doc_id, 'abstract', 'present', CAST(t_present AS VARCHAR), CAST(abstract <> '' AS VARCHAR), t_present = (abstract <> '') FROM s
+  UNION ALL SELECT doc_id, 'abstract', 'words', CAST(t_words AS VARCHAR), CAST(words AS VARCHAR), abs(t_words - words) <= t_words * 0.1 FROM s
+  UNION ALL SELECT doc_id, 'figures', 'count', CAST(t_figures AS VARCHAR), CAST(n_figures AS VARCHAR), f_diff <= 2 FROM s
+  UNION ALL SELECT doc_id, 'tables', 'count', CAST(t_tables AS VARCHAR), CAST(n_tables AS VARCHAR), b_diff <= 1 FROM s
+), fl AS (SELECT doc_id, 'figures' AS part, list('Figure ' || ord ORDER BY ord) FILTER (line <> '' AND ord % 4 = 1) AS found, ['Figure 1', 'Figure 5'] AS want FROM h GROUP BY doc_id
+  UNION ALL SELECT doc_id, 'tables', list('Table ' || ord ORDER BY ord) FILTER (line <> '' AND ord % 4 = 2), ['Table 2'] FROM h GROUP BY doc_id
+), fr AS (SELECT doc_id, part, CAST(i AS VARCHAR) AS item, coalesce(want[i], '') AS expected, coalesce(found[i], '') AS actual FROM fl, unnest(range(1, 6)) AS r(i) WHERE i <= greatest(len(want), coalesce(len(found), 0)))
+SELECT 'doc' || doc_id || '.pdf' AS file_name, part, item, expected, actual, ok FROM r UNION ALL SELECT 'doc' || doc_id || '.pdf', part, item, expected, actual, expected = actual FROM fr""")
+def side_by_side(spark, sf_dir):
+    return validate.side_by_side(_scored(spark, sf_dir))
 
 
 @registered("SELECT doc_id, abs(doc_id % 13 - doc_id % 11) <= greatest(2.0, (doc_id % 11) * 0.5) AS figures_ok, CASE WHEN doc_id % 101 >= 80 THEN 'good' WHEN doc_id % 101 >= 60 THEN 'fair' ELSE 'poor' END AS band FROM documents")
@@ -486,6 +640,31 @@ def media_summary(spark, sf_dir):
     return records.media_rows(papers, "figures")
 
 
+@registered(f"WITH {_RECORDS} SELECT source_path, 'doc' || doc_id AS stem, title, doi, journal, CAST(least(12, len(keys)) AS INTEGER) AS n_names, n_figures AS figures_count, n_tables AS tables_count FROM rec")
+def sample_summary(spark, sf_dir):
+    return process.sample_summary(samples.records(spark, sf_dir)).withColumn("n_names", F.size("section_names")).drop("section_names")
+
+
+@registered(f"""WITH {_RECORDS}, w AS (SELECT unnest(['jsonl', 'stem', 'array']) AS way) SELECT way, source_path, title, doi, CAST(len(keys) AS INTEGER) AS n_sections, n_figures, n_tables FROM rec, w""")
+def json_round_trips(spark, sf_dir):
+    papers, folder = samples.records(spark, sf_dir), records.scratch_folder(spark)
+    records.write_jsonl(papers.drop("doc_id"), f"{folder}/jsonl")
+    records.write_json_by_stem(papers.withColumn("stem", text.file_stem(F.col("meta.source_path"))).drop("doc_id"), f"{folder}/stem")
+    records.write_json_array(papers.drop("doc_id"), f"{folder}/array")
+    back = {"jsonl": records.read_jsonl(spark, f"{folder}/jsonl"), "stem": records.read_jsonl(spark, f"{folder}/stem"), "array": records.read_papers(spark, f"{folder}/array", "*")}
+    out = None
+    for way, rows in back.items():
+        part = rows.select(F.lit(way).alias("way"), F.col("meta.source_path").alias("source_path"), F.col("meta.title").alias("title"), F.col("meta.doi").alias("doi"),
+                           F.coalesce(F.size("sections"), F.lit(0)).alias("n_sections"), F.size("figures").alias("n_figures"), F.size("tables").alias("n_tables"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@registered(f"WITH {_METRICS} SELECT file, CASE WHEN has_abstract THEN 'True' ELSE 'False' END AS abstract_present, CAST(list_contains(string_split(covered, '|'), 'introduction') AS INTEGER) AS intro, figures_count, printf('%.4f', noise) AS noise_ratio FROM m")
+def corpus_report(spark, sf_dir):
+    return records.corpus_rows(_metrics(spark, sf_dir)).select("file", "abstract_present", "intro", "figures_count", "noise_ratio")
+
+
 @registered("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS index FROM conversations")
 def references_numbered(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.headings import CANONICAL, classify, is_boilerplate
+from ..functions.text import collapsed, word_count
+
 #: Headings that documents get by turns, with the key that each must come to.
 HEADS = (
     ("1. Introduction", "introduction"), ("| 2. Materials and Methods", "materials_and_methods"), ("3.1 Statistical analysis", "materials_and_methods"),
     ("RESULTS", "results"), ("iv. Discussion", "discussion"), ("Results and Discussion", "results_and_discussion"), ("Conclusions", "conclusions"),
-    ("Funding", "funding"), ("Novel Protocol", "novel_protocol"), ("C. x", "x"), ("Clinical  significance", "conclusions"), ("ORCID", "orcid"),
+    ("Funding", "funding"), ("Novel Protocol", "novel_protocol"), ("C. x", "x"), ("Clinical  significance", "conclusions"), ("ORCID", "orcid"), ("Abstract", "abstract"),
 )
 CONTROL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"
 
@@ -70,3 +73,84 @@ def tei(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</body><back><div><listBibl>"), F.array_join(F.transform("lines", entry), ""), F.lit("</listBibl></div></back></text></TEI>"),
     )
     return rows.select("doc_id", xml.alias("xml"))
+
+
+def fallback_tei(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, xml): a facsimile zone, a typed figure, a table element, and tables that only paragraphs mention."""
+    rows = lines(spark, sf_dir)
+    lang, first = F.coalesce("lang", F.lit("")), _esc(F.get("lines", F.lit(0)))
+    xml = F.concat(
+        F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><facsimile><surface n="3"><zone xml:id="z1" ulx="1" uly="2" lrx="11" lry="22.5"/></surface></facsimile><text><body><div>'),
+        F.lit('<figure facs="#z1"><head>Figure 9</head><figDesc>zone '), _esc(F.coalesce("source", F.lit(""))), F.lit('</figDesc></figure>'),
+        F.lit('<figure type="table"><head>Table 7</head><label>7</label><figDesc>typed '), lang, F.lit("</figDesc></figure><table><head>Table 1. "), lang, F.lit("</head></table>"),
+        F.lit("<p>Table 2. "), first, F.lit('</p><p>As in <ref type="table">3</ref>, '), lang, F.lit(' text.</p><p>See <ref type="table">1</ref> again</p></div></body></text></TEI>'),
+    )
+    return rows.select("doc_id", xml.alias("xml"))
+
+
+def _text_map(rows: DataFrame, name: str, slot: str) -> DataFrame:
+    each = rows.groupBy("doc_id", slot).agg(F.min("ord").alias("o"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n\n").alias("t"))
+    ordered = F.array_sort(F.collect_list(F.struct("o", F.col(slot).alias("k"), "t")))
+    return each.groupBy("doc_id").agg(F.map_from_entries(F.transform(ordered, lambda x: F.struct(x["k"], x["t"]))).alias(name))
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, meta, sections, other_sections, figures, tables): a record of each document, its lines under headings by turns."""
+    rows = classify(heads(spark, sf_dir), "head").where("line <> ''")
+    canonical = F.col("key").isin(list(CANONICAL))
+    d, n = F.col("doc_id").cast("string"), F.col("ord").cast("string")
+    none = F.lit(None).cast("string")
+    item = lambda kind: F.struct(
+        F.concat(F.lit(f"{kind} "), n).alias("label"), F.col("line").alias("caption"), F.when(F.col("ord") % 3 == 0, F.concat(F.lit("media/"), d, F.lit("_"), n, F.lit(".png"))).alias("path"),
+        F.when(F.col("ord") % 3 != 1, "tei").alias("source"), none.alias("coords"),
+    )
+    listed = lambda kind, turn: F.transform(F.array_sort(F.collect_list(F.when(F.col("ord") % 4 == turn, F.struct("ord", item(kind).alias("m"))))), lambda x: x["m"])
+    lists = rows.groupBy("doc_id").agg(listed("Figure", 1).alias("figures"), listed("Table", 2).alias("tables"))
+    base = lines(spark, sf_dir).select(
+        "doc_id",
+        F.struct(
+            F.concat(F.lit("in/doc"), d, F.lit(".pdf")).alias("source_path"), F.nullif(collapsed(F.get("lines", F.lit(0))), F.lit("")).alias("title"), F.col("source").alias("journal"),
+            F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("10.1/"), d)).alias("doi"), F.lit(None).cast("array<struct<name: string, affiliation: string>>").alias("authors"),
+            F.lit(None).cast("array<string>").alias("keywords"),
+        ).alias("meta"),
+    )
+    sections, others = _text_map(rows.where(canonical), "sections", "key"), _text_map(rows.where(~canonical & ~is_boilerplate(F.col("key"))), "other_sections", "head")
+    out = base.join(sections, "doc_id", "left").join(others, "doc_id", "left").join(lists, "doc_id", "left")
+    texts = F.create_map().cast("map<string,string>")
+    empty = F.array().cast(lists.schema["figures"].dataType)
+    return out.withColumns({"sections": F.coalesce("sections", texts), "other_sections": F.coalesce("other_sections", texts), "figures": F.coalesce("figures", empty), "tables": F.coalesce("tables", empty)})
+
+
+def media_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, length): the media files that exist."""
+    rows = heads(spark, sf_dir).where("ord % 9 = 0")
+    return rows.select(F.concat(F.lit("media/"), F.col("doc_id").cast("string"), F.lit("_"), F.col("ord").cast("string"), F.lit(".png")).alias("path"), F.length("line").cast("long").alias("length"))
+
+
+def stem_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(stem, ord, head): the headings of all documents that aren't French, which have no structured document."""
+    rows = heads(spark, sf_dir).join(table(spark, sf_dir, "documents").where("coalesce(lang, '') <> 'fr'").select("doc_id"), "doc_id", "left_semi")
+    return rows.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("stem"), "ord", "head")
+
+
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_name, truth): what each document should have given, and files that gave nothing."""
+    d = F.col("doc_id")
+    abstract = F.coalesce(F.try_element_at("sections", F.lit("abstract")), F.lit(""))
+    label = lambda *names: F.array(*[F.struct(F.lit(n).alias("label"), F.lit("").alias("caption")) for n in names])
+    names = F.when(d % 2 == 1, F.array(*map(F.lit, ("introduction", "results", "methods", "conclusions")))).otherwise(F.array(*map(F.lit, ("introduction", "results", "methods"))))
+    expected = F.struct(
+        F.struct(
+            F.when(d % 3 == 0, F.col("meta.title")).when(d % 3 == 1, F.concat(F.lit("On "), "meta.title")).otherwise("Other title").alias("title"), F.when(d % 4 == 0, "x").otherwise(F.col("meta.doi")).alias("doi"),
+            F.when(d % 5 != 0, F.upper("meta.journal")).alias("journal"),
+        ).alias("metadata"),
+        F.struct(
+            (d % 6 != 0).alias("present"), F.when(d % 4 == 0, F.concat(F.left(abstract, F.lit(45)), F.lit("xxxxx"))).otherwise(F.left(abstract, F.lit(50))).alias("first_50_chars"),
+            F.right(abstract, F.lit(50)).alias("last_50_chars"), (word_count(abstract) + d % 7).cast("int").alias("word_count"),
+        ).alias("abstract"),
+        F.map_from_entries(F.transform(names, lambda k: F.struct(k, F.lit("")))).alias("sections"), label("Figure 1", "Figure 5").alias("figures"), label("Table 2").alias("tables"),
+        F.struct((d % 5).cast("int").alias("total_figures"), (d % 3).cast("int").alias("total_tables")).alias("structural_info"),
+    )
+    rows = records(spark, sf_dir).select(F.concat(F.lit("doc"), d.cast("string"), F.lit(".pdf")).alias("file_name"), expected.alias("truth"))
+    lost = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("none"), F.col("item_id").cast("string"), F.lit(".pdf")).alias("file_name"), F.lit(None).cast(rows.schema["truth"].dataType).alias("truth"))
+    return rows.unionByName(lost)

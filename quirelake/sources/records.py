@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,12 +24,34 @@ TRUTH = (
 )
 
 
-def read_papers(spark: SparkSession, path: str) -> DataFrame:
-    """Paper records, one JSON object a file; files that aren't such objects are left out."""
-    rows = spark.read.schema(PAPER).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+def scratch_folder(spark: SparkSession) -> str:
+    """A new name in the folder that the cluster names in ``spark.checkpoint.dir``; in a local session, a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="quirelake-")
+    return f"{named.rstrip('/')}/quirelake-records-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the scratch folder, read back: cuts the lineage and survives lost executors."""
+    path = f"{scratch_folder(df.sparkSession)}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_papers(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
+    """Paper records, one JSON object or list of objects a file; what isn't such an object is left out."""
+    rows = spark.read.schema(PAPER).option("multiLine", True).option("pathGlobFilter", names).json(path)
     return rows.where("meta is not null")
 
 
+def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """Paper records, one a line."""
+    return spark.read.schema(PAPER).json(path).where("meta is not null")
+
+
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """Ground-truth maps, with the ``stem`` that their file is named for."""
     rows = spark.read.schema(TRUTH).option("multiLine", True).option("pathGlobFilter", "*_extraction_map.json").json(path)
@@ -43,6 +69,52 @@ def write_json_by_stem(papers: DataFrame, path: str, stem: str = "stem") -> None
     last.select(stem, "r.*").write.mode("overwrite").partitionBy(stem).json(path)
 
 
+def write_json_array(papers: DataFrame, path: str) -> None:
+    """All records as one JSON list in one file, ordered by source path; one task writes it, as the form demands."""
+    rows = papers.select(F.to_json(F.struct(*papers.columns)).alias("j"), F.col("meta.source_path").alias("p"))
+    sorted_ = rows.repartition(1).sortWithinPartitions("p", "j")
+    # the first line opens the list, every other one continues it; an empty last part closes it
+    lines = sorted_.select("j").mapInArrow(_list_lines, "value string")
+    lines.write.mode("overwrite").text(path)
+
+
+def _list_lines(batches):
+    begun = False
+    for batch in batches:
+        held = batch.column(0).to_pylist()
+        if held:
+            yield pa.RecordBatch.from_pydict({"value": [("," if begun or i else "[") + line for i, line in enumerate(held)]})
+            begun = True
+    yield pa.RecordBatch.from_pydict({"value": ["]" if begun else "[]"]})
+
+
+def corpus_rows(metrics: DataFrame) -> DataFrame:
+    """The 22 columns of the corpus table, from ``metrics.document_metrics``; nulls are empty, noise has four digits."""
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    flag = lambda key, name: F.col("coverage")[key].cast("int").alias(name)
+    return metrics.select(
+        "file", text("title"), text("doi"), text("journal"), "abstract_len", F.when(F.col("has_abstract"), "True").otherwise("False").alias("abstract_present"), "sections_count", "other_sections_count",
+        flag("introduction", "intro"), flag("materials_and_methods", "methods"), flag("results", "results"), flag("discussion", "discussion"), flag("conclusions", "conclusions"),
+        "figures_count", "tables_count", "images_with_paths", "images_existing", F.col("heads_total").alias("tei_heads_total"), F.col("mapped_heads").alias("tei_mapped"),
+        F.col("unmapped_heads").alias("tei_unmapped"), F.col("noncontent_heads").alias("tei_noncontent"), fixed(F.col("noise")).alias("noise_ratio"),
+    )
+
+
+def write_corpus_reports(metrics: DataFrame, summary: DataFrame, frequencies: DataFrame, suggestions: DataFrame, path: str) -> None:
+    """The four corpus reports below ``path``: summary (JSON), a row a document (CSV), unmapped headings and suggestions (text; JSON too).
+
+    ``frequencies`` are (head, n, first_doc, first_ord), written in the order
+    of falling n, then of first sight; ``suggestions`` are (head, key, n).
+    """
+    summary.write.mode("overwrite").json(f"{path}/corpus_quality_json")
+    write_csv(corpus_rows(metrics), f"{path}/corpus_quality_csv")
+    common = frequencies.orderBy(F.desc("n"), "first_doc", "first_ord")
+    common.select(F.concat(F.col("n").cast("string"), F.lit("\t"), "head").alias("value")).write.mode("overwrite").text(f"{path}/unmapped_heads")
+    ordered = suggestions.orderBy(F.desc("n"), "head")
+    ordered.select(F.concat("head", F.lit(" -> "), "key").alias("value")).write.mode("overwrite").text(f"{path}/mapping_suggestions")
+    suggestions.select("head", "key").write.mode("overwrite").json(f"{path}/mapping_suggestions_json")
+
+
 def media_rows(papers: DataFrame, kind: str) -> DataFrame:
     """(pdf, label, caption, path, source[, csv_path]) of all figures or tables; nulls are empty."""
     columns = ["label", "caption", "path", "source"] + (["csv_path"] if kind == "tables" else [])
@@ -55,7 +127,8 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def fixed(x: Column, digits: int = 4) -> Column:
-    return F.format_string(f"%.{digits}f", x)
+    """``digits`` decimal places, ties to even."""
+    return F.format_string(f"%.{digits}f", F.bround(x, digits))
 
 
 def write_report(results: DataFrame, summary: DataFrame, path: str) -> None:

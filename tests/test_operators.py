@@ -114,7 +114,8 @@ def test_scores_of_missing_abstract(spark):
 
 
 def test_empty_corpus_passes_all_gates(spark):
-    m = spark.createDataFrame([], "has_title boolean, has_doi_or_journal boolean, has_abstract boolean, n_sections int, mapped_heads int, unmapped_heads int, noise double")
+    flags = "has_title boolean, has_doi_or_journal boolean, has_abstract boolean, n_sections int, figures_count int, tables_count int, images_existing long, "
+    m = spark.createDataFrame([], flags + "heads_total long, mapped_heads long, unmapped_heads long, noncontent_heads long, noise double")
     assert corpus.with_gates(corpus.summary(m)).first()["gates_pass"]
 
 
