@@ -42,7 +42,7 @@ SUGGESTED = (
 def dictionary() -> list[tuple[str, str]]:
     """(heading, key) pairs of exact matches."""
     lines = files("quirelake.rules").joinpath("headings.tsv").read_text("utf-8").splitlines()
-    return [(heading, key) for key, heading in (line.split("\t") for line in lines)]
+    return [(heading, key) for key, heading in (line.split("\t") for line in lines if not line.startswith("#"))]
 
 
 def sanitized(head: Column) -> Column:
