@@ -19,7 +19,7 @@ from ._shared import free_names, text_of, written
 WORDS = 1 << 18
 #: Frequent words that are folded once and looked up, their longest, and the texts (bytes, about) in which they are counted.
 #: The table only saves time: any word not in it is folded in its row, with the same result.
-FREQUENT, FREQUENT_BYTES, COUNTED_BYTES = 600_000, 32, 192 << 20
+FREQUENT, FREQUENT_BYTES, COUNTED_BYTES = 500_000, 32, 160 << 20
 #: Words of a text that share one table of folded words.
 STRETCH = 1000
 #: Longer words (bytes) are encoded by a heap of merges: the fold takes quadratic time in a word's length.
@@ -50,7 +50,7 @@ def _mark(byte: int) -> Column:
 
 
 def _looked_up(table: Column, word: Column) -> Column:
-    """The value of a word in a table by buckets; empty if it has none."""
+    """The last value of a word in a table by buckets; empty if it has none."""
     cut = lambda x, mark, n: F.call_function("substring_index", x, mark, F.lit(n))
     after = cut(F.get(table, _word_bucket(word)), F.concat(_mark(0xFF), word, _mark(0xFE)), -1)
     # a bucket without the word is left whole and begins with a mark
@@ -62,24 +62,26 @@ def _word_bucket(word: Column) -> Column:
 
 
 def _as_table(entries: DataFrame, name: str) -> DataFrame:
-    """One row with one column: the (bucket, key, value) rows of words as an array of buckets, each a string of marked keys and values."""
+    """One row with one column: the (bucket, key, value, order) rows of words as an array of buckets, each a string of marked keys and values."""
     none = F.lit(None).cast("string")
-    places = entries.sparkSession.range(WORDS).select(F.col("id").cast("int").alias("bucket"), none.alias("key"), none.alias("value"))
-    pairs = F.collect_list(F.concat(_mark(0xFF), F.col("key"), _mark(0xFE), F.col("value")))
-    held = entries.unionByName(places).groupBy("bucket").agg(F.concat(F.array_join(pairs, ""), _mark(0xFF)).alias("held"))
+    places = entries.sparkSession.range(WORDS).select(F.col("id").cast("int").alias("bucket"), none.alias("key"), none.alias("value"), F.lit(0).alias("order"))
+    marked = F.concat(_mark(0xFF), F.col("key"), _mark(0xFE), F.col("value"))
+    pairs = F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("order", marked.alias("m")))))
+    texts = F.array_join(F.transform(pairs, lambda p: p["m"]), "")
+    held = entries.unionByName(places).groupBy("bucket").agg(F.concat(texts, _mark(0xFF)).alias("held"))
     ordered = F.array_sort(F.collect_list(F.struct("bucket", "held")))
     return written(held.agg(F.transform(ordered, lambda b: b["held"]).alias("t")), name)
 
 
-def displaced(rows: dict[int, dict[int, int]]) -> np.ndarray:
-    """A map of pairs of ids as one array: place a holds the start of a's row, place start + b the value, with a above it.
+def displaced(rows: dict[int, dict[int, int]], ids: int) -> np.ndarray:
+    """A map of pairs of ids below ``ids`` as one array: place a holds the start of a's row, place start + b the value, with a above it.
 
     Rows are laid over each other where their places are free (row
     displacement), the longest first; a place that another id's row fills
     shows that id.
     """
-    rng, ids = np.random.default_rng(10), 1 << BITS
-    places = 4 * (sum(map(len, rows.values())) + ids)
+    rng = np.random.default_rng(10)
+    places = 2 * (sum(map(len, rows.values())) + ids)
     out = np.full(2 * ids + places, -1, np.int64)
     out[:ids] = ids
     for a, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
@@ -117,7 +119,7 @@ class Encoder:
                 a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if a is not None and b is not None:
                     rows.setdefault(a, {})[b] = rank
-        return self._one_row(displaced(rows), pa.list_(pa.int64()), "ranks")
+        return self._one_row(displaced(rows, max(self.ranks.values()) + 1), pa.list_(pa.int64()), "ranks")
 
     @cached_property
     def pieces(self) -> DataFrame:
@@ -149,13 +151,14 @@ class Encoder:
             .groupBy("key")
             .agg(F.count(F.lit(1)).alias("n"))
             .where((F.col("n") > 1) & (F.octet_length("key") <= FREQUENT_BYTES))
-            .join(F.broadcast(self.whole.select("key")), "key", "left_anti")
             .orderBy(F.desc("n"), "key")
             .limit(FREQUENT)
         )
         chosen = written(counted.select("key"), "frequent").repartition(self.spark.sparkContext.defaultParallelism, "key")
         folded = self.applied(chosen, "value", lambda ranks: as_text(self.fold(ranks, F.col("key"))), self.rank_map)
-        entries = folded.unionByName(self.whole).select(_word_bucket(F.col("key")).alias("bucket"), "key", "value")
+        # the last entry of a word counts: what is a token as a whole comes last
+        both = folded.select("key", "value", F.lit(0).alias("order")).unionByName(self.whole.select("key", "value", F.lit(1).alias("order")))
+        entries = both.select(_word_bucket(F.col("key")).alias("bucket"), "key", "value", "order")
         return _as_table(entries, "words")
 
     def applied(self, df: DataFrame, into: str, body, *tables: DataFrame) -> DataFrame:
