@@ -113,6 +113,13 @@ def test_scores_of_missing_abstract(spark):
     assert tuple(got) == (5.0, 20.0)
 
 
+def test_sequence_ratio(spark):
+    pairs = [("abcd", "bcde", 0.75), ("", "", 1.0), (None, "x", 0.0), ("same text", "same text", 1.0), ("ab", "ba", 0.5)]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(pairs)], "i int, a string, b string")
+    got = {r["i"]: r["r"] for r in rows.select("i", validate.sequence_ratio("a", "b").alias("r")).collect()}
+    assert [got[i] for i in range(len(pairs))] == [want for *_, want in pairs]
+
+
 def test_empty_corpus_passes_all_gates(spark):
     flags = "has_title boolean, has_doi_or_journal boolean, has_abstract boolean, n_sections int, figures_count int, tables_count int, images_existing long, "
     m = spark.createDataFrame([], flags + "heads_total long, mapped_heads long, unmapped_heads long, noncontent_heads long, noise double")
