@@ -24,6 +24,8 @@ FREQUENT, FREQUENT_BYTES, COUNTED_BYTES = 500_000, 32, 160 << 20
 STRETCH = 1000
 #: Longer words (bytes) are encoded by a heap of merges: the fold takes quadratic time in a word's length.
 LONG = 4096
+#: What stands for the ids of a word that is still to be encoded.
+MISSED = "-"
 #: An id takes so many bits; a pair that doesn't merge has the rank NONE, above all others.
 BITS = 17
 NONE, MASK = 1 << 20, (1 << BITS) - 1
@@ -50,10 +52,10 @@ def _mark(byte: int) -> Column:
 
 
 def _looked_up(table: Column, word: Column) -> Column:
-    """The last value of a word in a table by buckets; empty if it has none."""
+    """The value of a word in a table by buckets; MISSED if it has none."""
     cut = lambda x, mark, n: F.call_function("substring_index", x, mark, F.lit(n))
     after = cut(F.get(table, _word_bucket(word)), F.concat(_mark(0xFF), word, _mark(0xFE)), -1)
-    # a bucket without the word is left whole and begins with a mark
+    # a bucket without the word is left whole and begins with MISSED
     return cut(after, _mark(0xFF), 1)
 
 
@@ -62,13 +64,16 @@ def _word_bucket(word: Column) -> Column:
 
 
 def _as_table(entries: DataFrame, name: str) -> DataFrame:
-    """One row with one column: the (bucket, key, value, order) rows of words as an array of buckets, each a string of marked keys and values."""
+    """One row with one column: the (bucket, key, value, times) rows of words as an array of buckets, each a string of marked keys and values.
+
+    Lookups search from the end, so the words that occur most come last.
+    """
     none = F.lit(None).cast("string")
-    places = entries.sparkSession.range(WORDS).select(F.col("id").cast("int").alias("bucket"), none.alias("key"), none.alias("value"), F.lit(0).alias("order"))
+    places = entries.sparkSession.range(WORDS).select(F.col("id").cast("int").alias("bucket"), none.alias("key"), none.alias("value"), F.lit(0).cast("long").alias("times"))
     marked = F.concat(_mark(0xFF), F.col("key"), _mark(0xFE), F.col("value"))
-    pairs = F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("order", marked.alias("m")))))
+    pairs = F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("times", marked.alias("m")))))
     texts = F.array_join(F.transform(pairs, lambda p: p["m"]), "")
-    held = entries.unionByName(places).groupBy("bucket").agg(F.concat(texts, _mark(0xFF)).alias("held"))
+    held = entries.unionByName(places).groupBy("bucket").agg(F.concat(F.lit(MISSED), texts, _mark(0xFF)).alias("held"))
     ordered = F.array_sort(F.collect_list(F.struct("bucket", "held")))
     return written(held.agg(F.transform(ordered, lambda b: b["held"]).alias("t")), name)
 
@@ -154,11 +159,12 @@ class Encoder:
             .orderBy(F.desc("n"), "key")
             .limit(FREQUENT)
         )
-        chosen = written(counted.select("key"), "frequent").repartition(self.spark.sparkContext.defaultParallelism, "key")
-        folded = self.applied(chosen, "value", lambda ranks: as_text(self.fold(ranks, F.col("key"))), self.rank_map)
-        # the last entry of a word counts: what is a token as a whole comes last
-        both = folded.select("key", "value", F.lit(0).alias("order")).unionByName(self.whole.select("key", "value", F.lit(1).alias("order")))
-        entries = both.select(_word_bucket(F.col("key")).alias("bucket"), "key", "value", "order")
+        chosen = written(counted.select("key", F.col("n").alias("times")), "frequent")
+        # what is a token as a whole isn't folded
+        rest = chosen.join(self.whole, "key", "left_anti").repartition(self.spark.sparkContext.defaultParallelism, "key")
+        folded = self.applied(rest, "value", lambda ranks: as_text(self.fold(ranks, F.col("key"))), self.rank_map)
+        whole = self.whole.join(chosen, "key", "left").select("key", "value", F.coalesce("times", F.lit(0)).alias("times"))
+        entries = folded.unionByName(whole).select(_word_bucket(F.col("key")).alias("bucket"), "key", "value", "times")
         return _as_table(entries, "words")
 
     def applied(self, df: DataFrame, into: str, body, *tables: DataFrame) -> DataFrame:
@@ -218,6 +224,12 @@ def as_text(ids: Column) -> Column:
     return F.array_join(F.transform(ids, lambda i: i.cast("string")), ",")
 
 
+def put_in(ids: Column, of) -> Column:
+    """``ids`` with ``of(n)`` in the place of the n-th MISSED, from 1."""
+    parts = F.transform(F.split(ids, MISSED), lambda part, n: F.when(n == 0, part).otherwise(F.concat(of(n), part)))
+    return F.array_join(parts, "")
+
+
 def words_of(text: Column, pattern: str) -> Column:
     """The pieces of a text that are merged separately; white space is what Unicode calls so."""
     return F.regexp_extract_all(text, F.lit("(?U)" + _possessive(pattern)), F.lit(0))
@@ -275,12 +287,17 @@ def encoded(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", in
 
     def stretch(words: Column, known: Column, ranks: Column) -> Column:
         def filled(found: Column) -> Column:
-            def put_back(fresh: Column) -> Column:
-                own = F.transform(fresh, lambda w: F.when(F.octet_length(w) <= LONG, as_text(encoder.fold(ranks, w))))
-                place = lambda i: (F.array_position(fresh, F.get(words, i)) - 1).cast("int")
-                return _let(own, lambda o: F.array_join(F.transform(found, lambda f, i: F.when(f != "", f).otherwise(F.get(o, place(i)))), ",", "-"))
+            ids = F.array_join(found, ",")
+
+            def folded_in(missed: Column, fresh: Column) -> Column:
+                own = F.transform(fresh, lambda w: F.when(F.octet_length(w) <= LONG, as_text(encoder.fold(ranks, w))).otherwise(MISSED))
+                place = lambda n: (F.array_position(fresh, F.get(missed, n - 1)) - 1).cast("int")
+                return _let(own, lambda o: put_in(ids, lambda n: F.get(o, place(n))))
+
+            def put_back(missed: Column) -> Column:
+                return F.when(F.size(missed) == 0, ids).otherwise(_let(F.array_distinct(missed), lambda fresh: folded_in(missed, fresh)))
 
-            return _let(F.array_distinct(F.filter(words, lambda _, i: F.get(found, i) == "")), put_back)
+            return _let(F.filter(words, lambda _, i: F.get(found, i) == MISSED), put_back)
 
         return _let(F.transform(words, lambda w: _looked_up(known, w)), filled)
 
@@ -291,7 +308,7 @@ def encoded(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", in
         return F.array_join(parts, ",")
 
     def folded(known: Column, ranks: Column) -> Column:
-        # a word that is left out has "-" for its ids
+        # a word that is left out has MISSED for its ids
         left_out = lambda words: F.filter(words, lambda w: F.octet_length(w) > LONG)
         held = lambda words: F.struct(whole(words, known, ranks).alias("ids"), F.when(F.octet_length(t) > LONG, left_out(words)).alias("long"))
         return _let(words_of(t, pattern), held)
@@ -304,8 +321,7 @@ def encoded(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", in
         return pa.array(found, pa.list_(pa.string()))
 
     def completed() -> Column:
-        parts = lambda part, n: F.when(n == 0, part).otherwise(F.concat(F.get(F.col(late), n - 1), part))
-        return F.when(F.col(late).isNull(), F.col(begun)["ids"]).otherwise(F.array_join(F.transform(F.split(F.col(begun)["ids"], "-"), parts), ""))
+        return F.when(F.col(late).isNull(), F.col(begun)["ids"]).otherwise(put_in(F.col(begun)["ids"], lambda n: F.get(F.col(late), n - 1)))
 
     def both(pieces: Column) -> Column:
         return _let(completed(), lambda i: F.struct(i.alias("ids"), joined(pieces, i).alias("back")))
@@ -321,7 +337,7 @@ def encoded(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", in
 
 def joined(pieces: Column, ids: Column) -> Column:
     """The bytes of ids written as by ``encoded``; ids without a piece give none."""
-    each = F.transform(F.split(ids, ","), lambda i: F.get(pieces, i.cast("int")))
+    each = F.transform(F.from_json(F.concat(F.lit("["), ids, F.lit("]")), "array<int>"), lambda i: F.get(pieces, i))
     return F.when(ids == "", F.lit(b"")).otherwise(F.array_join(each, "").cast("binary"))
 
 
