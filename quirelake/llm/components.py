@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ._shared import written
 
+#: Members of a bucket that all others meet at once after the smallest; each further round takes so many times more.
+HUBS = 8
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``links``; component is the smallest node reachable.
@@ -73,10 +76,13 @@ def bucket_links(buckets: DataFrame, alike, data=None) -> DataFrame:
 
     Emitting all pairs of a bucket would be quadratic in groups of copies.
     Instead each member first meets the smallest of its bucket; that settles
-    the groups whose members are all alike.  Only members that are still in
-    different components are compared afterwards, inside the join, which gives
-    out links alone: the components are exactly those of all linked pairs of
-    all buckets.
+    the groups whose members are all alike.  In a bucket that is still in
+    several components all members then meet about HUBS members drawn by hash,
+    then HUBS times as many, until they settle or all are drawn; members that
+    are in one component by then don't meet again.  So a group of alike members
+    gives out about HUBS links a member however large it is, and the components
+    are exactly those of all linked pairs of all buckets.  Comparing (not what
+    is given out) stays quadratic in a bucket whose members are mostly unlike.
     """
     hubs = buckets.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     crowded = written(buckets.join(hubs, "key"), "crowded")
@@ -98,10 +104,22 @@ def bucket_links(buckets: DataFrame, alike, data=None) -> DataFrame:
         .join(named, "node", "left")
         .select("key", "node", "hub", F.coalesce("component", "node").alias("c"))
     )
-    split = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    split = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", "n")
     # pairs with the hub were checked already
-    open_ = written(with_data(member.where("node <> hub").join(split, "key", "left_semi"), "node", "d").select("key", "node", "c", "d"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c"))
-    rest = x.join(y, meets & alike(F.col("x.d"), F.col("y.d"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    return first.unionByName(rest)
+    open_ = written(with_data(member.where("node <> hub").join(split, "key"), "node", "d").select("key", "node", "c", "d", "n"), "open")
+    links, hubs_now = first, HUBS
+    while (largest := open_.agg(F.max("n")).first()[0]) is not None:
+        drawn = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) * F.col("n") < F.lit(hubs_now << 30)
+        x, y = open_.where(drawn | (F.col("n") <= hubs_now)).alias("x"), open_.alias("y")
+        meets = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & alike(F.col("x.d"), F.col("y.d"))
+        ends = [F.struct(F.col(f"{side}.node").alias("node"), F.col(f"{side}.c").alias("c")) for side in "xy"]
+        found = written(x.join(y, meets).select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct(), "links")
+        links = links.unionByName(found.select("a.node", "b.node").toDF("a", "b"))
+        if largest <= hubs_now:
+            break
+        joined = components(found.select("a.c", "b.c").toDF("a", "b")).withColumnsRenamed({"node": "c", "component": "into"})
+        left = open_.where(F.col("n") > hubs_now).join(joined, "c", "left").select("key", "node", F.coalesce("into", "c").alias("c"), "d", "n")
+        still = left.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+        open_ = written(left.join(still, "key", "left_semi"), "open")
+        hubs_now *= HUBS
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -446,3 +446,38 @@ def test_kth_largest(spark, monkeypatch):
     for k in (1, 20, 300, 540):
         assert resample.kth_largest(keys, "x", k) == sorted(xs, reverse=True)[k - 1]
     assert resample.kth_largest(keys, "x", 541) == float("-inf")
+
+
+@pytest.mark.parametrize("near", [0, 3, 40])
+def test_buckets_give_few_links_and_all_components(spark, near):
+    """Members alike within ``near``; the smallest of the large bucket is unlike all others."""
+    rng = random.Random(near)
+    large = [1_000_000 + n if near == 40 else 1_000_000 + rng.randrange(4000) for n in range(400)]
+    rows = [("large", n) for n in {0, *large}] + [(f"b{n % 60}", rng.randrange(3000)) for n in range(600)]
+    rows = sorted(set(rows))
+    alike = lambda a, b: F.abs(a - b) <= near
+    links = components.bucket_links(spark.createDataFrame(rows, "key string, node long"), alike)
+    got = {(r.a, r.b) for r in links.collect()}
+    pairs = {(a, b) for k, a in rows for j, b in rows if k == j and a < b and b - a <= near}
+    assert got <= pairs
+    name = {n: n for _, n in rows}
+
+    def root(n, parent):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    def parted(edges):
+        parent = dict(name)
+        for a, b in edges:
+            x, y = root(a, parent), root(b, parent)
+            parent[max(x, y)] = min(x, y)
+        return {n: root(n, parent) for n in name}
+
+    assert parted(got) == parted(pairs)
+
+
+def test_a_group_unlike_its_bucket_s_smallest_gives_linear_links(spark):
+    rows = [("k", 0)] + [("k", n) for n in range(1000, 1400)]
+    links = components.bucket_links(spark.createDataFrame(rows, "key string, node long"), lambda a, b: F.abs(a - b) < 500)
+    assert links.distinct().count() < 20 * len(rows)
