@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Folders of the steps that pipeline stages wrote and that still stand; whether new ones are added.
+_noted: list[str] = []
+_noting = False
+
+
 def _removed(process: int, jvm, conf, path: str) -> None:
     if os.getpid() != process:
         return
@@ -51,9 +57,47 @@ def own_folder(spark: SparkSession) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/quirelake-{uuid.uuid4().hex}"
     sc = spark.sparkContext
     atexit.register(_removed, os.getpid(), sc._jvm, sc._jsc.hadoopConfiguration(), path)
+    if _noting:
+        _noted.append(path)
     return path
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    _removed(os.getpid(), sc._jvm, sc._jsc.hadoopConfiguration(), path)
+
+
+def dropped(*steps: DataFrame) -> None:
+    """Deletes written steps whose readers are all written by now."""
+    for step in steps:
+        for folder in {os.path.dirname(os.path.dirname(file)) for file in step.inputFiles()}:
+            _drop(step.sparkSession, folder)
+
+
+@contextmanager
+def stage(docs: DataFrame, last: bool = False):
+    """Begins a pipeline stage: deletes the steps of the stages before it, but for those that ``docs`` still reads.
+
+    Steps written inside are noted for the next stage, except those of the last
+    one, whose result nobody may have written yet.
+    """
+    global _noting
+    read = {folder_name(file) for file in docs.inputFiles()} if _noted else set()
+    for path in [p for p in _noted if folder_name(p) not in read]:
+        _drop(docs.sparkSession, path)
+        _noted.remove(path)
+    _noting = not last
+    try:
+        yield
+    finally:
+        _noting = False
+
+
+def folder_name(path: str) -> str:
+    """The name of the step's own folder in a path: ``quirelake-`` and digits; empty if it has none."""
+    return next((part for part in reversed(path.split("/")) if part.startswith("quirelake-") and len(part) == 42), "")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
     path = f"{own_folder(df.sparkSession)}/{name}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import dropped, written
 
 #: Members of a bucket that all others meet at once after the smallest; each further round takes so many times more.
 HUBS = 8
@@ -30,7 +30,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
     before = None
     while True:
-        edges = written(_small_star(_large_star(edges)), "round")
+        old, edges = edges, written(_small_star(_large_star(edges)), "round")
+        dropped(old)
         # a star forest is a fixed point: every v is a root and every u has one v
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -107,6 +108,7 @@ def bucket_links(buckets: DataFrame, alike, data=None) -> DataFrame:
     split = member.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", "n")
     # pairs with the hub were checked already
     open_ = written(with_data(member.where("node <> hub").join(split, "key"), "node", "d").select("key", "node", "c", "d", "n"), "open")
+    dropped(crowded, *([] if known is None else [known, pairs]))
     links, hubs_now = first, HUBS
     while (largest := open_.agg(F.max("n")).first()[0]) is not None:
         drawn = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 30)) * F.col("n") < F.lit(hubs_now << 30)
@@ -120,6 +122,8 @@ def bucket_links(buckets: DataFrame, alike, data=None) -> DataFrame:
         joined = components(found.select("a.c", "b.c").toDF("a", "b")).withColumnsRenamed({"node": "c", "component": "into"})
         left = open_.where(F.col("n") > hubs_now).join(joined, "c", "left").select("key", "node", F.coalesce("into", "c").alias("c"), "d", "n")
         still = left.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-        open_ = written(left.join(still, "key", "left_semi"), "open")
+        old, open_ = open_, written(left.join(still, "key", "left_semi"), "open")
+        dropped(old)
         hubs_now *= HUBS
+    dropped(open_)
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
