@@ -37,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: With it Spark deletes a query's shuffle files as the query ends, not when the driver next collects its garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders of the steps that pipeline stages wrote and that still stand; whether new ones are added.
 _noted: list[str] = []
 _noting = False
@@ -101,7 +103,13 @@ def folder_name(path: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors."""
     path = f"{own_folder(df.sparkSession)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANED, None)
+    conf.set(CLEANED, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(CLEANED) if before is None else conf.set(CLEANED, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,13 +1,14 @@
 """Stages of the pipeline on planted fixtures, against brute force."""
 
 import hashlib
+import os
 import random
 
 import corpus_pipeline
 import public_tokenizers as P
 from test_llm import RANKS, brute_components, brute_tiles, left_by_brute_force, prose
 
-from quirelake.llm import bytepair
+from quirelake.llm import _shared, bytepair
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -109,3 +110,15 @@ def test_run(spark, tmp_path):
         assert got[n]["ids"].strip() in (",".join(map(str, ids)), ",".join(map(str, enc.encode_ordinary(" " + data))))
         if n != 104:
             assert got[n]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest() and got[n]["n_tokens"] == len(ids)
+
+
+def test_a_stage_drops_the_steps_before_it_but_not_what_its_docs_read(spark):
+    with _shared.stage(spark.range(1)):
+        gone, read = _shared.written(spark.range(3), "gone"), _shared.written(spark.range(5), "read")
+    gone_file, read_file = gone.inputFiles()[0], read.inputFiles()[0]
+    with _shared.stage(read.where("id > 0"), last=True):
+        kept = _shared.written(spark.range(2), "kept")
+    assert not os.path.exists(gone_file.removeprefix("file://")) and os.path.exists(read_file.removeprefix("file://"))
+    with _shared.stage(spark.range(1), last=True):
+        assert kept.count() == 2
+    assert spark.conf.get(_shared.CLEANED, None) is None
