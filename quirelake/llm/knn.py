@@ -8,10 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Vectors of one packed block, dimensions of one step.
-CANDIDATES, QUERIES, STEP = 4096, 1024, 16
+from ._shared import written
+
+#: Vectors of one packed block (fewer if they are long), bytes of its doubles, dimensions of one step.
+CANDIDATES, QUERIES, BLOCK, STEP = 4096, 1024, 4 << 20, 16
+#: Bytes of packed queries that a task holds, so many pieces of work for each core.
+HELD, PIECES = 48 << 20, 8
 _LONG = 2**63 - 1
-_PACKED = "dim int, n int, ids binary, cols binary, wide boolean"
+_PACKED = "dim int, n int, ids binary, cols binary, width int, wide boolean"
+_TYPES = {2: np.int16, 4: np.int32, 8: np.float64}
 
 
 def _quantized(df: DataFrame, vec_id: str, embedding: str, scale: float) -> DataFrame:
@@ -27,20 +32,23 @@ def _quantized(df: DataFrame, vec_id: str, embedding: str, scale: float) -> Data
 
 
 def _packer(size: int):
-    """Packs rows of a partition into blocks in vertical layout: one run of values per dimension."""
+    """Packs rows of a partition into blocks in vertical layout: one run of values per dimension, in 2 or 4 bytes where they fit."""
 
     def pack(batches):
         held: dict[int, list] = {}
 
         def emit(dim, ids, rows):
             m = np.array(rows, dtype=np.float64).reshape(len(ids), dim)
+            most = float(np.abs(m).max()) if m.size else 0.0
+            width = 2 if most < 2**15 else 4 if most < 2**31 else 8
             return pa.RecordBatch.from_pydict(
                 {
                     "dim": pa.array([dim], pa.int32()),
                     "n": pa.array([len(ids)], pa.int32()),
                     "ids": pa.array([np.array(ids, dtype=np.int64).tobytes()], pa.binary()),
-                    "cols": pa.array([np.ascontiguousarray(m.T).tobytes()], pa.binary()),
-                    "wide": pa.array([bool(m.size and dim * float(np.abs(m).max()) ** 2 >= 2.0**52)], pa.bool_()),
+                    "cols": pa.array([np.ascontiguousarray(m.T).astype(_TYPES[width]).tobytes()], pa.binary()),
+                    "width": pa.array([width], pa.int32()),
+                    "wide": pa.array([dim * most**2 >= 2.0**52], pa.bool_()),
                 }
             )
 
@@ -49,7 +57,7 @@ def _packer(size: int):
                 ids, rows = held.setdefault(len(v), ([], []))
                 ids.append(i)
                 rows.append(v)
-                if len(ids) == size:
+                if len(ids) >= min(size, max(1, BLOCK // (8 * max(1, len(v))))):
                     yield emit(len(v), ids, rows)
                     held[len(v)] = ([], [])
         for dim, (ids, rows) in held.items():
@@ -59,72 +67,116 @@ def _packer(size: int):
     return pack
 
 
-def search_block(qi, q, ci, c, k: int):
-    """The k best candidates of each query: (query id, candidate id, score) arrays.
+def _rest(c):
+    """Where the steps of dimensions begin, and the masses of each candidate from there on (a little is added against rounding)."""
+    dims = len(c)
+    cuts = [*range(0, dims, STEP), dims] if dims else [0]
+    return cuts, [np.sqrt((c[a:] ** 2).sum(0)) * (1 + 1e-9) for a in cuts]
+
+
+def search_block(qi, q, ci, c, k: int, rest=None, least=None):
+    """The k best candidates of each query: (query, candidate ids, scores), where there are any; a query is its place in ``qi``.
 
-    ``q`` is (queries, dims), ``c`` is (dims, candidates), both integers held as
-    doubles so small that sums are exact.  Scores grow one step of dimensions at
+    ``q`` is (queries, dims), ``c`` is (dims, candidates), both whole numbers so
+    small that sums of doubles are exact.  Scores grow one step of dimensions at
     a time; a candidate is dropped as soon as its score so far plus the product
     of the remaining masses (Cauchy-Schwarz) is below the k-th best found.
+    ``least`` has the k-th best that each query found elsewhere (-inf: none).
     """
     dims, n = c.shape
-    cuts = [*range(0, dims, STEP), dims] if dims else [0]
-    # remaining mass after each step; a little is added against rounding
-    q_rest = [np.sqrt((q[:, a:] ** 2).sum(1)) * (1 + 1e-9) for a in cuts]
-    c_rest = [np.sqrt((c[a:] ** 2).sum(0)) * (1 + 1e-9) for a in cuts]
+    cuts, c_rest = rest or _rest(c)
     first = cuts[1] if dims else 0
     out = []
     for low in range(0, len(qi), 64):
-        part = q[low : low + 64]
+        part = q[low : low + 64].astype(np.float64)
+        q_rest = [np.sqrt((part[:, a:] ** 2).sum(1)) * (1 + 1e-9) for a in cuts]
         start = part[:, :first] @ c[:first]
-        reach = start + np.outer(q_rest[1][low : low + 64], c_rest[1]) if dims else start
+        reach = start + np.outer(q_rest[1], c_rest[1]) if dims else start
+        known = np.full(len(part), -np.inf) if least is None else least[low : low + 64]
         probe = min(n, 4 * k + 1)
-        for r in range(len(part)):
-            own = int(qi[low + r])
-            best = np.argpartition(reach[r], n - probe)[n - probe :]
-            best = best[ci[best] != own]
-            if len(best) >= k:
-                bound = np.partition(part[r] @ c[:, best], len(best) - k)[len(best) - k]
-                alive = np.flatnonzero(reach[r] >= bound)
-            else:
-                bound, alive = -np.inf, np.arange(n)
+        for r in np.flatnonzero((reach >= known[:, None]).any(1)).tolist():
+            own, bound = int(qi[low + r]), known[r]
+            if bound == -np.inf:
+                best = np.argpartition(reach[r], n - probe)[n - probe :]
+                best = best[ci[best] != own]
+                if len(best) >= k:
+                    bound = np.partition(part[r] @ c[:, best], len(best) - k)[len(best) - k]
+            alive = np.flatnonzero(reach[r] >= bound)
             alive = alive[ci[alive] != own]
             score = start[r, alive]
             for s in range(1, len(cuts) - 1):
+                if not len(alive):
+                    break
                 a, b = cuts[s], cuts[s + 1]
                 score = score + part[r, a:b] @ c[a:b, alive]
-                keep = score + q_rest[s + 1][low + r] * c_rest[s + 1][alive] >= bound
+                keep = score + q_rest[s + 1][r] * c_rest[s + 1][alive] >= bound
                 if not keep.all():
                     alive, score = alive[keep], score[keep]
-            order = np.lexsort((ci[alive], -score))[:k]
-            out.append((own, ci[alive[order]], score[order]))
+            if len(alive):
+                order = np.lexsort((ci[alive], -score))[:k]
+                out.append((low + r, ci[alive[order]], score[order]))
     return out
 
 
+class _Asked:
+    """A block of queries and the best that it has met so far."""
+
+    def __init__(self, row: dict, k: int):
+        self.k, self.wide = k, row["wide"]
+        self.ids, self.vectors = np.frombuffer(row["ids"], np.int64), _matrix(row).T
+        self.found, self.scores = np.zeros((len(self.ids), k), np.int64), np.zeros((len(self.ids), k), np.int64)
+        self.n, self.least = np.zeros(len(self.ids), np.int32), np.full(len(self.ids), -np.inf)
+
+    def meet(self, ci, c, wide: bool, rest) -> None:
+        if wide or self.wide:
+            new = [(r, *x[1:]) for r, x in enumerate(_search_wide(self.ids, self.vectors, ci, c, self.k))]
+        else:
+            new = search_block(self.ids, self.vectors, ci, c, self.k, rest, self.least)
+        for r, ids, scores in new:
+            ids = np.concatenate((self.found[r, : self.n[r]], ids))
+            scores = np.concatenate((self.scores[r, : self.n[r]], np.asarray(scores).astype(np.int64)))
+            # not by -scores, which the smallest long has none of
+            order = np.lexsort((ids, ~scores))[: self.k]
+            self.n[r] = len(order)
+            self.found[r, : len(order)], self.scores[r, : len(order)] = ids[order], scores[order]
+            if len(order) == self.k:
+                self.least[r] = float(self.scores[r, -1])
+
+    def rows(self) -> pa.RecordBatch:
+        has = np.arange(self.k) < self.n[:, None]
+        columns = [np.repeat(self.ids, self.n), self.found[has], self.scores[has]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query_id", "vec_id", "score"])
+
+
+def _matrix(row: dict):
+    return np.frombuffer(row["cols"], _TYPES[row["width"]]).reshape(row["dim"], row["n"])
+
+
 def _search(k: int):
+    """Of each cell (dim, part, group) the query blocks come first and are held, then candidate blocks pass one by one."""
+
     def search(batches):
+        cell, asked = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                qi, ci = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                q = np.frombuffer(row["q_cols"]).reshape(row["dim"], len(qi)).T
-                c = np.frombuffer(row["cols"]).reshape(row["dim"], len(ci))
-                if row["wide"] or row["q_wide"]:
-                    found = _search_wide(qi, q, ci, c, k)
-                else:
-                    found = search_block(qi, np.ascontiguousarray(q), ci, c, k)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "query_id": pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)),
-                        "vec_id": pa.array(np.concatenate([f[1] for f in found]).astype(np.int64)),
-                        "score": pa.array(np.concatenate([np.asarray(f[2]) for f in found]).astype(np.int64)),
-                    }
-                )
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if (at := (row["dim"], row["part"], row["g"])) != cell:
+                    yield from (x.rows() for x in asked)
+                    cell, asked = at, []
+                if row["side"] == 0:
+                    asked.append(_Asked(row, k))
+                elif asked:
+                    ci, c = np.frombuffer(row["ids"], np.int64), _matrix(row).astype(np.float64)
+                    rest = _rest(c)
+                    for x in asked:
+                        x.meet(ci, c, row["wide"], rest)
+        yield from (x.rows() for x in asked)
 
     return search
 
 
 def _search_wide(qi, q, ci, c, k: int):
-    """The same for values whose sums doubles can't hold: whole numbers of any size."""
+    """The same, for all queries, for values whose sums doubles can't hold: whole numbers of any size."""
     out = []
     columns = [[int(x) for x in col] for col in c.T]
     for own, row in zip(qi, q, strict=True):
@@ -138,6 +190,16 @@ def _search_wide(qi, q, ci, c, k: int):
     return out
 
 
+def spread(query_bytes: int, partitions: int, cores: int) -> tuple[int, int]:
+    """(parts, groups): into how many the packed queries and the candidates are dealt; each part meets each group.
+
+    All candidates are moved once a part and all queries once a group, so both
+    are few: parts by what a task holds, groups by what keeps the cores busy.
+    """
+    parts = max(1, -(-query_bytes // HELD))
+    return parts, max(2, min(partitions, PIECES * cores) // parts)
+
+
 def top_k(
     vectors: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = 256.0
 ) -> DataFrame:
@@ -146,10 +208,11 @@ def top_k(
     Queries are the rows for which ``queries`` holds; candidates are all rows
     with another id.  Components are floor(scale * x).  Vectors meet only
     vectors of their own length.  Both sides are packed into bounded blocks in
-    vertical layout; every block of queries meets every block of candidates
-    through an equi-join on (length, group), and each meeting leaves at most k
-    rows a query, from which the best k are taken.  Neither side is broadcast
-    or collected, a task holds one pair of blocks at a time.
+    vertical layout, queries into parts of about HELD bytes and candidates into
+    groups.  A task sorts the blocks of a part and a group, holds the queries
+    with their best so far, whose k-th bounds the search, and lets the
+    candidates pass block by block; each query leaves at most k rows there, from
+    which the best k are taken.  Neither side is broadcast or collected.
 
     Null ids, null vectors and vectors with null or non-finite components take
     no part; ties go to the smaller id; every repeat of a row is a candidate of
@@ -157,21 +220,21 @@ def top_k(
     components and scores beyond a long are held at its ends; columns besides
     the two named ones are not read; an empty table gives no rows.
     """
+    spark = vectors.sparkSession
     rows = _quantized(vectors, vec_id, embedding, scale)
-    blocks = rows.mapInArrow(_packer(CANDIDATES), _PACKED)
-    asked = (
-        _quantized(vectors.where(queries), vec_id, embedding, scale)
-        .dropDuplicates(["id", "v"])
-        .mapInArrow(_packer(QUERIES), _PACKED)
-        .select("dim", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("cols").alias("q_cols"), F.col("wide").alias("q_wide"))
-    )
-    groups = max(2, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = blocks.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups))).join(
-        asked.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))), ["dim", "g"]
-    )
-    found = met.select("dim", "ids", "cols", "wide", "q_ids", "q_cols", "q_wide").mapInArrow(
-        _search(k), "query_id long, vec_id long, score long"
+    asked = written(
+        _quantized(vectors.where(queries), vec_id, embedding, scale).dropDuplicates(["id", "v"]).mapInArrow(_packer(QUERIES), _PACKED), "asked"
     )
+    size = asked.agg(F.sum(F.octet_length("ids") + F.octet_length("cols"))).first()[0] or 0
+    parts, groups = spread(size, int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    drawn = F.xxhash64("ids")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q = asked.select("*", F.lit(0).alias("side"), F.pmod(drawn, F.lit(parts)).alias("part"), every(groups).alias("g"))
+    blocks = rows.mapInArrow(_packer(CANDIDATES), _PACKED)
+    c = blocks.select("*", F.lit(1).alias("side"), every(parts).alias("part"), F.pmod(drawn, F.lit(groups)).alias("g"))
+    cell = ["dim", "part", "g"]
+    met = q.unionByName(c).repartition(max(2, parts * groups), *cell).sortWithinPartitions(*cell, "side")
+    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return (
         found.withColumn("rank", F.row_number().over(best))

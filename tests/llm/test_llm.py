@@ -99,6 +99,27 @@ def test_top_k_is_exact(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_top_k_in_several_parts_moves_few_copies(spark, monkeypatch):
+    """Before, each query block went to as many groups as there are shuffle partitions, and was buffered in a join."""
+    for gb in (0.02, 6, 30):
+        parts, groups = knn.spread(int(gb * 1e9 / 100), round(100 * gb) + 12, 6)
+        # whole numbers of two bytes: half the input
+        assert parts * gb / 2 + groups * gb / 100 < 4 * gb
+    monkeypatch.setattr(knn, "HELD", 700)
+    monkeypatch.setattr(knn, "QUERIES", 3)
+    monkeypatch.setattr(knn, "CANDIDATES", 16)
+    r = np.random.default_rng(4)
+    v = np.concatenate((r.integers(-200, 200, (300, 20)), r.integers(-(2**30), 2**30, (40, 20)), [[2**40] + [0] * 19] * 3, np.zeros((4, 20), int)))
+    rows = [(i, [float(x) for x in x]) for i, x in enumerate(v.tolist())] + [(900, []), (910, []), (911, [])]
+    got = knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0, k=5, scale=1)
+    want = [(900, 1, 910, 0), (900, 2, 911, 0), (910, 1, 900, 0), (910, 2, 911, 0)]
+    for q in range(0, len(v), 10):
+        clipped = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v[q].tolist(), x)))), i) for i, x in enumerate(v.tolist()) if i != q]
+        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(sorted(clipped)[:5])]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_wide_scores_stay_whole():
     c = np.array([[2.0**60], [1.0]])
     [(own, ids, score)] = knn._search_wide(np.array([1]), np.array([[1.0, 3.0]]), np.array([2]), c, 5)
