@@ -148,6 +148,30 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_of_many_chunks_broadcast_nothing(spark, monkeypatch):
+    """Before, each round's minima were broadcast, by way of the driver, and a last round only found that nothing changed."""
+    r = random.Random(8)
+    links = [(r.randrange(900), r.randrange(900)) for _ in range(700)] + [(i, i + 1) for i in range(900, 1100)]
+    table = spark.createDataFrame(links, "a long, b long")
+    want = brute_components(1101, links)
+    names, plans = [], []
+    write = components.written
+
+    def written(df, name):
+        out = write(df, name)
+        names.append(name)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(components, "written", written)
+    for chunk, most in ((1 << 18, 0), (40, 12)):
+        monkeypatch.setattr(components, "CHUNK", chunk)
+        names.clear()
+        got = {x["node"]: x["component"] for x in components.components(table).collect()}
+        assert all(got.get(i, i) == want[i] for i in range(1101)) and names.count("round") <= most
+    assert names.count("round") and "Broadcast" not in "".join(plans)
+
+
 def print_of(text):
     text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0d]+", text)
