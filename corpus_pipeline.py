@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard of 0.8) stays, that with the smallest id."""
+    """One document of each group of near copies (SimHash within 2 bits, or five-word Jaccard of 0.8) stays, that with the smallest id."""
     with stage(docs):
         return near_copies.one_of_each(docs)
 

@@ -1,4 +1,4 @@
-"""Near copies of whole texts: MinHash banding over five-word shingles, exact Jaccard, components."""
+"""Near copies of whole texts: SimHash links by the grid range-join, links of exact Jaccard similarity by MinHash banding, components."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from ._shared import free_names, text_of, written
 from .components import bucket_links, components
 from .paragraphs import SHINGLE, _alike, _rolled
+from .simhash import fingerprint, fingerprint_links
 
 #: 12 bands of 3 rows find a pair of Jaccard similarity 0.8 with probability 0.9998.
 BANDS, ROWS = 12, 3
@@ -66,14 +67,17 @@ def _content(texts: pa.Array) -> pa.Array:
     return pa.array([None if (text := t.as_py()) is None else _node(_words(text)) for t in texts], pa.int64())
 
 
-@F.arrow_udf(StructType([StructField("node", LongType()), StructField("bands", ArrayType(LongType()))]))
+@F.arrow_udf(StructType([StructField("node", LongType()), StructField("fp", LongType()), StructField("bands", ArrayType(LongType()))]))
 def _printed(texts: pa.Array) -> pa.Array:
-    nodes, keys = [], []
+    nodes, prints, keys = [], [], []
     for t in texts:
-        words = _words(t.as_py())
+        text = t.as_py()
+        words = _words(text)
         nodes.append(_node(words))
+        prints.append(fingerprint(text))
         keys.append(bands(shingles(words)))
-    return pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["node", "bands"])
+    arrays = [pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+    return pa.StructArray.from_arrays(arrays, names=["node", "fp", "bands"])
 
 
 @F.arrow_udf(ArrayType(LongType()))
@@ -84,9 +88,12 @@ def _sets(texts: pa.Array) -> pa.Array:
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df``, one for each group of near copies: that with the smallest id.
 
-    Texts are near copies at a Jaccard similarity of at least 0.8 of their
-    five-word shingles; groups are the components of that relation, found among
-    texts that collide in a band.  Texts of the same words count once in the
+    Texts are near copies if their SimHash fingerprints (three-word shingles)
+    differ in 2 bits at most, all such pairs being found by the grid range-join
+    of ``simhash``, and also at a Jaccard similarity of at least 0.8 of their
+    five-word shingles, found among texts that collide in a band: such pairs
+    mostly differ in more bits than a grid can be wide.  Groups are the
+    components of both relations.  Texts of the same words count once in the
     search.  Null and empty texts are copies of each other; texts of fewer than
     five words match if their words do; null ids come last; among rows that
     share the smallest id one text stays, and one of repeated rows; other
@@ -97,8 +104,8 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """
     # a struct, so that a null id is a key like any other
     named = df.select(F.struct(F.col(doc_id).alias("id")).alias("id"), text_of(text).alias("text"))
-    prints = written(named.select("id", _printed("text").alias("p")).select("id", "p.node", "p.bands"), "prints")
-    nodes = written(prints.groupBy("node").agg(_first_id("id").alias("least")), "nodes")
+    prints = written(named.select("id", _printed("text").alias("p")).select("id", "p.*"), "prints")
+    nodes = written(prints.groupBy("node").agg(_first_id("id").alias("least"), F.min("fp").alias("fp")), "nodes")
     collided = prints.select(F.explode("bands").alias("key"), "node").distinct()
 
     def sets(wanted: DataFrame) -> DataFrame:
@@ -107,7 +114,7 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         texts = named.join(chosen, "id").withColumn("node", _content("text")).where("node = n")
         return texts.groupBy("node").agg(F.any_value("text").alias("text")).select("node", _sets("text").alias("data"))
 
-    grouped = components(bucket_links(collided, _alike, sets))
+    grouped = components(bucket_links(collided, _alike, sets).unionByName(_print_links(nodes)))
     kept = (
         nodes.join(grouped, "node", "left")
         .groupBy(F.coalesce("component", "node").alias("group"))
@@ -125,6 +132,16 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return chosen.withColumn(number, once).where(F.col(number) == 1).select(*df.columns)
 
 
+def _print_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes of near fingerprints; nodes of one fingerprint are linked to the smallest of them, which stands for it."""
+    stands = written(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    same = nodes.hint("merge").join(stands, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = fingerprint_links(stands)
+    for end in "ab":
+        near = near.hint("merge").join(stands.select(F.col("fp").alias(end), F.col("first").alias(f"_{end}")), end)
+    return same.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+
 def _first_id(column: str):
     """The least of some ids, null last."""
     return F.min(F.struct(F.col(column)["id"].isNull().alias("none"), column))[column]

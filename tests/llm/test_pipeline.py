@@ -6,7 +6,7 @@ import random
 
 import corpus_pipeline
 import public_tokenizers as P
-from test_llm import RANKS, brute_components, brute_tiles, left_by_brute_force, prose
+from test_llm import RANKS, brute_components, brute_tiles, left_by_brute_force, print_of, prose
 
 from quirelake.llm import _shared, bytepair
 
@@ -45,6 +45,23 @@ def test_near_copies_of_jaccard_0_8_go(spark):
     assert sorted(r["doc_id"] for r in got) == want
 
 
+def test_near_copies_by_fingerprint_go(spark):
+    """Before, the stage had no fingerprints: texts within 2 bits stayed if their sets of shingles were unlike."""
+    texts = [prose(150, 40 + s) for s in range(5)]
+    for s in range(5):
+        p = prose(40, 800 + s)
+        texts += [" ".join([p] * 20 + [prose(60, 810 + 10 * s + n)]) for n in range(3)]
+    texts.append(" ".join([*texts[7].split(" ")[:-1], "other"]))
+    sets, prints = [shingle_set(t) for t in texts], [print_of(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    near = [(i, j) for i, j in pairs if bin(prints[i] ^ prints[j]).count("1") <= 2]
+    alike = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = sorted(set(brute_components(len(texts), near + alike)))
+    assert len(want) < len(set(brute_components(len(texts), alike)))
+    got = corpus_pipeline.STAGES[1][1](spark, spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), "").collect()
+    assert sorted(r["doc_id"] for r in got) == want
+
+
 def test_toxic_documents_go(spark, tmp_path):
     texts = [toxic(n) if n % 5 == 0 else prose(20 + n % 50, n) for n in range(600)] + ["", None]
     spark.createDataFrame([(n, int(n % 5 == 0)) for n in range(0, 500)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
