@@ -30,22 +30,65 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_REMEMBERED = 400_000
+#: ASCII letters and digits in lower case; nothing else.
+_NORMAL = np.array([ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else 0 for c in range(256)], np.uint8)
+_LETTER_BASE = 0x9FB21C651E98DF25
+_kept_powers = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+_REMEMBERED = 100_000
 _hashes: dict[bytes, int] = {}
 
 
 def normal(word: bytes) -> str:
     """A word as it is compared: lower case, letters and digits only."""
-    return "".join(c for c in word.decode("utf-8", "replace").lower() if c.isalnum())
-
-
-def _hash(word: bytes) -> int:
-    value = xxhash.xxh64_intdigest(normal(word).encode("utf-8", "surrogatepass"), 11)
-    if len(word) <= 40:
-        if len(_hashes) >= _REMEMBERED:
+    form = word.decode("utf-8", "replace").lower()
+    return form if form.isalnum() else "".join(c for c in form if c.isalnum())
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _LETTER_BASE, and of its inverse."""
+    global _kept_powers
+    if len(_kept_powers[0]) < n:
+        bases = (_LETTER_BASE, pow(_LETTER_BASE, -1, 2**64))
+        size = max(n, 1 << 16)
+        new = tuple(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)))) for x in bases)
+        if size > 1 << 20:
+            return new
+        _kept_powers = new
+    return _kept_powers
+
+
+def _letter_hashes(letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A rolling polynomial, modulo 2^64, of the bytes of each word in normal form."""
+    up, down = _powers(len(letters) + 1)
+    total = np.zeros(len(letters) + 1, np.uint64)
+    np.cumsum(letters * up[: len(letters)], out=total[1:])
+    value = (total[end] - total[start]) * down[start]
+    value = (value ^ (value >> np.uint64(32))) * _MIX
+    return value ^ (value >> np.uint64(29))
+
+
+def _word_hashes(data: bytes, raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of the normal form of each word; ASCII words are taken all at once, others are remembered."""
+    low = _NORMAL[raw]
+    use = low != 0
+    place = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(use, out=place[1:])
+    h = _letter_hashes(low[use], place[first], place[last])
+    if not data.isascii():
+        np.cumsum(raw >= 128, out=place[1:])
+        own = np.flatnonzero(place[last] > place[first])
+        words = [data[a:b] for a, b in zip(first[own].tolist(), last[own].tolist(), strict=True)]
+        new = list({w for w in words if w not in _hashes})
+        if len(_hashes) + len(new) > _REMEMBERED:
+            _hashes.clear()
+            new = list(set(words))
+        forms = [normal(w).encode("utf-8", "surrogatepass") for w in new]
+        end = np.cumsum([0, *map(len, forms)])
+        _hashes.update(zip(new, _letter_hashes(np.frombuffer(b"".join(forms) or b"\0", np.uint8), end[:-1], end[1:]).tolist(), strict=True))
+        h[own] = np.array([_hashes[w] for w in words], np.uint64)
+        if len(_hashes) > _REMEMBERED or any(len(w) > 1000 for w in new):
             _hashes.clear()
-        _hashes[word] = value
-    return value
+    return h
 
 
 def _rolled(h: np.ndarray) -> np.ndarray:
@@ -131,12 +174,7 @@ def _split(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     blank = _BLANK[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
     first, last = edge[::2], edge[1::2]
-    words = data.split()
-    h = list(map(_hashes.get, words))
-    for i, v in enumerate(h):
-        if v is None:
-            h[i] = _hash(words[i])
-    return first, last, np.array(h, np.uint64), np.searchsorted(np.flatnonzero(raw == 10), first)
+    return first, last, _word_hashes(data, raw, first, last), np.searchsorted(np.flatnonzero(raw == 10), first)
 
 
 class Units:
@@ -225,8 +263,7 @@ def _shingles(lines: pa.Array) -> pa.Array:
     """The set of 64-bit hashes of the five-word shingles of each line."""
     out = []
     for line in lines:
-        words = line.as_py().encode("utf-8", "surrogatepass").split()
-        h = np.array([_hashes.get(w) or _hash(w) for w in words], np.uint64)
+        h = _split(line.as_py().encode("utf-8", "surrogatepass"))[2]
         out.append(np.unique(_rolled(h)).view(np.int64))
     return pa.array(out, pa.list_(pa.int64()))
 

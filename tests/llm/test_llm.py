@@ -228,6 +228,18 @@ def test_paragraphs_that_repeat_go(spark):
     assert {r["doc_id"]: r["n_removed"] for r in paragraphs.digest(df).collect()}[1] == 0
 
 
+def test_ascii_words_are_hashed_at_once(monkeypatch):
+    """Before, each word that was not remembered was brought to its normal form one by one."""
+    normal, asked = paragraphs.normal, []
+    monkeypatch.setattr(paragraphs, "normal", lambda w: asked.append(w) or normal(w))
+    monkeypatch.setattr(paragraphs, "_hashes", {})
+    words = "Don't dont DONT. -- 42 été ÉTÉ, \u201cdont\u201d x\x1cY xy a--b ab \u2014 \u212aelvin kelvin".split(" ")
+    h = paragraphs._split(" ".join(words).encode())[2].tolist()
+    assert sorted(w.decode() for w in asked) == sorted(w for w in words if not w.isascii())
+    for x, p in zip(words, h):
+        assert [p == q for q in h] == [normal(x.encode()) == normal(y.encode()) for y in words]
+
+
 def wrapped(text, n):
     w = text.split(" ")
     return "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
