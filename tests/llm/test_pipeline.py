@@ -139,3 +139,26 @@ def test_a_stage_drops_the_steps_before_it_but_not_what_its_docs_read(spark):
     with _shared.stage(spark.range(1), last=True):
         assert kept.count() == 2
     assert spark.conf.get(_shared.CLEANED, None) is None
+
+
+def test_a_stage_returns_native_memory_that_the_driver_freed(spark):
+    """Before, the driver's JVM kept what it had freed, and grew from stage to stage."""
+    jvm, size = spark.sparkContext._jvm, 64 << 10
+    with open(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup") as f:
+
+        def resident():
+            f.seek(0)
+            return next(int(x.split()[1]) for x in f.read().splitlines() if x.startswith("Pss_Anon:")) << 10
+
+        memory = jvm.org.apache.spark.unsafe.Platform
+        held = [memory.allocateMemory(size) for _ in range(3000)]
+        for at in held:
+            memory.setMemory(at, 1, size)
+        # the last block stays, or the allocator may give back the end by itself
+        for at in held[:-1]:
+            memory.freeMemory(at)
+        before = resident()
+        with _shared.stage(spark.range(1), last=True):
+            after = resident()
+        memory.freeMemory(held[-1])
+    assert before - after > 1500 * size
