@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,16 +26,20 @@ BANDS, ROWS = 6, 3
 SIMILAR = 0.8
 
 _rng = np.random.default_rng(20)
-_MULTIPLIER = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-_OFFSET = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_MULTIPLIER = _rng.integers(1, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_OFFSET = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: What is neither a letter nor a digit.
+_OTHER = re.compile(r"[\W_]+")
 #: ASCII letters and digits in lower case; nothing else.
 _NORMAL = np.array([ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else 0 for c in range(256)], np.uint8)
 _LETTER_BASE = 0x9FB21C651E98DF25
-_kept_powers = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+_kept_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Bytes of texts that are taken at once (a longer text by itself), shingles that are hashed at once.
+_AT_ONCE, _SHINGLES_AT_ONCE = 1 << 16, 1 << 16
 _REMEMBERED = 100_000
 _hashes: dict[bytes, int] = {}
 
@@ -41,32 +47,39 @@ _hashes: dict[bytes, int] = {}
 def normal(word: bytes) -> str:
     """A word as it is compared: lower case, letters and digits only."""
     form = word.decode("utf-8", "replace").lower()
-    return form if form.isalnum() else "".join(c for c in form if c.isalnum())
+    return form if form.isalnum() else _OTHER.sub("", form)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of _LETTER_BASE, and of its inverse."""
-    global _kept_powers
-    if len(_kept_powers[0]) < n:
-        bases = (_LETTER_BASE, pow(_LETTER_BASE, -1, 2**64))
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number, modulo 2^64, and of its inverse."""
+    kept = _kept_powers.get(base)
+    if kept is None or len(kept[0]) < n:
         size = max(n, 1 << 16)
-        new = tuple(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)))) for x in bases)
-        if size > 1 << 20:
-            return new
-        _kept_powers = new
-    return _kept_powers
+        kept = tuple(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)))) for x in (base, pow(base, -1, 2**64)))
+        if size <= 1 << 20:
+            _kept_powers[base] = kept
+    return kept
 
 
-def _letter_hashes(letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A rolling polynomial, modulo 2^64, of the bytes of each word in normal form."""
-    up, down = _powers(len(letters) + 1)
-    total = np.zeros(len(letters) + 1, np.uint64)
-    np.cumsum(letters * up[: len(letters)], out=total[1:])
-    value = (total[end] - total[start]) * down[start]
+def _totals(values: np.ndarray, base: int) -> np.ndarray:
+    """Sums of the values before each place, each times a power of the base."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _powers(base, len(values) + 1)[0][: len(values)], out=total[1:])
+    return total
+
+
+def _polynomial(total: np.ndarray, base: int, start, end) -> np.ndarray:
+    """A rolling polynomial, modulo 2^64, of the values from each start to its end."""
+    value = (total[end] - total[start]) * _powers(base, len(total))[1][start]
     value = (value ^ (value >> np.uint64(32))) * _MIX
     return value ^ (value >> np.uint64(29))
 
 
+def _letter_hashes(letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each word in normal form."""
+    return _polynomial(_totals(letters, _LETTER_BASE), _LETTER_BASE, start, end)
+
+
 def _word_hashes(data: bytes, raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """A hash of the normal form of each word; ASCII words are taken all at once, others are remembered."""
     low = _NORMAL[raw]
@@ -100,107 +113,137 @@ def _rolled(h: np.ndarray) -> np.ndarray:
     return (out ^ (out >> np.uint64(31))) * _MIX
 
 
-def _contents(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A polynomial hash of the words of each unit."""
-    size = end - start
-    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    power = np.multiply.accumulate(np.full(int(size.max()) + 1, _MIX, np.uint64))
-    value = np.add.reduceat(h[np.repeat(start, size) + place] * power[place], np.cumsum(size) - size)
-    return ((value ^ (value >> np.uint64(31))) * _MIX).view(np.int64)
-
-
 def _signatures(rolled: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """One key per band for each unit (all have SHINGLE words at least)."""
     out = np.zeros((len(start), BANDS), np.int64)
     size = end - start - SHINGLE + 1
-    # about a million shingles at a time
-    step = np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()), 1 << 20), side="right")
+    step = np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()), _SHINGLES_AT_ONCE), side="right")
     step = np.unique(np.append(step, len(start)))
     low = 0
     for high in step.tolist():
         if high == low:
             continue
         part = size[low:high]
-        place = np.arange(int(part.sum())) - np.repeat(np.cumsum(part) - part, part)
-        s = rolled[np.repeat(start[low:high], part) + place]
         cut = np.cumsum(part) - part
+        place = np.arange(int(part.sum())) + np.repeat(start[low:high] - cut, part)
+        # 32 bits are enough for a minimum, and are multiplied several at a time
+        s = (rolled[place] >> np.uint64(32)).astype(np.uint32)
         key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (high - low, 1))
+        value = np.empty_like(s)
         for r in range(BANDS * ROWS):
-            least = np.minimum.reduceat(s * _MULTIPLIER[r] + _OFFSET[r], cut)
+            np.multiply(s, _MULTIPLIER[r], out=value)
+            np.add(value, _OFFSET[r], out=value)
+            least = np.minimum.reduceat(value, cut)
             band = key[:, r // ROWS]
             key[:, r // ROWS] = ((band ^ (band >> np.uint64(32))) * _MIX) ^ least
-        out[low:high] = key.view(np.int64)
+        out[low:high] = ((key ^ (key >> np.uint64(32))) * _MIX).view(np.int64)
         low = high
     return out
 
 
-def _runs(h: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of ``size`` words, as integers modulo 2^64 of a rolling polynomial."""
-    n = len(h) - size + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    # the base is odd, so its powers have inverses
-    one = np.ones(1, np.uint64)
-    up = np.multiply.accumulate(np.concatenate((one, np.full(len(h) - 1, _BASE, np.uint64))))
-    down = np.multiply.accumulate(np.concatenate((one, np.full(n - 1, pow(_BASE, -1, 2**64), np.uint64))))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)))
-    value = (total[size:] - total[:n]) * down
-    value = (value ^ (value >> np.uint64(32))) * _MIX
-    return (value ^ (value >> np.uint64(29))) * _MIX
+def _runs(total: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words, given the totals of their hashes."""
+    n = max(0, len(total) - size)
+    return _polynomial(total, _BASE, slice(0, n), slice(size, size + n)) * _MIX
 
 
-def _marks(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the marks of a row of word hashes, at least one in each LEAST_RUN words."""
-    if len(h) < LEAST_RUN:
+def _split(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last byte and hash of each word, and the first word of each line that has words."""
+    raw = np.frombuffer(data, np.uint8)
+    blank = np.ones(len(raw) + 2, bool)
+    np.take(_BLANK, raw, out=blank[1:-1])
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    first, last = edge[::2], edge[1::2]
+    line = np.unique(np.concatenate(([0], np.searchsorted(first, np.flatnonzero(raw == 10)))))
+    return first, last, _word_hashes(data, raw, first, last), line[line < len(first)]
+
+
+class Words:
+    """The words of some texts, which are taken at once as most are short.
+
+    ``first`` and ``last`` are the bytes in ``data``, ``h`` the hashes, ``lines``
+    the first words of the lines; the words of the text n are those from
+    ``begin[n]`` to ``begin[n + 1]``.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        # a line end between them, so that no line is of two texts
+        self.data = b"\n".join(texts)
+        size = np.array([len(t) + 1 for t in texts], np.int64)
+        self.base = np.cumsum(size) - size
+        self.first, self.last, self.h, self.lines = _split(self.data)
+        self.begin = np.append(np.searchsorted(self.first, self.base), len(self.first))
+        self.total = _totals(self.h, _BASE)
+        self._place = None
+
+    def text_of(self, words: np.ndarray) -> np.ndarray:
+        """The text of each of some words."""
+        return np.searchsorted(self.begin, words, side="right") - 1
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each word the first word of its text, and of the next text."""
+        size = np.diff(self.begin)
+        return np.repeat(self.begin[:-1], size), np.repeat(self.begin[1:], size)
+
+    def characters(self, at: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """From places in ``data`` to places in characters of their texts, also where characters take several bytes."""
+        if self.data.isascii():
+            return at - self.base[text]
+        if self._place is None:
+            self._place = np.zeros(len(self.data) + 1, np.int64)
+            np.cumsum((np.frombuffer(self.data, np.uint8) & 0xC0) != 0x80, out=self._place[1:])
+        return self._place[at] - self._place[self.base[text]]
+
+
+def _marks(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the marks of the word sequences of some texts, at least one in each LEAST_RUN words."""
+    n = len(words.h) - LEAST_RUN + 1
+    if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    value = _runs(h, MARK)
+    value = _runs(words.total, MARK)
     near = LEAST_RUN - MARK + 1
+    start, stop = words.bounds()
+    place = np.arange(len(value)) - start[: len(value)]
     # equal hashes (words that repeat) are told apart by place, so that few of them become marks
-    order = (value & ~np.uint64(31)) | (np.arange(len(value)) % near).astype(np.uint64)
-    least = np.lib.stride_tricks.sliding_window_view(order, near).argmin(1)
-    at = np.unique(least + np.arange(len(least)))
+    least = (value & ~np.uint64(31)) | (place % near).astype(np.uint64)
+    width = 1
+    while width < near:
+        step = min(width, near - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    # the place of the least is known by those bits
+    window = np.flatnonzero(np.arange(n) + LEAST_RUN <= stop[:n])
+    at = window + ((least[window] & np.uint64(31)).astype(np.int64) - place[window]) % near
+    at = at[np.diff(at, prepend=-1) != 0]
     # a run that overlaps itself may have one mark for both places: the nearest equal hash before it is a mark too
     before = at[:, None] - np.arange(1, near)
-    equal = (value[np.maximum(before, 0)] == value[at][:, None]) & (before >= 0)
+    equal = (value[np.maximum(before, 0)] == value[at][:, None]) & (before >= start[at][:, None])
     own = np.flatnonzero(equal.any(1))
     if len(own):
         at = np.union1d(at, before[own, equal[own].argmax(1)])
     return at, value[at].view(np.int64)
 
 
-def _split(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last byte, hash and line of each word."""
-    raw = np.frombuffer(data, np.uint8)
-    blank = _BLANK[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], blank, [True])).astype(np.int8)))
-    first, last = edge[::2], edge[1::2]
-    return first, last, _word_hashes(data, raw, first, last), np.searchsorted(np.flatnonzero(raw == 10), first)
-
-
 class Units:
-    """The lines of a text that are long enough to compare, and the marks of its word sequence.
+    """The lines of some texts that are long enough to compare, and the marks of their word sequences.
 
-    ``line_*`` are arrays with an entry for each line: its number, first and
+    ``line_*`` are arrays with an entry for each line: its text, first and
     last byte, content hash; ``bands`` has the keys of lines.  ``marks`` are
-    places (in words) and hashes; lines end nothing there.  ``extent`` is the
-    first and last byte of all words.
+    places (among all words) and hashes; lines end nothing there.
     """
 
-    def __init__(self, data: bytes):
-        first, last, h, line = _split(data)
-        self.marks = _marks(h)
-        self.extent = (first[:1], last[-1:])
-        begin = np.flatnonzero(np.diff(line, prepend=-1))
-        stop = np.append(begin[1:], len(first))[: len(begin)]
-        keep = stop - begin >= LEAST_WORDS
-        a, b = begin[keep], stop[keep]
+    def __init__(self, *texts: bytes):
+        self.words = words = Words(list(texts))
+        self.marks = _marks(words)
+        stop = np.append(words.lines[1:], len(words.first))[: len(words.lines)]
+        keep = stop - words.lines >= LEAST_WORDS
+        a, b = words.lines[keep], stop[keep]
         self.bands = np.zeros((0, BANDS), np.int64)
-        self.line_no = self.line_start = self.line_end = self.line_content = np.zeros(0, np.int64)
+        self.line_text = self.line_start = self.line_end = self.line_content = np.zeros(0, np.int64)
         if not len(a):
             return
-        self.line_no, self.line_start, self.line_end = line[a], first[a], last[b - 1]
-        self.line_content = _contents(h, a, b)
-        self.bands = _signatures(_rolled(h), a, b)
+        self.line_text, self.line_start, self.line_end = words.text_of(a), words.first[a], words.last[b - 1]
+        self.line_content = _polynomial(words.total, _BASE, a, b).view(np.int64)
+        self.bands = _signatures(_rolled(words.h), a, b)
 
 
 def jaccard(a: str, b: str) -> float:
@@ -214,58 +257,80 @@ def jaccard(a: str, b: str) -> float:
     return both / (len(p) + len(q) - both)
 
 
-_UNITS = "doc long, key long, line int, start int, end int, content long, bands array<long>, words string, at array<int>"
+_UNITS = "doc long, key long, start int, end int, content long, bands array<long>, words string, at array<int>"
+
+
+def _groups(batch: pa.RecordBatch, column: int):
+    """(rows, their texts) of neighbours that have about _AT_ONCE bytes together."""
+    texts = batch.column(column).cast(pa.binary()).to_pylist()
+    low = size = 0
+    for n, text in enumerate(texts):
+        size += len(text)
+        if size >= _AT_ONCE or n + 1 == len(texts):
+            yield batch.slice(low, n + 1 - low), texts[low : n + 1]
+            low, size = n + 1, 0
 
 
-def _characters(text: str, data: bytes):
-    """From places in bytes to places in characters, also where characters take several bytes."""
-    if text.isascii():
-        return lambda x: x
-    place = np.concatenate(([0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)))
-    return lambda x: place[x]
+def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """An array of lists that end at the given places."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(values, kind))
 
 
 def _cut_up(batches):
     kind = pa.schema(
-        [("doc", pa.int64()), ("key", pa.int64()), ("line", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]
+        [("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]
         + [("content", pa.int64()), ("bands", pa.list_(pa.int64())), ("words", pa.string()), ("at", pa.list_(pa.int32()))]
     )
 
-    def batch_of(held):
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kind, strict=True)], schema=kind)
+    def rows_of(group, text, columns):
+        text = pa.array(text)
+        made = [group.column(0).take(text), group.column(1).take(text), *columns]
+        return pa.RecordBatch.from_arrays([pa.nulls(len(text), f.type) if c is None else pa.array(c, f.type) if isinstance(c, np.ndarray) else c for c, f in zip(made, kind, strict=True)], schema=kind)
 
     for batch in batches:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         size = 0
-        for doc, key, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            chars = _characters(text, data)
-            u = Units(data)
-            rows = zip(u.line_no.tolist(), chars(u.line_start).tolist(), chars(u.line_end).tolist(), u.line_content.tolist(), u.bands.tolist(), strict=True)
-            for n, a, b, content, bands in rows:
-                held.append((doc, key, n, a, b, content, bands, text[a:b], None))
-                size += b - a
+        for group, texts in _groups(batch, 2):
+            u = Units(*texts)
+            words = u.words
+            if n := len(u.line_text):
+                a, b = u.line_start, u.line_end
+                lines = pa.array([words.data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary()).cast(pa.string())
+                bands = _lists(u.bands.ravel(), np.arange(BANDS, BANDS * n + 1, BANDS), pa.int64())
+                held.append(rows_of(group, u.line_text, [words.characters(a, u.line_text), words.characters(b, u.line_text), u.line_content, bands, lines, None]))
             at, hashes = u.marks
             if len(at):
                 # one row with all marks of a text
-                a, b = chars(u.extent[0]).item(), chars(u.extent[1]).item()
-                held.append((doc, key, None, a, b, None, hashes, None, at.astype(np.int32)))
-                size += 12 * len(at)
-            if size > 8 << 20 or len(held) > 50_000:
-                yield batch_of(held)
+                of = words.text_of(at)
+                cut = np.flatnonzero(np.diff(of, prepend=-1))
+                t, ends = of[cut], np.append(cut[1:], len(at))
+                a, b = words.characters(words.first[words.begin[t]], t), words.characters(words.last[words.begin[t + 1] - 1], t)
+                held.append(rows_of(group, t, [a, b, None, _lists(hashes, ends, pa.int64()), None, _lists(at - words.begin[of], ends, pa.int32())]))
+            size += len(words.data) + 12 * len(at)
+            if size > 8 << 20:
+                yield from pa.Table.from_batches(held, kind).combine_chunks().to_batches()
                 held, size = [], 0
         if held:
-            yield batch_of(held)
+            yield from pa.Table.from_batches(held, kind).combine_chunks().to_batches()
 
 
 @F.arrow_udf(ArrayType(LongType()))
 def _shingles(lines: pa.Array) -> pa.Array:
     """The set of 64-bit hashes of the five-word shingles of each line."""
     out = []
-    for line in lines:
-        h = _split(line.as_py().encode("utf-8", "surrogatepass"))[2]
-        out.append(np.unique(_rolled(h)).view(np.int64))
-    return pa.array(out, pa.list_(pa.int64()))
+    for group, texts in _groups(pa.RecordBatch.from_arrays([lines], names=["line"]), 0):
+        words = Words(texts)
+        rolled = _rolled(words.h)
+        size = np.maximum(np.diff(words.begin) - SHINGLE + 1, 0)
+        ends = np.cumsum(size)
+        flat = rolled[np.arange(int(size.sum())) + np.repeat(words.begin[:-1] - (ends - size), size)]
+        new = np.ones(len(flat), bool)
+        for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True):
+            flat[a:b].sort()
+            new[a + 1 : b] = flat[a + 1 : b] != flat[a : b - 1] if b > a else True
+        kept = np.cumsum(new)
+        out.append(_lists(flat[new].view(np.int64), np.append(0, kept)[ends], pa.int64()))
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int64()))
 
 
 def _alike(a, b):
@@ -309,22 +374,24 @@ def _long_runs(batches):
     names = ["hash", "doc", "key", "at", "start", "last", "end"]
     kinds = [pa.int64()] * 3 + [pa.int32()] * 4
     for batch in batches:
-        for doc, key, text, hot in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            data = text.encode("utf-8", "surrogatepass")
-            first, last, h, _ = _split(data)
-            value = _runs(h, LEAST_RUN).view(np.int64)
-            change = np.zeros(len(h) + 1, np.int64)
-            hot = np.array(hot, np.int64)
-            np.add.at(change, np.maximum(hot - (LEAST_RUN - MARK), 0), 1)
-            np.add.at(change, hot + 1, -1)
-            at = np.flatnonzero(np.cumsum(change)[: len(value)] > 0)
-            chars = _characters(text, data)
-            end = at + LEAST_RUN - 1
-            for low in range(0, len(at), 1 << 16):
-                part = slice(low, low + (1 << 16))
-                n = len(at[part])
-                columns = [value[at[part]], [doc] * n, np.full(n, key), at[part], chars(first[at[part]]), chars(first[end[part]]), chars(last[end[part]])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        for group, texts in _groups(batch, 2):
+            words = Words(texts)
+            value = _runs(words.total, LEAST_RUN).view(np.int64)
+            hot = group.column(3)
+            of = np.repeat(np.arange(len(texts)), hot.value_lengths().to_numpy())
+            place = hot.flatten().to_numpy() + words.begin[of]
+            # neither end of a run is in another text
+            low, high = np.maximum(place - (LEAST_RUN - MARK), words.begin[of]), np.minimum(place, words.begin[of + 1] - LEAST_RUN)
+            change = np.zeros(len(words.h) + 2, np.int64)
+            np.add.at(change, low, 1)
+            np.add.at(change, high + 1, -1)
+            found = np.flatnonzero(np.cumsum(change)[: len(value)] > 0)
+            for at in np.split(found, range(1 << 16, len(found), 1 << 16)):
+                t, end = words.text_of(at), at + LEAST_RUN - 1
+                places = [at - words.begin[t]] + [words.characters(x, t) for x in (words.first[at], words.first[end], words.last[end])]
+                row = pa.array(t)
+                columns = [value[at], group.column(0).take(row), group.column(1).take(row), *places]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) if isinstance(c, np.ndarray) else c for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
 def passages(rows: DataFrame, texts: DataFrame) -> DataFrame:

@@ -240,6 +240,51 @@ def test_ascii_words_are_hashed_at_once(monkeypatch):
         assert [p == q for q in h] == [normal(x.encode()) == normal(y.encode()) for y in words]
 
 
+def test_short_texts_are_cut_up_together(monkeypatch):
+    """Before, each text, each line of a candidate and each text with repeats was split and hashed by itself."""
+    import pyarrow as pa
+
+    p, split, asked = prose(70, 240), paragraphs._split, []
+    monkeypatch.setattr(paragraphs, "_split", lambda data: asked.append(data) or split(data))
+    texts = ["", "\n \n", "lo " * 200, "ra ru ri " * 40, f"é {p}\n{p}\n\u4e2d\u6587", "-- " * 60, prose(51, 241), prose(50, 242) + "\n"]
+    texts += [f"{prose(n, 300 + n)}{chr(10) * (n % 3)} {p if n % 7 == 0 else 'ü'}" for n in range(150)] + [prose(20_000, 243), "", p]
+    ids = [None if n % 9 == 4 else n // 2 for n in range(len(texts))]
+    names, kinds = ["doc", "key", "text", "hot"], [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32())]
+
+    def rows_of(f, picked, hot):
+        columns = [[ids[n] for n in picked], picked, [texts[n] for n in picked], [hot.get(n) for n in picked]]
+        return [r for b in f(iter([pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)])) for r in b.to_pylist()]
+
+    def both(f, picked, hot):
+        asked.clear()
+        together, calls = rows_of(f, picked, hot), len(asked)
+        alone = [r for n in picked for r in rows_of(f, [n], hot)]
+        assert sorted(map(repr, together)) == sorted(map(repr, alone)) and calls < len(picked) / 5
+        return together
+
+    units = both(paragraphs._cut_up, list(range(len(texts))), {})
+    lines, marks = [r for r in units if r["at"] is None], {r["key"]: r["at"] for r in units if r["at"] is not None}
+    for r in lines:
+        assert texts[r["key"]][r["start"] : r["end"]] == r["words"] and ids[r["key"]] == r["doc"]
+    normal = [[paragraphs.normal(w) for w in t.encode().split()] for t in texts]
+    assert set(marks) == {n for n, w in enumerate(normal) if len(w) >= 51}
+    for n, at in marks.items():
+        assert max(np.diff([-1, *at, len(normal[n]) - 25])) <= 26
+    runs = both(paragraphs._long_runs, list(marks), {n: at[::2] for n, at in marks.items()})
+    words_of = {}
+    for r in runs:
+        words = normal[r["key"]][r["at"] : r["at"] + 51]
+        assert len(words) == 51 and words_of.setdefault(r["hash"], words) == words
+        assert [paragraphs.normal(w) for w in texts[r["key"]][r["start"] : r["end"]].encode().split()] == words
+    assert {(r["key"], r["at"]) for r in runs} == {(n, i) for n, at in marks.items() for m in at[::2] for i in range(max(m - 25, 0), min(m, len(normal[n]) - 51) + 1)}
+    asked.clear()
+    own = [r["words"] for r in lines] + ["few words"]
+    sets = paragraphs._shingles.func(pa.array(own)).to_pylist()
+    assert len(asked) < len(own) / 5
+    for line, got in zip(own, sets):
+        assert sorted(got) == np.unique(paragraphs._rolled(split(line.encode())[2]).view(np.int64)).tolist()
+
+
 def wrapped(text, n):
     w = text.split(" ")
     return "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
