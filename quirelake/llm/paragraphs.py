@@ -394,6 +394,18 @@ def _long_runs(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) if isinstance(c, np.ndarray) else c for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
+def _paired(high, low):
+    """Two numbers that are not negative, of 31 bits, in one; its order is that of the first."""
+    high, low = (F.col(c) if isinstance(c, str) else c for c in (high, low))
+    return F.shiftleft(high.cast("long"), 32).bitwiseOR(low.cast("long"))
+
+
+def _both(column: str):
+    """The two numbers of ``_paired``."""
+    c = F.col(column)
+    return F.shiftright(c, 32).cast("int"), c.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+
+
 def passages(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """(doc, key, spans): each word of a run of LEAST_RUN words that stands at an earlier (id, position) too.
 
@@ -412,13 +424,16 @@ def passages(rows: DataFrame, texts: DataFrame) -> DataFrame:
     hot = written(twice.groupBy("doc", "key").agg(F.collect_set("at").alias("hot")), "hot")
     chosen = rows.join(hot.withColumnsRenamed({"doc": "d", "key": "k"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
     runs = chosen.select("doc", "key", "text", "hot").mapInArrow(_long_runs, _RUNS)
-    order = W.partitionBy("hash").orderBy(F.col("doc").isNull(), "doc", "key", "at")
-    first = F.first(F.struct("doc", "key", "at")).over(order).alias("first")
-    seen = runs.select("doc", "key", "at", "start", "last", "end", first)
+    # two numbers in one: the shuffle of these rows takes the most disk
+    runs = runs.select("hash", "doc", "key", _paired("at", "start").alias("place"), _paired(F.col("last") - F.col("start"), F.col("end") - F.col("start")).alias("size"))
+    order = W.partitionBy("hash").orderBy(F.col("doc").isNull(), "doc", "key", "place")
+    first = F.first(F.struct("doc", "key", "place")).over(order).alias("first")
+    seen = runs.select("doc", "key", "place", "size", first)
     within = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("key") == F.col("first.key"))
-    overlaps = within & (F.col("at") < F.col("first.at") + LEAST_RUN)
-    later = seen.where(~(within & (F.col("at") == F.col("first.at")))).select(
-        "doc", "key", F.struct(F.when(overlaps, F.col("last")).otherwise(F.col("start")).alias("start"), "end", F.col("first.doc").alias("kept_doc")).alias("span")
+    (at, start), (first_at, _), (last, end) = _both("place"), _both("first.place"), _both("size")
+    overlaps = within & (at < first_at + LEAST_RUN)
+    later = seen.where(~(within & (F.col("place") == F.col("first.place")))).select(
+        "doc", "key", F.struct((start + F.when(overlaps, last).otherwise(0)).alias("start"), (start + end).alias("end"), F.col("first.doc").alias("kept_doc")).alias("span")
     )
     whole = texts.where("copy").select("doc", "key", F.struct("start", "end", F.col("first_doc").alias("kept_doc")).alias("span"))
     return written(later.unionByName(whole).groupBy("doc", "key").agg(_merged(F.collect_list("span")).alias("spans")), "passages")

@@ -285,6 +285,15 @@ def test_short_texts_are_cut_up_together(monkeypatch):
         assert sorted(got) == np.unique(paragraphs._rolled(split(line.encode())[2]).view(np.int64)).tolist()
 
 
+def test_two_numbers_in_one(spark):
+    """Runs go through their shuffle so; before, each number was a column of its own."""
+    top = 2**31 - 1
+    rows = [(a, b) for a in (0, 1, 70_000, top) for b in (0, 3, 2**30, top)]
+    df = spark.createDataFrame(rows, "a int, b int").select("a", "b", paragraphs._paired("a", "b").alias("p"))
+    got = df.orderBy("p").select("a", "b", *paragraphs._both("p")).collect()
+    assert [tuple(r) for r in got] == [(a, b, a, b) for a, b in rows]
+
+
 def wrapped(text, n):
     w = text.split(" ")
     return "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
