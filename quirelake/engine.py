@@ -68,8 +68,7 @@ def run(spark: SparkSession, config: EngineConfig) -> DataFrame:
         keyed = written.withColumn("doc_id", F.xxhash64("meta.source_path"))
         heads = tei.read_tei(spark, config.path)
         named = heads.select(F.xxhash64("path").alias("doc_id"), F.concat("stem", F.lit(".tei")).alias("stem"), "xml")
-        nodes = tei.nodes(tei.parse_tei(named))
-        found = extract.heads(nodes).join(named.select("doc_id", "stem"), "doc_id").select("stem", F.col("pre").alias("ord"), "head")
+        found = extract.heads(named).join(named.select("doc_id", "stem"), "doc_id").select("stem", F.col("pre").alias("ord"), "head")
         measured = metrics.document_metrics(keyed, found)
         often = metrics.sample_frequencies(measured)
         records.write_corpus_reports(measured, corpus.with_gates(corpus.summary(measured)), often, headings.suggestions(often), f"{config.out}/reports")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from functools import lru_cache, reduce
 from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame
@@ -60,6 +61,23 @@ def by_rules(clean: Column) -> Column:
     return out.otherwise(F.replace(clean, F.lit(" "), F.lit("_")))
 
 
+@lru_cache(1)
+def _exact() -> dict[str, str]:
+    return dict(dictionary())
+
+
+@lru_cache(4096)
+def key_of(head: str) -> str:
+    """The canonical key of one heading, as ``classify`` gives it."""
+    x = re.sub(r"^(?:[|>•\-–—]|\s)+", "", head.strip().lower())
+    x = " ".join(re.sub(r"^(?:[ivxlcdm]+\.|[0-9]+(?:\.[0-9]+)*\.?)(?:[\-:]|\s)*", "", x).split())
+    if x in _exact():
+        return _exact()[x]
+    if "results" in x and "discussion" in x:
+        return "results_and_discussion"
+    return next((key for key, fragments in FRAGMENTS if re.search(fragments, x)), x.replace(" ", "_"))
+
+
 def classify(df: DataFrame, head: str, into: str = "key") -> DataFrame:
     """Adds the canonical key of ``head``.
 
@@ -94,4 +112,4 @@ def exact_sql() -> str:
     return ", ".join("('{}', '{}')".format(h.replace("'", "''"), k) for h, k in dictionary())
 
 
-__all__ = ["BOILERPLATE", "CANONICAL", "by_rules", "classify", "dictionary", "exact_sql", "is_boilerplate", "sanitized", "suggestion", "suggestions"]
+__all__ = ["BOILERPLATE", "CANONICAL", "by_rules", "classify", "dictionary", "exact_sql", "is_boilerplate", "key_of", "sanitized", "suggestion", "suggestions"]

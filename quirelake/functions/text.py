@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,3 +104,19 @@ def media_label(kind: str, raw: Column, head: Column, caption: Column) -> Column
         F.when(raw.rlike("(?U)^\\d{1,3}$"), F.concat(F.lit(f"{name} "), raw)),
         F.when(stripped(head) != "", F.lit(name)),
     )
+
+
+_LABELLED = {kind: re.compile(r"\b" + name + r"\s*([A-Za-z0-9]+)", re.I) for kind, name in (("figure", "fig(?:ure)?"), ("table", "tab(?:le)?"))}
+
+
+def label_of(kind: str, raw: str | None, head: str, caption: str) -> str | None:
+    """``media_label`` of one item."""
+    name = kind.capitalize()
+    for x in (head, caption):
+        found = _LABELLED[kind].search(x.strip())
+        if found:
+            return f"{name} {found[1]}"
+    raw = (raw or "").strip()
+    if re.fullmatch(r"\d{1,3}", raw):
+        return f"{name} {raw}"
+    return name if head.strip() else None

@@ -1,121 +1,63 @@
-"""What the node table says of a paper: metadata, sections, media and references.
+"""What structured documents say: metadata, sections, media and references.
 
-Axes are conditions on (doc_id, pre, end, parent): a descendant has
-``pre`` in (a.pre, a.end], a child has ``parent = a.pre``.  Every join carries
-``doc_id``, so nothing but the nodes of one document ever meets.
+Each function takes documents (doc_id, xml), which are parsed on the way, or
+their node table, which is brought together by document first; ``trees`` has
+what is done with one document.  Nothing else is shuffled, and no document
+meets another.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.headings import BOILERPLATE, CANONICAL, classify
-from ..functions.text import BLANK, collapsed, media_label, stripped
+from ..functions.text import BLANK
+from . import trees
 
 
-def inside(nodes: DataFrame, path: str) -> DataFrame:
-    """Nodes below a chain of ancestors, outermost first: ``text/body//div`` is ``text>body>>div``.
-
-    ``>`` is a child step and ``>>`` a descendant step; the first name may stand anywhere.
-    """
-    steps = path.replace(">>", " >> ").replace(">", " > ").replace(" >  > ", " >> ").split()
-    current = nodes.where(F.col("tag") == steps[0])
-    for way, tag in zip(steps[1::2], steps[2::2], strict=True):
-        up = current.select("doc_id", F.col("pre").alias("_pre"), F.col("end").alias("_end"))
-        below = nodes.where(F.col("tag") == tag)
-        meets = below["doc_id"] == up["doc_id"]
-        if way == ">":
-            meets = meets & (below["parent"] == up["_pre"])
-        else:
-            meets = meets & (below["pre"] > up["_pre"]) & (below["pre"] <= up["_end"])
-        current = below.join(up, meets, "left_semi")
-    return current
-
-
-def with_text(elements: DataFrame, nodes: DataFrame, into: str = "content") -> DataFrame:
-    """Adds the text of each element: its chunks with a blank between any two, white space collapsed."""
-    chunks = nodes.where("tag = '#text'").select("doc_id", F.col("pre").alias("_at"), F.col("text").alias("_chunk"))
-    e = elements.select("doc_id", F.col("pre").alias("_pre"), F.col("end").alias("_end"))
-    found = e.join(chunks, (e["doc_id"] == chunks["doc_id"]) & (F.col("_at") > F.col("_pre")) & (F.col("_at") <= F.col("_end"))).select(
-        e["doc_id"].alias("_doc"), "_pre", F.struct("_at", "_chunk").alias("c")
-    )
-    joined = found.groupBy("_doc", "_pre").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["_chunk"]), " ").alias("_joined")
-    )
-    out = elements.join(joined, (elements["doc_id"] == joined["_doc"]) & (elements["pre"] == joined["_pre"]), "left")
-    return out.withColumn(into, collapsed(F.col("_joined"))).drop("_doc", "_pre", "_joined")
+class _Pages:
+    """``trees.pages`` of one path."""
 
+    def __init__(self, path: str | None):
+        self.path = path
 
-def first_text(nodes: DataFrame, path: str, into: str, where: Column | None = None) -> DataFrame:
-    """(doc_id, into): text of the first element on a path, null if blank."""
-    found = inside(nodes, path)
-    if where is not None:
-        found = found.where(where)
-    first = found.groupBy("doc_id").agg(F.min_by(F.struct("pre", "end"), "pre").alias("e")).select("doc_id", "e.pre", "e.end")
-    return with_text(first, nodes).select("doc_id", F.nullif("content", F.lit("")).alias(into))
+    def __call__(self, tree):
+        return trees.pages(tree, self.path)
 
 
-def titles(nodes: DataFrame) -> DataFrame:
-    return first_text(nodes, "teiHeader>>titleStmt>title", "title")
+def titles(source: DataFrame) -> DataFrame:
+    return trees.each(source, trees.title, "title string")
 
 
-def dois(nodes: DataFrame) -> DataFrame:
-    return first_text(nodes, "teiHeader>>sourceDesc>>biblStruct>>idno", "doi", F.col("attrs")["type"] == "DOI")
+def dois(source: DataFrame) -> DataFrame:
+    return trees.each(source, trees.doi, "doi string")
 
 
-def journals(nodes: DataFrame) -> DataFrame:
-    return first_text(nodes, "teiHeader>>sourceDesc>>biblStruct>monogr>title", "journal")
+def journals(source: DataFrame) -> DataFrame:
+    return trees.each(source, trees.journal, "journal string")
 
 
-def _children(parents: DataFrame, nodes: DataFrame, tag: str, name: str, keep: str = "first") -> DataFrame:
-    """(doc_id, parent, name): text of the first child of that tag of each parent."""
-    kids = nodes.where(F.col("tag") == tag).join(parents.select("doc_id", F.col("pre").alias("parent")), ["doc_id", "parent"], "left_semi")
-    first = kids.groupBy("doc_id", "parent").agg(F.min_by(F.struct("pre", "end"), "pre").alias("e")).select("doc_id", "parent", "e.pre", "e.end")
-    return with_text(first, nodes, name).select("doc_id", "parent", name)
+def metadata(source: DataFrame) -> DataFrame:
+    """(doc_id, title, doi, journal), a row for each document."""
+    return trees.each(source, trees.metadata, "title string, doi string, journal string")
 
 
-def authors(nodes: DataFrame) -> DataFrame:
+def authors(source: DataFrame) -> DataFrame:
     """(doc_id, n, name, affiliation) in document order; authors with neither are left out.
 
     An affiliation is its organisation names and address parts joined by commas
     (its whole text without any); equal parts and affiliations, whatever their
     case, count once.
     """
-    people = inside(nodes, "teiHeader>>sourceDesc>>biblStruct>analytic>author")
-    names = _children(people, nodes, "persName", "name")
-    p = people.select("doc_id", F.col("pre").alias("a_pre"), F.col("end").alias("a_end"))
-    places = nodes.where("tag = 'affiliation'")
-    places = places.join(p, "doc_id").where("pre > a_pre and pre <= a_end").select("doc_id", "a_pre", "pre", "end")
-    owner = places.select("doc_id", "a_pre", F.col("pre").alias("f_pre"), F.col("end").alias("f_end"))
-    leaves = nodes.where("tag not in ('#text', 'label')").select("doc_id", "pre", "end", "tag")
-    address = leaves.where("tag = 'address'").select("doc_id", F.col("pre").alias("d_pre"), F.col("end").alias("d_end"))
-    in_address = leaves.join(address, "doc_id").where("pre > d_pre and pre <= d_end").select("doc_id", "pre", "end", F.lit(1).alias("kind"))
-    parts = leaves.where("tag = 'orgName'").select("doc_id", "pre", "end", F.lit(0).alias("kind")).unionByName(in_address).distinct()
-    parts = with_text(parts.join(owner, "doc_id").where("pre > f_pre and pre <= f_end"), nodes, "part").where("part <> ''")
-    once = W.partitionBy("doc_id", "f_pre", F.lower("part")).orderBy("kind", "pre")
-    parts = parts.withColumn("k", F.row_number().over(once)).where("k = 1")
-    joined = parts.groupBy("doc_id", "f_pre").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", "pre", "part"))), lambda x: x["part"]), ", ").alias("parts")
-    )
-    whole = with_text(places, nodes, "whole").select("doc_id", "a_pre", F.col("pre").alias("f_pre"), "whole")
-    each = whole.join(joined, ["doc_id", "f_pre"], "left").withColumn("aff", F.coalesce("parts", F.nullif("whole", F.lit("")))).where("aff is not null")
-    each = each.withColumn("k", F.row_number().over(W.partitionBy("doc_id", "a_pre", F.lower("aff")).orderBy("f_pre"))).where("k = 1")
-    affs = each.groupBy("doc_id", F.col("a_pre").alias("parent")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f_pre", "aff"))), lambda x: x["aff"]), "; ").alias("affiliation")
-    )
-    out = people.select("doc_id", F.col("pre").alias("parent")).join(names, ["doc_id", "parent"], "left").join(affs, ["doc_id", "parent"], "left")
-    out = out.withColumn("name", F.nullif("name", F.lit(""))).where("name is not null or affiliation is not null")
-    return out.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("parent"))).select("doc_id", "n", "name", "affiliation")
-
-
-def heads(nodes: DataFrame) -> DataFrame:
+    return trees.each(source, trees.authors, "n int, name string, affiliation string")
+
+
+def heads(source: DataFrame) -> DataFrame:
     """(doc_id, pre, head) of all headings of body divisions."""
-    return with_text(inside(nodes, "text>body>>div>head"), nodes, "head").where("head <> ''").select("doc_id", "pre", "head")
+    return trees.each(source, trees.heads, "pre int, head string")
 
 
-def body_sections(nodes: DataFrame) -> DataFrame:
+def body_sections(source: DataFrame) -> DataFrame:
     """(doc_id, ord, head, key, text, canonical): the sections of each body.
 
     A division with a heading of its own counts with all paragraphs below it,
@@ -123,205 +65,112 @@ def body_sections(nodes: DataFrame) -> DataFrame:
     Sections of one canonical key (or, outside these, of one heading) are one,
     their texts joined by an empty line in document order.
     """
-    divs = inside(nodes, "text>body>>div")
-    named = _children(divs, nodes, "head", "head").where("head <> ''").withColumnRenamed("parent", "d_pre")
-    named = classify(named, "head").where(~F.col("key").isin(sorted(BOILERPLATE)) & ~F.col("key").startswith("fig.") & ~F.col("key").startswith("table"))
-    spans = divs.select("doc_id", F.col("pre").alias("d_pre"), F.col("end").alias("d_end"))
-    paragraphs = with_text(nodes.where("tag in ('p', 'ab')"), nodes, "part").where("part <> ''").select("doc_id", F.col("pre").alias("p_pre"), "part")
-    texts = (
-        named.join(spans, ["doc_id", "d_pre"])
-        .join(paragraphs, "doc_id")
-        .where("p_pre > d_pre and p_pre <= d_end")
-        .groupBy("doc_id", "d_pre", "head", "key")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_pre", "part"))), lambda x: x["part"]), " ").alias("text"))
-    )
-    canonical = F.col("key").isin(list(CANONICAL))
-    return (
-        texts.withColumn("canonical", canonical)
-        .withColumn("slot", F.when(canonical, F.col("key")).otherwise(F.col("head")))
-        .groupBy("doc_id", "canonical", "slot")
-        .agg(
-            F.min("d_pre").alias("ord"), F.min_by("head", "d_pre").alias("head"), F.min("key").alias("key"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("d_pre", "text"))), lambda x: x["text"]), "\n\n").alias("text"),
-        )
-        .select("doc_id", "ord", "head", "key", "text", "canonical")
-    )
+    return trees.each(source, trees.sections, "ord int, head string, key string, text string, canonical boolean")
 
 
-def keywords(nodes: DataFrame) -> DataFrame:
+def keywords(source: DataFrame) -> DataFrame:
     """(doc_id, keywords): in order, the first of those that differ in case only."""
-    terms = with_text(inside(nodes, "teiHeader>>profileDesc>>textClass>>keywords>>term"), nodes, "term").where("term <> ''")
-    first = terms.withColumn("k", F.row_number().over(W.partitionBy("doc_id", F.lower("term")).orderBy("pre"))).where("k = 1")
-    return first.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", "term"))), lambda x: x["term"]).alias("keywords"))
+    return trees.each(source, trees.keywords, "keywords array<string>")
 
 
-def abstracts(nodes: DataFrame, sections: DataFrame) -> DataFrame:
-    """(doc_id, abstract): a body section named so, else the header's; keywords are appended, with a blank at the end."""
+def abstracts(source: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """(doc_id, abstract): a body section named so, else the header's; keywords are appended, with a blank at the end.
+
+    The sections are the documents' own, or those of ``sections`` (as of
+    ``body_sections``), which are joined by ``doc_id``.
+    """
+    if sections is None:
+        return trees.each(source, trees.abstract, "abstract string")
     own = sections.where("key = 'abstract'").select("doc_id", F.col("text").alias("own"))
-    header = first_text(nodes, "teiHeader>>profileDesc>abstract", "header")
-    words = keywords(nodes)
-    out = nodes.select("doc_id").distinct().join(own, "doc_id", "left").join(header, "doc_id", "left").join(words, "doc_id", "left")
+    out = trees.each(source, trees.abstract_parts, "header string, keywords array<string>").join(own, "doc_id", "left")
     text, listed = F.coalesce("own", "header"), F.array_join("keywords", ", ")
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), f"{BLANK}+$", "")
     whole = F.when(F.col("keywords").isNull(), text).when(bare == "", F.concat(listed, F.lit(" "))).otherwise(F.concat(bare, F.lit(" "), listed, F.lit(" ")))
     return out.select("doc_id", whole.alias("abstract")).where("abstract is not null")
 
 
-def pages(nodes: DataFrame) -> DataFrame:
-    """(doc_id, pre, page): the page that each element stands on.
+def pages(source: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, pre, nth, page): the page that each element (on a path, if one is given) stands on.
 
     An as-of join on document order: the nearest page break before it, which must have a number.
     """
-    before = W.partitionBy("doc_id").orderBy("pre").rowsBetween(W.unboundedPreceding, -1)
-    seen = F.last(F.when(F.col("tag") == "pb", F.struct(F.trim(F.col("attrs")["n"]).alias("n"))), ignorenulls=True).over(before)
-    return nodes.where("tag <> '#text'").withColumn("_b", seen).select(
-        "doc_id", "pre", F.when(F.col("_b.n").rlike("^\\d+$"), F.expr("try_cast(_b.n as int)")).alias("page")
-    )
+    return trees.each(source, _Pages(path), "pre int, nth int, page int")
+
+
+def _number(x: Column) -> Column:
+    return F.regexp_replace(F.call_function("format_number", x, F.lit("0.0###############")), ",", "")
 
 
 def coordinates(coords: Column, page: Column) -> Column:
     """``page,x,y,w,h``: of five numbers or more the first five, of four with the page before; else null."""
     numbers = F.filter(F.transform(F.split(coords, f"(?:[;,]|{BLANK})+"), lambda x: x.try_cast("double")), lambda x: x.isNotNull())
-    text = lambda x: F.regexp_replace(F.call_function("format_number", x, F.lit("0.0###############")), ",", "")
-    at = lambda i: text(F.get(numbers, F.lit(i)))
-    five = F.concat_ws(",", F.get(numbers, F.lit(0)).cast("long").cast("string"), *[at(i) for i in range(1, 5)])
-    four = F.concat_ws(",", page.cast("string"), *[at(i) for i in range(4)])
-    return F.when(F.size(numbers) >= 5, five).when((F.size(numbers) == 4) & page.isNotNull(), four)
+
+    def written(n: Column) -> Column:
+        at = lambda i: _number(F.get(n, F.lit(i)))
+        five = F.concat_ws(",", F.get(n, F.lit(0)).cast("long").cast("string"), *[at(i) for i in range(1, 5)])
+        four = F.concat_ws(",", page.cast("string"), *[at(i) for i in range(4)])
+        return F.when(F.size(n) >= 5, five).when((F.size(n) == 4) & page.isNotNull(), four)
+
+    # the numbers are read once
+    return F.element_at(F.transform(F.array(numbers), written), 1)
 
 
-def zones(nodes: DataFrame) -> DataFrame:
-    """(doc_id, zone_id, coords) of facsimile zones right below a numbered surface."""
-    surface = nodes.where("tag = 'surface'").select("doc_id", F.col("pre").alias("parent"), F.trim(F.col("attrs")["n"]).alias("page"))
-    z = nodes.where("tag = 'zone'").join(surface, ["doc_id", "parent"])
-    ulx, uly, lrx, lry = (F.col("attrs")[k].try_cast("double") for k in ("ulx", "uly", "lrx", "lry"))
-    text = lambda x: F.regexp_replace(F.call_function("format_number", x, F.lit("0.0###############")), ",", "")
-    coords = F.concat(F.col("page"), *[F.concat(F.lit(","), text(x)) for x in (ulx, uly, F.greatest(F.lit(0.0), lrx - ulx), F.greatest(F.lit(0.0), lry - uly))])
-    return z.where(F.col("page").rlike("^\\d+$")).select("doc_id", F.col("attrs")["xml:id"].alias("zone_id"), coords.alias("coords")).where("coords is not null")
+def _zone(z: Column) -> Column:
+    """``page,x,y,w,h`` of a facsimile zone; null unless its page and corners are numbers."""
+    ulx, uly, lrx, lry = (z[k].try_cast("double") for k in ("ulx", "uly", "lrx", "lry"))
+    sides = (ulx, uly, F.greatest(F.lit(0.0), lrx - ulx), F.greatest(F.lit(0.0), lry - uly))
+    made = F.concat(z["page"], *[F.concat(F.lit(","), _number(x)) for x in sides])
+    return F.when(z["page"].rlike("^\\d+$") & ulx.isNotNull() & uly.isNotNull() & lrx.isNotNull() & lry.isNotNull(), made)
 
 
-def _once(rows: DataFrame, *by: str) -> DataFrame:
-    """The first row of each key in order of (stage, pre)."""
-    return rows.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy("stage", "pre"))).where("_k = 1").drop("_k")
+def _where(raw: Column, page: Column, zones: Column) -> Column:
+    """Coordinates of a figure: its graphic's, else those of the first zone it names."""
+    of_zones = F.get(F.filter(F.transform(zones, _zone), lambda z: z.isNotNull()), F.lit(0))
+    return F.coalesce(coordinates(raw, page), of_zones)
 
 
-def media(nodes: DataFrame) -> DataFrame:
+_ZONES = "array<struct<page: string, ulx: string, uly: string, lrx: string, lry: string>>"
+
+
+def media(source: DataFrame) -> DataFrame:
     """(doc_id, kind, stage, pre, label, caption, source, coords): figures and tables, first wins.
 
     Stage 0 are figure elements, 1 table elements, 2 references to tables and 3
     paragraphs that begin like a table caption; a later stage only adds tables
     whose label no earlier one has.
     """
-    in_text = nodes.where("tag = 'text'").select("doc_id", F.col("pre").alias("t_pre"), F.col("end").alias("t_end"))
-    below = nodes.join(in_text, "doc_id").where("pre > t_pre and pre <= t_end").drop("t_pre", "t_end")
-    at = pages(nodes)
-
-    def base(tag):
-        e = below.where(F.col("tag") == tag).distinct() if tag == "" else below.where(F.col("tag") == tag)
-        g = nodes.where("tag = 'graphic'").select("doc_id", F.col("pre").alias("g_pre"), F.col("attrs")["coords"].alias("g"))
-        graphic = e.select("doc_id", "pre", "end").join(g, "doc_id").where("g_pre > pre and g_pre <= end").groupBy("doc_id", "pre").agg(F.min_by("g", "g_pre").alias("raw"))
-        e = e.join(graphic, ["doc_id", "pre"], "left").join(at, ["doc_id", "pre"], "left")
-        e = e.withColumn("zone_id", F.regexp_extract(F.coalesce(F.col("attrs")["facs"], F.lit("")), "^#(.+)$", 1))
-        e = e.join(zones(nodes).withColumnRenamed("coords", "z"), ["doc_id", "zone_id"], "left")
-        return e.withColumn("coords", F.coalesce(coordinates(F.col("raw"), F.col("page")), "z"))
-
-    def text_of(e, tag, name):
-        return e.join(_children(e, nodes, tag, name).withColumnRenamed("parent", "pre"), ["doc_id", "pre"], "left").withColumn(name, F.coalesce(name, F.lit("")))
-
-    figures = base("figure")
-    for tag, name in (("label", "raw_label"), ("head", "head"), ("figDesc", "desc")):
-        figures = text_of(figures, tag, name)
-    caption = F.coalesce(F.nullif("desc", F.lit("")), "head")
-    is_table = F.lower(F.trim(F.coalesce(F.col("attrs")["type"], F.lit("")))) == "table"
-    labels = [media_label(k, F.col("raw_label"), F.col("head"), caption) for k in ("table", "figure")]
-    figures = figures.select(
-        "doc_id", F.when(is_table, "table").otherwise("figure").alias("kind"), F.lit(0).alias("stage"), "pre",
-        F.when(is_table, labels[0]).otherwise(labels[1]).alias("label"), F.nullif(caption, F.lit("")).alias("caption"), F.lit("tei").alias("source"), "coords",
-    )
-    tables = text_of(base("table"), "head", "head")
-    tables = tables.select(
-        "doc_id", F.lit("table").alias("kind"), F.lit(1).alias("stage"), "pre",
-        media_label("table", F.lit(None).cast("string"), F.col("head"), F.col("head")).alias("label"),
-        F.nullif("head", F.lit("")).alias("caption"), F.lit("tei").alias("source"), "coords",
-    )
-    marked = figures.unionByName(tables).withColumn("_key", F.coalesce("label", "caption")).where("_key is not null")
-    marked = _once(marked, "doc_id", "kind", "_key").drop("_key")
-
-    p = below.where("tag = 'p'").select("doc_id", "pre", "end")
-    p_text = with_text(p, nodes, "ptxt").select("doc_id", F.col("pre").alias("p_pre"), F.col("end").alias("p_end"), "ptxt")
-    refs = with_text(below.where((F.col("tag") == "ref") & (F.col("attrs")["type"] == "table")).select("doc_id", "pre", "end"), nodes, "num").where("num <> ''")
-    around = refs.join(p_text, "doc_id").where("pre > p_pre and pre <= p_end").groupBy("doc_id", "pre").agg(F.max_by("ptxt", "p_pre").alias("ptxt"))
-    refs = refs.join(around, ["doc_id", "pre"], "left")
-    quoted = F.regexp_replace("num", "([^A-Za-z0-9])", "\\\\$1")
-    after = F.call_function("regexp_extract", F.col("ptxt"), F.concat(F.lit("(?iU)\\btable\\s*"), quoted, F.lit("\\s*[:.\\-]\\s*(.+)")), F.lit(1))
-    less = stripped(F.regexp_replace("ptxt", F.concat(F.lit("(?iU)\\btable\\s*"), quoted, F.lit("\\b")), F.lit("")))
-    refs = refs.select(
-        "doc_id", F.lit("table").alias("kind"), F.lit(2).alias("stage"), "pre", F.concat(F.lit("Table "), "num").alias("label"),
-        F.nullif(F.coalesce(F.nullif(stripped(after), F.lit("")), less), F.lit("")).alias("caption"), F.lit("tei-ref").alias("source"), F.lit(None).cast("string").alias("coords"),
-    )
-    begins = "(?is)^table\\s+([A-Za-z0-9]+)\\s*[:.\\-]\\s*(.+)"
-    lines = p_text.where(F.col("ptxt").rlike(begins)).select(
-        "doc_id", F.lit("table").alias("kind"), F.lit(3).alias("stage"), F.col("p_pre").alias("pre"),
-        F.concat(F.lit("Table "), F.regexp_extract("ptxt", begins, 1)).alias("label"), F.regexp_extract("ptxt", begins, 2).alias("caption"),
-        F.lit("tei-text").alias("source"), F.lit(None).cast("string").alias("coords"),
-    )
-    known = marked.where("kind = 'table' and label is not null").select("doc_id", "label").distinct()
-    more = _once(refs.unionByName(lines), "doc_id", "label").join(known, ["doc_id", "label"], "left_anti")
-    return marked.unionByName(more)
+    found = trees.each(source, trees.media, f"kind string, stage int, pre int, label string, caption string, source string, raw string, page int, zones {_ZONES}")
+    return found.select("doc_id", "kind", "stage", "pre", "label", "caption", "source", _where(F.col("raw"), F.col("page"), F.col("zones")).alias("coords"))
 
 
-def references(nodes: DataFrame) -> DataFrame:
+def references(source: DataFrame) -> DataFrame:
     """(doc_id, index, text, id, title, doi, year, authors) of the bibliography, numbered from 1 in document order."""
-    entries = with_text(inside(nodes, "text>back>>listBibl>biblStruct"), nodes, "text")
-    entries = entries.select("doc_id", "pre", "end", F.nullif("text", F.lit("")).alias("text"), F.col("attrs")["xml:id"].alias("id"))
-    e = entries.select("doc_id", F.col("pre").alias("e_pre"), F.col("end").alias("e_end"))
-    n = with_text(nodes.where("tag in ('title', 'idno', 'date', 'author')"), nodes, "value").join(e, "doc_id").where("pre > e_pre and pre <= e_end")
-    up = nodes.select("doc_id", F.col("pre").alias("parent"), F.col("tag").alias("above"), F.col("parent").alias("grand"))
-    n = n.join(up, ["doc_id", "parent"]).withColumn("direct", F.col("grand") == F.col("e_pre"))
-    kind = F.col("attrs")["type"]
-    first = lambda cond: F.nullif(F.min_by(F.when(cond, F.col("value")), F.when(cond, F.col("pre"))), F.lit(""))
-    tag = F.col("tag")
-    found = n.groupBy("doc_id", F.col("e_pre").alias("pre")).agg(
-        first((tag == "title") & (F.col("above") == "analytic") & F.col("direct") & (kind == "main")).alias("t1"),
-        first((tag == "title") & (F.col("above") == "monogr") & F.col("direct")).alias("t2"),
-        first((tag == "idno") & (kind == "DOI")).alias("doi"),
-        first((tag == "date") & (kind == "published")).alias("year"),
-        F.transform(
-            F.array_sort(F.collect_list(F.when((tag == "author") & (F.col("above") == "analytic") & F.col("direct") & (F.col("value") != ""), F.struct("pre", "value")))),
-            lambda x: x["value"],
-        ).alias("authors"),
-    )
-    out = entries.join(found, ["doc_id", "pre"], "left").withColumn("index", F.row_number().over(W.partitionBy("doc_id").orderBy("pre")))
-    return out.select("doc_id", "index", "text", "id", F.coalesce("t1", "t2").alias("title"), "doi", "year", F.when(F.size("authors") > 0, F.col("authors")).alias("authors"))
-
-
-def papers(nodes: DataFrame, source_path: DataFrame | None = None, keep=lambda part, name: part) -> DataFrame:
+    return trees.each(source, trees.references, "index int, text string, id string, title string, doi string, year string, authors array<string>")
+
+
+_PAIRS = "array<struct<key: string, value: string>>"
+_RECORD = (
+    f"title string, journal string, doi string, authors array<struct<name: string, affiliation: string>>, keywords array<string>, sections {_PAIRS}, other_sections {_PAIRS}, "
+    f"media array<struct<kind: string, stage: int, pre: int, label: string, caption: string, source: string, raw: string, page: int, zones: {_ZONES}>>, "
+    "references array<struct<index: int, text: string, id: string, title: string, doi: string, year: string, authors: array<string>>>"
+)
+
+
+def papers(source: DataFrame, path: str | None = None, errors: bool = False) -> DataFrame:
     """One nested record per document, as the record schema has it; maps are built here, last of all.
 
-    ``keep`` may store each part (it takes a table and a name and returns the
-    table), so that no plan holds all of them.
+    ``path`` names the column of documents that becomes ``source_path``.  With
+    ``errors`` a document that can't be parsed has a row too, and ``error`` says why.
     """
-    body = keep(body_sections(nodes), "sections")
-    abstract = abstracts(nodes, body).select("doc_id", F.lit(-1).alias("ord"), F.lit("abstract").alias("slot"), F.col("abstract").alias("text"), F.lit(True).alias("canonical"))
-    rows = body.where("key <> 'abstract'").select("doc_id", "ord", F.when(F.col("canonical"), F.col("key")).otherwise(F.col("head")).alias("slot"), "text", "canonical")
-    rows = keep(rows.unionByName(abstract), "texts")
-
-    def as_map(which):
-        ordered = F.array_sort(F.collect_list(F.when(F.col("canonical") == which, F.struct("ord", "slot", "text"))))
-        return F.map_from_entries(F.transform(ordered, lambda x: F.struct(x["slot"], x["text"])))
-
-    sections = rows.groupBy("doc_id").agg(as_map(True).alias("sections"), as_map(False).alias("other_sections"))
-    none = F.lit(None).cast("string")
-    item = F.struct("stage", "pre", F.struct("label", "caption", none.alias("path"), "source", "coords").alias("m"))
-    lists = keep(media(nodes), "media").groupBy("doc_id").agg(
-        *[F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, item))), lambda x: x["m"]).alias(f"{k}s") for k in ("figure", "table")]
-    )
-    refs = keep(references(nodes), "references").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("index", "text", "id", "title", "doi", "year", "authors"))).alias("references"))
-    people = keep(authors(nodes), "authors").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "name", "affiliation"))), lambda x: F.struct(x["name"].alias("name"), x["affiliation"].alias("affiliation"))).alias("authors"))
-    out = nodes.select("doc_id").distinct()
-    head = nodes.select("doc_id").distinct().join(titles(nodes), "doc_id", "left").join(journals(nodes), "doc_id", "left").join(dois(nodes), "doc_id", "left")
-    for part in (keep(head, "head"), people, keep(keywords(nodes), "keywords"), sections, lists, refs):
-        out = out.join(part, "doc_id", "left")
-    path = none.alias("source_path")
-    if source_path is not None:
-        out, path = out.join(source_path, "doc_id", "left"), F.col("source_path")
-    return out.select("doc_id", F.struct(path, "title", "journal", "doi", "authors", "keywords").alias("meta"), "sections", "other_sections", "figures", "tables", "references")
+    given = source if path is None else source.withColumn("source_path", F.col(path))
+    found = trees.each(given, trees.record, _RECORD, "source_path string" if path is not None else "", errors)
+
+    def listed(kind: str) -> Column:
+        item = lambda m: F.struct(m["label"].alias("label"), m["caption"].alias("caption"), F.lit(None).cast("string").alias("path"), m["source"].alias("source"), _where(m["raw"], m["page"], m["zones"]).alias("coords"))
+        return F.transform(F.filter("media", lambda m: m["kind"] == kind), item)
+
+    named = F.lit(None).cast("string").alias("source_path") if path is None else F.col("source_path")
+    return found.select(
+        "doc_id", F.struct(named, "title", "journal", "doi", "authors", "keywords").alias("meta"), F.map_from_entries("sections").alias("sections"), F.map_from_entries("other_sections").alias("other_sections"),
+        listed("figure").alias("figures"), listed("table").alias("tables"), "references", *(["error"] if errors else []),
+    )

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import file_stem
-from ..sources import tei as xml
 from ..sources.records import MEDIA, REFERENCE, stored
 from . import enrich, extract, media
 
@@ -85,7 +84,8 @@ def reviewed(papers: DataFrame, force: bool = False) -> DataFrame:
 def with_abstracts(papers: DataFrame, lookups: Lookups) -> DataFrame:
     """Missing or short abstracts are looked up; see ``enrich.ensure_abstract``."""
     spark = papers.sparkSession
-    empty = spark.createDataFrame([], "doi string, title string, journal string, abstract string")
+    # a table that the optimizer sees to be empty, so that records aren't shuffled for a join with nothing
+    empty = spark.range(0).where(F.lit(False)).select(*[F.lit(None).cast("string").alias(c) for c in ("doi", "title", "journal", "abstract")])
     flat = papers.withColumns({"abstract": F.try_element_at("sections", F.lit("abstract")), "doi": F.col("meta.doi"), "title": F.col("meta.title"), "journal": F.col("meta.journal")})
     tables = [empty if t is None else t for t in (lookups.by_doi, lookups.by_title, lookups.pubmed)]
     out = enrich.ensure_abstract(flat, *tables)
@@ -119,13 +119,9 @@ def process(tei: DataFrame, lookups: Lookups | None = None, force_review: bool =
 
     Parse, merge tables, filter media, augment reviews, ensure abstracts, prefix
     labels, merge and filter again.  A document that can't be parsed gets an
-    empty record, so no input is lost; ids are unique.  Nodes and raw records
-    are stored on the way: each axis reads the nodes again, each stage the
-    records.
+    empty record, so no input is lost; ids are unique.  Raw records are stored
+    on the way, so no document is parsed twice; but for lookups nothing moves.
     """
-    parsed = stored(xml.parse_tei(tei), "nodes")
-    source = tei.select("doc_id", F.col(path).alias("source_path"))
-    records = extract.papers(xml.nodes(parsed), source, stored)
     whole = {"sections": _TEXTS, "other_sections": _TEXTS, "figures": f"array<{MEDIA}>", "tables": f"array<{MEDIA}>", "references": f"array<{REFERENCE}>"}
     empty = {k: _no_texts() if t == _TEXTS else F.array().cast(t) for k, t in whole.items()}
 
@@ -133,15 +129,15 @@ def process(tei: DataFrame, lookups: Lookups | None = None, force_review: bool =
         add = lambda m: F.struct(*[m[c] for c in ("label", "caption", "path", "source", "coords")], F.lit(None).alias("pdf_bbox"), F.lit(None).alias("csv_path"))
         return F.transform(kind, add).cast(f"array<{MEDIA}>")
 
-    records = stored(records.withColumns({k: in_full(k) for k in ("figures", "tables")}), "raw")
-    records = records.withColumns({k: F.coalesce(F.col(k).cast(t), empty[k]) for k, t in whole.items()})
+    raw = stored(extract.papers(tei, path, errors=True).withColumns({k: in_full(k) for k in ("figures", "tables")}), "raw")
+    records = raw.where("error is null").withColumns({k: F.coalesce(F.col(k).cast(t), empty[k]) for k, t in whole.items()})
     for stage in (
         merged_media, filtered_media, lambda r: reviewed(r, force_review), lambda r: with_abstracts(r, lookups or Lookups()),
         prefixed_labels, merged_media, filtered_media,
     ):
         records = stage(records)
     records = records.select("doc_id", "meta", *whole)
-    lost = empty_records(xml.errors(parsed).join(source, "doc_id"), F.col("source_path"))
+    lost = empty_records(raw.where("error is not null"), F.col("meta.source_path"))
     return records.unionByName(lost)
 
 

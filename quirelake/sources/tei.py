@@ -14,6 +14,8 @@ _ARROW = pa.schema(
     + [("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("error", pa.string())]
 )
 TEXT = "#text"
+#: What a document that can't be parsed raises.
+XML_ERRORS = (expat.ExpatError, ValueError)
 
 
 def flatten_xml(xml: str | bytes):
@@ -55,7 +57,7 @@ def _flatten(batches):
                 if xml is None:
                     raise ValueError("no document")
                 held += [(doc, *row, None) for row in flatten_xml(xml)]
-            except (expat.ExpatError, ValueError) as why:
+            except XML_ERRORS as why:
                 held.append((doc, -1, -1, -1, -1, None, None, None, str(why)))
             if len(held) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _ARROW, strict=True)], schema=_ARROW)
