@@ -63,7 +63,8 @@ def run(spark: SparkSession, config: EngineConfig) -> DataFrame:
         records.write_json_by_stem(papers.drop("doc_id"), path)
     else:
         records.write_json_array(papers.drop("doc_id", "stem"), path)
-    written = records.read_papers(spark, path, "*") if config.mode == "array" else records.read_jsonl(spark, path)
+    readers = {"jsonl": records.read_jsonl, "stem": records.read_json_by_stem, "array": records.read_json_array}
+    written = readers[config.mode](spark, path)
     if config.reports:
         keyed = written.withColumn("doc_id", F.xxhash64("meta.source_path"))
         heads = tei.read_tei(spark, config.path)

@@ -121,3 +121,39 @@ def test_scans(spark, folder, tmp_path):
     assert [r["meta"]["title"] for r in records.read_papers(spark, str(tmp_path)).collect()] == ["T"]
     records.write_report(spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([(2,)], "b int"), str(tmp_path / "report"))
     assert spark.read.json(f"{tmp_path}/report/summary").columns == ["b", "generated_at"]
+
+
+def test_folders_and_lists_are_read_by_many_tasks(spark, tmp_path):
+    """Written and read back the way large corpora are: no partition by stem in Spark, no file that one task must hold."""
+    rows = [({"source_path": f"in/{n % 40}.pdf" if n < 80 else f"in/z{n}.pdf", "title": f"T{n}\n\"é"}, {"results": str(n)}, "a/b=%" if n == 99 else f"s{n % 40 if n < 80 else n}") for n in range(100)]
+    papers = spark.createDataFrame(rows, "meta struct<source_path: string, title: string>, sections map<string, string>, stem string").repartition(7)
+    for _ in range(2):  # what stood there goes
+        records.write_json_by_stem(papers.withColumn("meta", F.col("meta").withField("source_path", F.concat("meta.source_path", F.col("meta.title")))), f"{tmp_path}/stem")
+        records.write_json_array(papers.drop("stem"), f"{tmp_path}/array")
+    back = records.read_json_by_stem(spark, f"{tmp_path}/stem")
+    # of two records with one stem the last by source path stays
+    want = {f"T{max((n, n + 40), key=lambda k: f'T{k}')}\n\"é" for n in range(40)} | {f"T{n}\n\"é" for n in range(80, 100)}
+    assert sorted(r["meta"]["title"] for r in back.collect()) == sorted(want)
+    assert back.schema == spark.read.schema(records.PAPER).json(f"{tmp_path}/stem").drop("stem").schema
+    # other readers find a folder per stem
+    assert {r["stem"] for r in spark.read.schema(records.PAPER + ", stem string").json(f"{tmp_path}/stem").select("stem").collect()} == {r[2] for r in rows}
+    (file,) = [p for p in (tmp_path / "array").iterdir() if p.name.startswith("part-")]
+    listed = json.loads(file.read_text())
+    assert [r["meta"]["source_path"] for r in listed] == sorted(r[0]["source_path"] for r in rows)
+    assert sorted(r["meta"]["title"] for r in listed) == sorted(r[0]["title"] for r in rows)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        again = records.read_json_array(spark, f"{tmp_path}/array")
+        assert again.rdd.getNumPartitions() > 3 and sorted(r["meta"]["title"] for r in again.collect()) == sorted(r["meta"]["title"] for r in listed)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    records.write_json_array(papers.where("false"), f"{tmp_path}/none")
+    assert json.loads((tmp_path / "none" / "part-00000.json").read_text()) == [] and records.read_json_array(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_stem_folders_in_other_stores(spark, tmp_path, monkeypatch):
+    papers = spark.createDataFrame([({"source_path": "a"}, "x"), ({"source_path": "b"}, "x"), ({"source_path": "c"}, "y")], "meta struct<source_path: string>, stem string")
+    monkeypatch.setattr(records, "_mounted", lambda *_: None)
+    records.write_json_by_stem(papers, f"{tmp_path}/stem")
+    assert sorted(r["meta"]["source_path"] for r in records.read_json_by_stem(spark, f"{tmp_path}/stem").collect()) == ["b", "c"]
