@@ -234,8 +234,26 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 
 def fixed(x: Column, digits: int = 4) -> Column:
-    """``digits`` decimal places, ties to even."""
-    return F.format_string(f"%.{digits}f", F.bround(x, digits))
+    """``digits`` (7 at most) decimal places of the exact value of a double, ties to even, as printf has them.
+
+    Most decimal fractions are no doubles: 0.00125 is a little more, so it
+    rounds up; only such as 0.03125 are ties.  The product with a power of ten
+    is rounded, so what it lost is computed too (as a sum of exact products).
+    """
+    scale = float(10**digits)
+    size = F.when(F.abs(x) < 2.0**62, F.abs(x))
+    whole = F.floor(size)
+    part = size - whole.cast("double")
+    product = part * scale
+    # the part's upper 26 bits and the rest: their products are exact
+    upper = part * (2.0**27 + 1) - (part * (2.0**27 + 1) - part)
+    lost = (upper * scale - product) + (part - upper) * scale
+    near = F.rint(product)
+    off = product - near
+    n = (near + F.when((off == 0.5) & (lost > 0), 1.0).when((off == -0.5) & (lost < 0), -1.0).otherwise(0.0)).cast("long")
+    sign, carried = F.when(x < 0, "-").otherwise(""), (n == 10**digits).cast("long")
+    shown = F.concat(sign, (whole + carried).cast("string"), F.lit("."), F.lpad((n % 10**digits).cast("string"), digits, "0"))
+    return F.when(x.isNotNull(), F.coalesce(shown, F.format_string(f"%.{digits}f", x)))
 
 
 def write_report(results: DataFrame, summary: DataFrame, path: str) -> None:
