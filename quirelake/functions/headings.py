@@ -40,6 +40,10 @@ SUGGESTED = (
 )
 
 
+#: What any heading with a suggestion holds, in lower case, whatever its white space.
+HINTS = "|".join(fragments for _, fragments in SUGGESTED).replace(" ", f"{BLANK}+")
+
+
 def dictionary() -> list[tuple[str, str]]:
     """(heading, key) pairs of exact matches."""
     lines = files("quirelake.rules").joinpath("headings.tsv").read_text("utf-8").splitlines()
@@ -104,7 +108,8 @@ def suggestion(head: Column) -> Column:
 
 def suggestions(frequencies: DataFrame, min_count: int = 1) -> DataFrame:
     """(head, key, n): the suggested key of each heading of a (head, n) table that occurs often enough."""
-    rows = frequencies.where((F.col("n") >= min_count) & (sanitized(F.col("head")) != ""))
+    # few headings hold any of the words: only these are sanitised and, where headings are still to be counted, moved
+    rows = frequencies.where(F.lower("head").rlike(HINTS)).where((F.col("n") >= min_count) & (sanitized(F.col("head")) != ""))
     return rows.select("head", suggestion(F.col("head")).alias("key"), "n").where("key is not null")
 
 
