@@ -74,24 +74,26 @@ def keyword_pages(pages: DataFrame, text: str, keywords: list[str], doc: str, pa
 ANNOUNCED = {"figure": ("figure", "fig.", "fig"), "table": ("table", "tab.", "tab")}
 
 
-def label_anchors(words: DataFrame, by: tuple[str, ...] = ("doc_id",), pos: str = "pos", word: str = "word", labels: DataFrame | None = None) -> DataFrame:
-    """(by..., pos, kind, number): a figure or table word with a number in one of the next three words.
+def label_anchors(words: DataFrame, by: tuple[str, ...] = ("doc_id",), pos: str = "pos", word: str = "word", labels: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., pos, kind, number, keep...): a figure or table word with a number in one of the next three words.
 
     With ``labels``, a (first of ``by``, number) table, only numbers in it count.
+    ``keep`` are columns of the words that their anchors keep.
     """
-    w = W.partitionBy(*by).orderBy(pos)
-    plain = lambda c: F.lower(F.trim(c))
-    digits = lambda c: F.when(c.rlike("^[0-9]+$"), c)
-    numbers = [digits(plain(F.lead(word, k).over(w))) for k in (1, 2, 3)]
-    kind = F.lit(None).cast("string")
+    plain, kind = F.lower(F.trim(F.col(word))), F.lit(None).cast("string")
     for name, announced in ANNOUNCED.items():
-        kind = F.when(plain(F.col(word)).isin(*announced), name).otherwise(kind)
-    found = words.select(*by, pos, kind.alias("kind"), F.array_compact(F.array(*numbers)).alias("numbers")).where("kind is not null and size(numbers) > 0")
+        kind = F.when(plain.isin(*announced), name).otherwise(kind)
+    # words move by what they are here: numbers, announcing words with what they keep, and others, of which only their order counts
+    marked = words.select(*by, pos, kind.alias("kind"), F.when(plain.rlike("^[0-9]+$"), plain).alias("_digits"), *[F.when(kind.isNotNull(), F.col(c)).alias(c) for c in keep])
+    w = W.partitionBy(*by).orderBy(pos)
+    numbers = F.array_compact(F.array(*[F.lead("_digits", k).over(w) for k in (1, 2, 3)]))
+    found = marked.select(*by, pos, "kind", numbers.alias("numbers"), *keep).where("kind is not null and size(numbers) > 0")
     if labels is None:
-        return found.select(*by, pos, "kind", F.get("numbers", F.lit(0)).alias("number"))
-    each = found.select(*by, pos, "kind", F.posexplode("numbers").alias("_k", "number"))
+        return found.select(*by, pos, "kind", F.get("numbers", F.lit(0)).alias("number"), *keep)
+    each = found.select(*by, pos, "kind", F.posexplode("numbers").alias("_k", "number"), *keep)
     known = each.join(labels.select(by[0], "number").distinct(), [by[0], "number"], "left_semi")
-    return known.groupBy(*by, pos, "kind").agg(F.min_by("number", "_k").alias("number"))
+    # by document, so that what follows within one needs no other exchange
+    return known.repartition(by[0]).groupBy(*by, pos, "kind").agg(F.min_by("number", "_k").alias("number"), *[F.first(c).alias(c) for c in keep])
 
 
 def label_crops(words: DataFrame, labels: DataFrame | None = None, doc: str = "doc_id", page: str = "page", margin: float = 24.0, above: float = 24.0, gap: float = 12.0, span: float = 0.6, most: int = 8) -> DataFrame:
@@ -102,7 +104,8 @@ def label_crops(words: DataFrame, labels: DataFrame | None = None, doc: str = "d
     next anchor of its page, or after a ``span`` of the page's height; crops of
     at most 5 points either way are left out.
     """
-    anchors = label_anchors(words, (doc, page), labels=labels).join(words.select(doc, page, "pos", F.col("x0").alias("_x"), F.col("y0").alias("_y"), "page_width", "page_height"), [doc, page, "pos"])
+    placed = words.select(doc, page, "pos", "word", F.col("x0").alias("_x"), F.col("y0").alias("_y"), "page_width", "page_height")
+    anchors = label_anchors(placed, (doc, page), labels=labels, keep=("_x", "_y", "page_width", "page_height"))
     order = W.partitionBy(doc, page).orderBy("_y", "_x", "pos")
     then, height = F.lead("_y").over(order), F.col("page_height")
     top = F.greatest(F.lit(0.0), F.col("_y") - above)
